@@ -251,28 +251,13 @@ def split_type(first_plus: Column, second_plus: Column, overlap: Column, left_fi
     return F.when(first_plus == second_plus, same).otherwise(cross)
 
 
-def _aligned_indices(refs: Column) -> Column:
+def aligned_indices(refs: Column) -> Column:
+    """Indices of the aligned bases of a reference-position array."""
     return F.filter(F.transform(refs, lambda x, i: F.when(x.isNotNull(), i)), lambda x: x.isNotNull())
 
 
-def split_breakpoints(first_refs: Column, first_rev: Column, last_refs: Column,
-                      last_rev: Column) -> Column:
-    """``struct<first struct<lo,hi>, last struct<lo,hi>>``: closed breakpoint intervals.
-
-    The refs arrays are in read order; a shared (micro-homologous) stretch of the read widens
-    both intervals.
-    """
-    fi, li = _aligned_indices(first_refs), _aligned_indices(last_refs)
-    e, s = F.array_max(fi), F.array_min(li)
-    b0 = F.array_min(F.filter(fi, lambda i: i >= F.least(e, s - 1)))
-    b1 = F.array_max(F.filter(li, lambda i: i <= F.greatest(s, e + 1)))
-
-    def at(arr, idx):
-        return F.get(arr, idx)
-
-    f_a, f_b = at(first_refs, b0), at(first_refs, e)
-    l_a, l_b = at(last_refs, s), at(last_refs, b1)
-    f_add = F.when(first_rev, 0).otherwise(1)
-    l_add = F.when(last_rev, 1).otherwise(0)
-    span = lambda a, b, add: F.struct((F.least(a, b) + add).alias("lo"), (F.greatest(a, b) + add).alias("hi"))
-    return F.struct(span(f_a, f_b, f_add).alias("first"), span(l_a, l_b, l_add).alias("last"))
+def junction_interval(refs: Column, i: Column, j: Column, plus_one: Column) -> Column:
+    """Closed interval spanned by two bases of a piece, moved by one where the junction lies after them."""
+    a, b = F.get(refs, i), F.get(refs, j)
+    add = F.when(plus_one, 1).otherwise(0)
+    return F.struct((F.least(a, b) + add).alias("lo"), (F.greatest(a, b) + add).alias("hi"))

@@ -33,12 +33,27 @@ def overlap_join(left: DataFrame, right: DataFrame, part: list[str],
     """
     (llo, lhi), (rlo, rhi) = left_span, right_span
     a = left.withColumn("_bin", F.explode(_bins(F.col(llo), F.col(lhi) - 1, width)))
-    b = right.withColumn("_bin", F.explode(_bins(F.col(rlo), F.col(rhi) - 1, width)))
-    cond = [a[p] == b[p] for p in part] + [a["_bin"] == b["_bin"],
-                                           overlaps(a[llo], a[lhi], b[rlo], b[rhi]),
-                                           F.floor(F.greatest(a[llo], b[rlo]) / width) == a["_bin"]]
-    b_only = [b[c] for c in right.columns if c not in part]
-    return a.join(b, cond, how).select(*[a[c] for c in left.columns], *b_only)
+    b = _prefixed(right.withColumn("_bin", F.explode(_bins(F.col(rlo), F.col(rhi) - 1, width))))
+    r_lo, r_hi = F.col(f"_r_{rlo}"), F.col(f"_r_{rhi}")
+    cond = (_same(part) & overlaps(F.col(llo), F.col(lhi), r_lo, r_hi)
+            & (F.floor(F.greatest(F.col(llo), r_lo) / width) == F.col("_bin")))
+    return _restore(a.join(b, cond, how), left, right, part)
+
+
+def _prefixed(df: DataFrame) -> DataFrame:
+    # distinct names keep self-joins unambiguous
+    return df.select(*[F.col(c).alias(f"_r_{c}") for c in df.columns])
+
+
+def _same(part: list[str]) -> Column:
+    cond = F.col("_bin") == F.col("_r__bin")
+    for p in part:
+        cond = cond & (F.col(p) == F.col(f"_r_{p}"))
+    return cond
+
+
+def _restore(joined: DataFrame, left: DataFrame, right: DataFrame, part: list[str]) -> DataFrame:
+    return joined.select(*left.columns, *[F.col(f"_r_{c}").alias(c) for c in right.columns if c not in part])
 
 
 def overlap_anti(left: DataFrame, right: DataFrame, part: list[str],
@@ -54,10 +69,9 @@ def point_join(points: DataFrame, intervals: DataFrame, part: list[str], pos: st
     """Each point with the intervals that hold it.  Only the interval side is expanded."""
     lo, hi = span
     a = points.withColumn("_bin", F.floor(F.col(pos) / width))
-    b = intervals.withColumn("_bin", F.explode(_bins(F.col(lo), F.col(hi) - 1, width)))
-    cond = [a[p] == b[p] for p in part] + [a["_bin"] == b["_bin"], a[pos] >= b[lo], a[pos] < b[hi]]
-    b_only = [b[c] for c in intervals.columns if c not in part]
-    return a.join(b, cond, how).select(*[a[c] for c in points.columns], *b_only)
+    b = _prefixed(intervals.withColumn("_bin", F.explode(_bins(F.col(lo), F.col(hi) - 1, width))))
+    cond = _same(part) & (F.col(pos) >= F.col(f"_r_{lo}")) & (F.col(pos) < F.col(f"_r_{hi}"))
+    return _restore(a.join(b, cond, how), points, intervals, part)
 
 
 def band_join(left: DataFrame, right: DataFrame, part: list[str], a: str, b: str,
@@ -65,12 +79,10 @@ def band_join(left: DataFrame, right: DataFrame, part: list[str], a: str, b: str
     """Pairs with |a - b| <= distance; the right side is copied to three bins."""
     width = max(1, distance)
     lhs = left.withColumn("_bin", F.floor(F.col(a) / width))
-    rhs = right.withColumn("_own", F.floor(F.col(b) / width)).withColumn(
-        "_bin", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
-    cond = [lhs[p] == rhs[p] for p in part] + [lhs["_bin"] == rhs["_bin"],
-                                               F.abs(lhs[a] - rhs[b]) <= distance]
-    b_only = [rhs[c] for c in right.columns if c not in part]
-    return lhs.join(rhs, cond).select(*[lhs[c] for c in left.columns], *b_only)
+    own = F.floor(F.col(b) / width)
+    rhs = _prefixed(right.withColumn("_bin", F.explode(F.sequence(own - 1, own + 1))))
+    cond = _same(part) & (F.abs(F.col(a) - F.col(f"_r_{b}")) <= distance)
+    return _restore(lhs.join(rhs, cond), left, right, part)
 
 
 def sweep(sets: dict[str, DataFrame], part: list[str], lo: str, hi: str,

@@ -84,13 +84,13 @@ def islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Co
     smallest ``lo`` of its island.  A new island starts where ``lo`` exceeds the running
     maximum of the earlier ``hi`` by more than ``distance``.
     """
-    dense = df.groupBy(*part, lo).agg(F.max(hi).alias(hi))
-    seen = running(dense, part, lo, {"_prev": ("max", hi, False)}, width)
+    dense = df.groupBy(*part, lo).agg(F.max(hi).alias("_far"))
+    seen = running(dense, part, lo, {"_prev": ("max", "_far", False)}, width)
     gap = F.lit(distance) if isinstance(distance, int) else distance
     starts = seen.withColumn(
         "_start", F.when(F.col("_prev").isNull() | (F.col(lo) - F.col("_prev") > gap), F.col(lo)))
     out = running(starts, part, lo, {"island": ("last", "_start", True)}, width)
-    return out.select(*part, lo, hi, "island")
+    return out.select(*part, lo, *([] if hi == lo else [F.col("_far").alias(hi)]), "island")
 
 
 def island_spans(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column = 0,

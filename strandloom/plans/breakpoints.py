@@ -126,18 +126,19 @@ def precedence_hulls(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spans = evidence.groupBy("chrom", "level", "lo").agg(F.max("hi").alias("hi"))
     intervals = evidence.select("chrom", "level", "lo", "hi").distinct()
-    high = island_spans(spans.where("level = 2"), ["chrom"], "lo", "hi").select(
-        "chrom", F.col("lo").alias("bp_lo"), F.col("hi").alias("bp_hi"))
+    high = checkpoint(island_spans(spans.where("level = 2"), ["chrom"], "lo", "hi").select(
+        "chrom", F.col("lo").alias("bp_lo"), F.col("hi").alias("bp_hi")))
     low = intervals.where("level = 1")
     closed = lambda df, lo, hi: df.withColumn("_lo", F.col(lo)).withColumn("_hi", F.col(hi) + 1)
     links_low = overlap_join(closed(low, "lo", "hi"), closed(high, "bp_lo", "bp_hi")
                              .withColumnsRenamed({"_lo": "_blo", "_hi": "_bhi"}), ["chrom"],
                              ("_lo", "_hi"), ("_blo", "_bhi")).select(
         "chrom", "level", "lo", "hi", "bp_lo", "bp_hi")
-    left = low.join(links_low.select("chrom", "lo", "hi").distinct(), ["chrom", "lo", "hi"], "left_anti")
+    links_low = checkpoint(links_low)
+    left = checkpoint(low.join(links_low.select("chrom", "lo", "hi").distinct(), ["chrom", "lo", "hi"], "left_anti"))
     own = _own_hulls(left.select("chrom", "level", "lo", "hi"))
     links_high = _own_hulls(intervals.where("level = 2"))
-    links = links_high.unionByName(links_low).unionByName(own)
+    links = checkpoint(links_high.unionByName(links_low).unionByName(own))
     hulls = links.select("chrom", "bp_lo", "bp_hi").distinct()
     return hulls, links
 

@@ -89,6 +89,23 @@ def library_model(reads: DataFrame, pairs: DataFrame, cfg: CallConfig) -> Librar
 
 def call(alignments: DataFrame, regions: DataFrame, gaps: DataFrame, cfg: CallConfig = CallConfig()) -> CallResult:
     """Call rearrangements.  ``regions`` and ``gaps``: chrom, lo, hi."""
+    return infer(collect_evidence(alignments, regions, gaps, cfg), regions, gaps, cfg)
+
+
+@dataclass
+class Evidence:
+    reads: DataFrame
+    lib: Library
+    coverage: DataFrame
+    clusters: DataFrame
+    cluster_members: DataFrame
+    splits: DataFrame
+    breakpoints: DataFrame
+    members: DataFrame
+
+
+def collect_evidence(alignments: DataFrame, regions: DataFrame, gaps: DataFrame, cfg: CallConfig) -> Evidence:
+    """First pass: library model, discordant clusters, splits, clips and merged breakpoints."""
     reads = prepare_reads(alignments, regions, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = E.mates(reads).persist(StorageLevel.MEMORY_AND_DISK)
     lib = library_model(reads, pairs, cfg)
@@ -114,14 +131,21 @@ def call(alignments: DataFrame, regions: DataFrame, gaps: DataFrame, cfg: CallCo
     evidence = B.union_evidence(B.clip_breakpoints(clip_clusters, cfg), splits, pe)
     bps, bp_members = B.merge_breakpoints(evidence, cfg)
     bp_members = checkpoint(bp_members)
+    return Evidence(reads, lib, cover, clusters, members, splits, bps, bp_members)
+
 
+def infer(ev: Evidence, regions: DataFrame, gaps: DataFrame, cfg: CallConfig) -> CallResult:
+    """Second pass: blocks, adjacency graph, candidate haplotypes, genotypes and calls."""
+    reads, lib, bps = ev.reads, ev.lib, ev.breakpoints
     blocks = checkpoint(G.create_blocks(bps, gaps, regions))
-    placed = G.reads_on_blocks(reads, blocks, cfg, lib.read_len)
-    again = E.mates(placed, fields=G.PAIR_FIELDS)
+    placed = G.reads_on_blocks(reads, blocks, cfg, lib.read_len).select(
+        "lib", "rname", "qname", "mrname", "mpos", *G.PAIR_FIELDS, "read_id").persist(StorageLevel.MEMORY_AND_DISK)
+    again = E.mates(placed, fields=G.PAIR_FIELDS).persist(StorageLevel.MEMORY_AND_DISK)
     raw = G.pair_observations(again, lib.ranges, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     edges = checkpoint(G.edge_support(raw, blocks))
     observations = checkpoint(G.compact_observations(raw))
-    raw.unpersist()
+    for used in (raw, again, placed):
+        used.unpersist()
 
     n_blocks = checkpoint(blocks.groupBy("chrom").agg((F.max("idx") + 1).alias("n_genome")))
     geometry = blocks.select("chrom", "idx", (F.col("hi") - F.col("lo")).alias("len"), "gap_left", "gap_right",
@@ -141,15 +165,15 @@ def call(alignments: DataFrame, regions: DataFrame, gaps: DataFrame, cfg: CallCo
     ref = paths.where(is_reference_path(F.col("path"), F.col("n_genome"))).select("sub", F.col("path_id").alias("ref_id"))
     typed = N.genotypes(paths, lik, counts, constants, checkpoint(ref), cfg, lib.pi)
     described = checkpoint(C.describe_calls(typed, all_blocks, cfg))
-    support, split_hits = C.event_support(C.event_rows(described), bp_members)
+    support, split_hits = C.event_support(C.event_rows(described), ev.members)
     hap_events = checkpoint(C.haplotype_events(described, support, cfg))
     calls = checkpoint(C.call_table(described, hap_events))
     return CallResult(
         calls=calls, hap_events=hap_events, described=described,
-        split_support=C.split_support_table(calls, hap_events, split_hits, splits, reads),
+        split_support=C.split_support_table(calls, hap_events, split_hits, ev.splits, reads),
         altered=C.altered_pieces(described, calls), altered_metadata=C.altered_metadata(described, calls),
-        breakpoints=bps, blocks=blocks, edges=edges, clusters=clusters, cluster_members=members,
-        graph_log=N.graph_log(found_paths, blocks), library=lib.stats, pmf=lib.pmf, coverage=cover)
+        breakpoints=bps, blocks=blocks, edges=edges, clusters=ev.clusters, cluster_members=ev.cluster_members,
+        graph_log=N.graph_log(found_paths, blocks), library=lib.stats, pmf=lib.pmf, coverage=ev.coverage)
 
 
 def add_insertions(found: DataFrame, edges: DataFrame, geometry: DataFrame, all_blocks: DataFrame, subs: DataFrame,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.config import CallConfig
 from strandloom.operators.components import largest_cliques, pair_components
 from strandloom.operators.ordered import log_bin, running
+from strandloom.session import checkpoint
 
 KEYS = ["lib", "chrom", "dtype", "rep"]
 
@@ -39,7 +40,7 @@ def cluster_pairs(pairs: DataFrame, caps: DataFrame, cfg: CallConfig) -> tuple[D
     is one cluster whatever its size.  Any other component up to the cap yields all its largest
     cliques; larger ones are dropped and also leave the null sample.
     """
-    comp = pair_components(pairs, KEYS, "d", "slop")
+    comp = checkpoint(pair_components(checkpoint(pairs), KEYS, "d", "slop"))
     sizes = (comp.groupBy(*KEYS, "component").agg(
         F.count(F.lit(1)).alias("n"), F.first("d").alias("_d"), F.first("slop").alias("_s"),
         F.min("pos1").alias("_a"), F.max("pos1").alias("_b"),
@@ -67,7 +68,7 @@ def cluster_pairs(pairs: DataFrame, caps: DataFrame, cfg: CallConfig) -> tuple[D
                .select(*KEYS, "_x.pos1", "_x.pos2", "_x.ilen", "_x.qname", "mu", "sigma",
                        F.xxhash64(*KEYS, "component", F.col("_no") + 1).alias("cluster_id")))
     kept = tagged.where("_fate <> 'dropped'").select(*[c for c in pairs.columns])
-    return whole.unionByName(cliques), kept
+    return checkpoint(whole.unionByName(cliques)), kept
 
 
 def score_clusters(members: DataFrame, cfg: CallConfig) -> DataFrame:

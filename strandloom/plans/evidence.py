@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandloom.config import CallConfig
 from strandloom.functions import align as A
 from strandloom.operators.ordered import running
+from strandloom.schemas import SPLIT
 
 READ_FIELDS = ["pos", "end", "mapq", "flag", "qlen", "clip_l", "clip_r", "sa", "split", "has_s",
                "read_id"]
@@ -26,59 +27,59 @@ def with_geometry(alignments: DataFrame) -> DataFrame:
             .withColumn("read_id", F.concat("qname", F.when(A.has_flag("flag", A.READ1), "_1").otherwise("_2"))))
 
 
-def valid_split(cfg: CallConfig) -> Column:
-    """One supplementary piece on the same contig, both pieces well mapped."""
-    sa = A.parse_sa(F.col("sa"))
-    return (F.col("sa").isNotNull() & (F.col("mapq") >= cfg.min_mapq_reads) & (F.size(sa) == 1)
-            & (sa[0]["mapq"] >= cfg.min_mapq_reads) & (sa[0]["rname"] == F.col("rname")))
-
-
-def split_struct() -> Column:
-    """Split class and its two breakpoint intervals, NULL when the pieces do not fit.
+def with_splits(reads: DataFrame, cfg: CallConfig) -> DataFrame:
+    """Adds ``split``: class and two breakpoint intervals of a split read, else NULL.
 
-    Assumes :func:`valid_split`; expects ``ops``, ``pos``, ``is_reverse`` and ``sa``.
+    A read qualifies with one supplementary piece on its contig, both pieces well mapped.  The
+    steps are separate columns so that each is planned and evaluated once.
     """
-    sa = A.parse_sa(F.col("sa"))[0]
-    s_ops = A.cigar_ops(sa["cigar"])
-    piece = lambda ops, pos, rev: F.struct(
-        pos.alias("pos"), (pos + A.reference_length(ops)).alias("end"), rev.alias("rev"),
-        A.query_coords(ops, rev)["start"].alias("q"),
-        F.when(rev, F.reverse(A.reference_positions(ops, pos)))
-        .otherwise(A.reference_positions(ops, pos)).alias("refs"))
-    own, other = piece(F.col("ops"), F.col("pos"), F.col("is_reverse")), piece(s_ops, sa["pos"], sa["is_reverse"])
-    swap = F.col("pos") > sa["pos"]
-    pair = F.struct(F.when(swap, other).otherwise(own).alias("left"),
-                    F.when(swap, own).otherwise(other).alias("right"))
-    # evaluate the pieces once, then derive everything from them
-    return F.transform(F.array(pair), _split_from_pieces)[0]
-
-
-def _split_from_pieces(x: Column) -> Column:
-    left, right = x["left"], x["right"]
-    left_first = left["q"] < right["q"]
-    first = F.when(left_first, left).otherwise(right)
-    last = F.when(left_first, right).otherwise(left)
-    plus1, plus2 = ~first["rev"], ~last["rev"]
-    overlap = F.when(plus1, ~(first["end"] < last["pos"])).otherwise(~(last["end"] < first["pos"]))
-    kind = A.split_type(plus1, plus2, overlap, left_first)
-    bps = A.split_breakpoints(first["refs"], first["rev"], last["refs"], last["rev"])
-    lbp = F.when(left_first, bps["first"]).otherwise(bps["last"])
-    rbp = F.when(left_first, bps["last"]).otherwise(bps["first"])
-    count = lambda refs: F.size(F.filter(refs, lambda r: r.isNotNull()))
-    ok = ((left["q"] != right["q"]) & (count(left["refs"]) > 0) & (count(right["refs"]) > 0)
-          & (lbp["hi"] - lbp["lo"] < count(left["refs"])) & (rbp["hi"] - rbp["lo"] < count(right["refs"])))
-    lo_first = lbp["lo"] <= rbp["lo"]
-    one, two = F.when(lo_first, lbp).otherwise(rbp), F.when(lo_first, rbp).otherwise(lbp)
-    return F.when(ok, F.struct(
-        one["lo"].alias("bp1_lo"), one["hi"].alias("bp1_hi"), two["lo"].alias("bp2_lo"),
-        two["hi"].alias("bp2_hi"), kind.alias("split_type")))
-
-
-def with_splits(reads: DataFrame, cfg: CallConfig) -> DataFrame:
-    empty = F.lit(None).cast("struct<bp1_lo:int,bp1_hi:int,bp2_lo:int,bp2_hi:int,split_type:string>")
     if not cfg.do_splits:
-        return reads.withColumn("split", empty)
-    return reads.withColumn("split", F.when(valid_split(cfg), split_struct()).otherwise(empty))
+        return reads.withColumn("split", F.lit(None).cast(SPLIT))
+    sa = F.col("_sas")[0]
+    df = reads.withColumn("_sas", F.when(F.col("mapq") >= cfg.min_mapq_reads, A.parse_sa(F.col("sa"))))
+    df = df.withColumn("_sa", F.when((F.size("_sas") == 1) & (sa["mapq"] >= cfg.min_mapq_reads)
+                                     & (sa["rname"] == F.col("rname")), sa))
+    df = df.withColumn("_sops", A.cigar_ops(F.col("_sa.cigar")))
+    has = F.col("_sa").isNotNull()
+    df = df.withColumn("_r1", F.when(has, A.reference_positions(F.col("ops"), F.col("pos"))))
+    df = df.withColumn("_r2", F.when(has, A.reference_positions(F.col("_sops"), F.col("_sa.pos"))))
+
+    def piece(pos, end, rev, ops, refs):
+        return F.when(has, F.struct(
+            pos.alias("pos"), end.alias("end"), rev.alias("rev"), A.query_coords(ops, rev)["start"].alias("q"),
+            F.when(rev, F.reverse(refs)).otherwise(refs).alias("refs")))
+
+    c = F.col
+    df = (df.withColumn("_own", piece(c("pos"), c("end"), c("is_reverse"), c("ops"), c("_r1")))
+            .withColumn("_oth", piece(c("_sa.pos"), c("_sa.pos") + A.reference_length(c("_sops")),
+                                      c("_sa.is_reverse"), c("_sops"), c("_r2"))))
+    left_own = c("_own.pos") <= c("_oth.pos")
+    df = (df.withColumn("_left", F.when(left_own, c("_own")).otherwise(c("_oth")))
+            .withColumn("_right", F.when(left_own, c("_oth")).otherwise(c("_own"))))
+    lf = c("_left.q") < c("_right.q")
+    df = (df.withColumn("_lf", lf).withColumn("_first", F.when(lf, c("_left")).otherwise(c("_right")))
+            .withColumn("_last", F.when(lf, c("_right")).otherwise(c("_left"))))
+    df = (df.withColumn("_fi", A.aligned_indices(c("_first.refs"))).withColumn("_li", A.aligned_indices(c("_last.refs"))))
+    df = df.withColumn("_e", F.array_max("_fi")).withColumn("_s", F.array_min("_li"))
+    df = (df.withColumn("_b0", F.array_min(F.filter("_fi", lambda i: i >= F.least(c("_e"), c("_s") - 1))))
+            .withColumn("_b1", F.array_max(F.filter("_li", lambda i: i <= F.greatest(c("_s"), c("_e") + 1)))))
+    df = (df.withColumn("_bf", A.junction_interval(c("_first.refs"), c("_b0"), c("_e"), ~c("_first.rev")))
+            .withColumn("_bl", A.junction_interval(c("_last.refs"), c("_s"), c("_b1"), c("_last.rev"))))
+    df = (df.withColumn("_lbp", F.when(c("_lf"), c("_bf")).otherwise(c("_bl")))
+            .withColumn("_rbp", F.when(c("_lf"), c("_bl")).otherwise(c("_bf"))))
+    plus1, plus2 = ~c("_first.rev"), ~c("_last.rev")
+    overlap = F.when(plus1, ~(c("_first.end") < c("_last.pos"))).otherwise(~(c("_last.end") < c("_first.pos")))
+    n_left = F.when(c("_lf"), F.size("_fi")).otherwise(F.size("_li"))
+    n_right = F.when(c("_lf"), F.size("_li")).otherwise(F.size("_fi"))
+    ok = (has & (c("_left.q") != c("_right.q")) & (n_left > 0) & (n_right > 0)
+          & (c("_lbp.hi") - c("_lbp.lo") < n_left) & (c("_rbp.hi") - c("_rbp.lo") < n_right))
+    lo_first = c("_lbp.lo") <= c("_rbp.lo")
+    one = lambda f: F.when(lo_first, c(f"_lbp.{f}")).otherwise(c(f"_rbp.{f}"))
+    two = lambda f: F.when(lo_first, c(f"_rbp.{f}")).otherwise(c(f"_lbp.{f}"))
+    df = df.withColumn("split", F.when(ok, F.struct(
+        one("lo").alias("bp1_lo"), one("hi").alias("bp1_hi"), two("lo").alias("bp2_lo"), two("hi").alias("bp2_hi"),
+        A.split_type(plus1, plus2, overlap, c("_lf")).alias("split_type"))))
+    return df.select(*reads.columns, "split")
 
 
 def pair_numbers(reads: DataFrame, keys: list[str]) -> DataFrame:

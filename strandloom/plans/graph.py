@@ -9,7 +9,7 @@ from strandloom.config import CallConfig
 from strandloom.functions import align as A
 from strandloom.functions.paths import flip, node_adjacencies, node_sequence_to_path
 from strandloom.operators.interval import overlap_join, sweep
-from strandloom.operators.ordered import island_spans, islands, running
+from strandloom.operators.ordered import island_spans, running
 from strandloom.plans.evidence import is_read_through
 from strandloom.session import checkpoint
 
@@ -34,10 +34,11 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -
     prior = running(ends.withColumn("_pair", F.struct("bp_lo", "bp_hi")), ["chrom"], "bp_lo",
                     {"_prev": ("last", "_pair", False)})
     whole = (prior.join(reg, "chrom")
-             .withColumn("_prev", F.coalesce("_prev", F.struct("r_lo", "r_lo")))
+             .withColumn("_prev", F.coalesce("_prev", F.struct(F.col("r_lo").alias("bp_lo"), F.col("r_lo").alias("bp_hi"))))
              .select("chrom", F.col("_prev.bp_hi").alias("lo"), F.col("bp_lo").alias("hi"),
                      F.col("_prev.bp_lo").alias("p_lo"), F.col("bp_hi").alias("n_hi"))
              .where("hi > lo"))
+    whole = checkpoint(whole)
     pieces = sweep({"b": whole.select("chrom", "lo", "hi"), "g": gaps.select("chrom", "lo", "hi")},
                    ["chrom"], "lo", "hi").where("depth_b > 0 and depth_g = 0")
     pieces = pieces.select("chrom", F.col("pos").alias("lo"), F.col("end").alias("hi"))
@@ -48,12 +49,14 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -
               .withColumn("left_lo", F.coalesce("p_lo", "lo")).withColumn("left_hi", F.col("lo"))
               .withColumn("right_lo", F.col("hi")).withColumn("right_hi", F.coalesce("n_hi", "hi"))
               .withColumn("one", F.lit(1).cast("bigint")).withColumn("_me", F.struct("hi", "cut_r", "left_hi")))
+    framed = checkpoint(framed)
     seen = running(framed, ["chrom"], "lo", {"_p": ("last", "_me", False), "idx": ("sum", "one", False)})
     seen = seen.withColumn("brk", (F.col("cut_l") | F.coalesce(F.col("_p.cut_r"), F.lit(False))
                                    | (F.col("lo") - F.col("_p.hi") > F.col("lo") - F.col("left_lo"))
                                    ).cast("bigint"))
     seen = seen.withColumn("brk", F.when(F.col("_p").isNull(), 0).otherwise(F.col("brk"))).withColumn(
         "_lo", F.col("lo"))
+    seen = checkpoint(seen)
     out = running(seen, ["chrom"], "lo", {"seg": ("sum", "brk", True), "_nlo": ("next", "_lo", False)})
     return out.select(
         "chrom", F.col("idx").cast("int").alias("idx"), "lo", "hi", F.col("seg").cast("int").alias("seg"),
@@ -79,52 +82,59 @@ def _attach_blocks(pieces: DataFrame, blocks: DataFrame, width: int) -> DataFram
             .join(listed, ["chrom", "_bin"], "left").drop("_bin"))
 
 
-def _overlap_nodes(near: Column, m: Column, gaps: Column, rev: Column) -> Column:
-    """``struct<nodes, offset, first, last>`` of one alignment piece, in read order.
+def _touch(x: Column, b: Column) -> Column:
+    return (x["start"] < b["end"]) & (b["start"] < x["end"])
 
-    ``first``/``last`` are the outermost overlapped blocks in coordinate order.
+
+def place_piece(df: DataFrame, tag: str, near: str, mb: str, rev: Column) -> DataFrame:
+    """Blocks under one alignment piece: ``<tag>_hits`` (coordinate order), ``_nodes``, ``_offset``.
+
+    ``mb`` holds the match blocks and query gaps.  One column per step keeps the plan linear.
     """
-    hits = F.filter(near, lambda b: F.exists(m, lambda x: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    first, last = hits[0], F.element_at(hits, -1)
-
-    def first_touch(b):
-        return F.array_min(F.transform(m, lambda x, i: F.when(
-            (x["start"] < b["end"]) & (b["start"] < x["end"]), i)))
-
-    def total(arr, upto, after):
-        return F.aggregate(F.transform(arr, lambda x, i: F.when((i < upto) & (i >= after), x).otherwise(0)),
-                           F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-    lens = F.transform(m, lambda x: x["end"] - x["start"])
-    big = F.lit(1 << 20)
-    f, l = first_touch(first), first_touch(last)
-    forward = total(lens, f, F.lit(0)) + total(gaps, f + 1, F.lit(0)) - (F.get(m, f)["start"] - first["start"])
-    backward = total(lens, big, l) + total(gaps, big, l + 1) + F.get(m, l)["start"] - last["start"]
-    nodes = F.when(rev, F.reverse(F.transform(hits, lambda b: b["idx"] * 2))).otherwise(
-        F.transform(hits, lambda b: b["idx"] * 2 + 1))
-    ordered = F.when(rev, F.reverse(hits)).otherwise(hits)
-    return F.when(F.size(hits) > 0, F.struct(
-        nodes.alias("nodes"), F.when(rev, backward).otherwise(forward).alias("offset"),
-        ordered.alias("hits"), first["start"].alias("first_start"), last["end"].alias("last_end")))
-
-
-def _extent(on: Column) -> list[Column]:
-    """Node list of a read reduced to what the graph needs.
-
-    ``d``: inner length along the read's blocks, ``g``: gap credit, and the same for the last
-    node alone (``last_len``, ``last_gap``).
+    m, gaps = F.col(f"{mb}.blocks"), F.col(f"{mb}.gaps")
+    hits, f, l = f"{tag}_hits", f"{tag}_f", f"{tag}_l"
+    df = df.withColumn(hits, F.filter(near, lambda b: F.exists(m, lambda x: _touch(x, b))))
+    df = df.withColumn(hits, F.when(F.size(hits) > 0, F.col(hits)))
+    df = df.withColumn(f"{tag}_b0", F.get(hits, F.lit(0))).withColumn(f"{tag}_b1", F.try_element_at(hits, F.lit(-1)))
+    index = lambda b: F.array_min(F.transform(m, lambda x, i: F.when(_touch(x, F.col(b)), i)))
+    df = df.withColumn(f, index(f"{tag}_b0")).withColumn(l, index(f"{tag}_b1"))
+    zero = F.lit(0).cast("bigint")
+    span = lambda arr, keep, size: F.aggregate(
+        F.transform(arr, lambda x, i: F.when(keep(i), size(x)).otherwise(0)), zero, lambda a, x: a + x)
+    length, same = (lambda x: x["end"] - x["start"]), (lambda x: x)
+    forward = (span(m, lambda i: i < F.col(f), length) + span(gaps, lambda i: i <= F.col(f), same)
+               - F.get(m, F.col(f))["start"] + F.col(f"{tag}_b0.start"))
+    backward = (span(m, lambda i: i >= F.col(l), length) + span(gaps, lambda i: i > F.col(l), same)
+                + F.get(m, F.col(l))["start"] - F.col(f"{tag}_b1.start"))
+    df = df.withColumn(f"{tag}_offset", F.when(rev, backward).otherwise(forward))
+    nodes = F.transform(hits, lambda b: b["idx"] * 2 + F.when(rev, 0).otherwise(1))
+    return (df.withColumn(f"{tag}_nodes", F.when(rev, F.reverse(nodes)).otherwise(nodes))
+              .withColumn(hits, F.when(rev, F.reverse(hits)).otherwise(F.col(hits)))
+              .drop(f, l, f"{tag}_b0", f"{tag}_b1"))
+
+
+def _summarise(df: DataFrame, true_len: Column) -> DataFrame:
+    """Adds ``on`` from ``nodes``, ``hits`` and ``offset``.
+
+    ``d``: length along the read's blocks, ``g``: gap credit, and the share of the last node
+    alone (``last_len``, ``last_gap``).
     """
-    hits, nodes = on["hits"], on["nodes"]
-    gap_at = lambda h, node: F.when(node % 2 == 1, h["gap_right"]).otherwise(h["gap_left"])
     both = lambda h: h["gap_left"] + h["gap_right"]
     length = lambda h: h["end"] - h["start"]
-    rest = F.slice(hits, 2, F.greatest(F.size(hits) - 1, F.lit(0)))
     zero = F.lit(0).cast("bigint")
-    d = (F.when(nodes[0] % 2 == 1, length(hits[0])).otherwise(0)
-         + F.aggregate(rest, zero, lambda a, h: a + length(h)))
-    g = gap_at(hits[0], nodes[0]) + F.aggregate(rest, zero, lambda a, h: a + both(h))
-    tip = F.element_at(hits, -1)
-    return [d.alias("d"), g.alias("g"), length(tip).alias("last_len"), both(tip).alias("last_gap")]
+    sized = F.when(F.size("nodes") > 0, F.slice("hits", F.lit(2), F.size("hits")))
+    df = df.withColumn("_rest", sized).withColumn("_h0", F.get("hits", F.lit(0))).withColumn(
+        "_tip", F.try_element_at("hits", F.lit(-1)))
+    odd = F.get("nodes", F.lit(0)) % 2 == 1
+    tip = F.col("_tip")
+    on = F.struct(
+        F.col("nodes"), (F.col("offset") + true_len).alias("offset"),
+        (F.when(odd, length(F.col("_h0"))).otherwise(0)
+         + F.aggregate("_rest", zero, lambda a, h: a + length(h))).alias("d"),
+        (F.when(odd, F.col("_h0.gap_right")).otherwise(F.col("_h0.gap_left"))
+         + F.aggregate("_rest", zero, lambda a, h: a + both(h))).alias("g"),
+        length(tip).alias("last_len"), both(tip).alias("last_gap"))
+    return df.withColumn("on", F.when(F.size("nodes") > 0, on))
 
 
 def reads_on_blocks(reads: DataFrame, blocks: DataFrame, cfg: CallConfig, read_len: int = 0,
@@ -134,70 +144,52 @@ def reads_on_blocks(reads: DataFrame, blocks: DataFrame, cfg: CallConfig, read_l
     A split read contributes the nodes of both pieces when each piece ends at a block edge.
     """
     rf = cfg.library_is_rf
-    sa_all = A.parse_sa(F.col("sa"))
-    sa = sa_all[0]
-    split_ok = (F.lit(cfg.do_splits) & F.col("sa").isNotNull() & (F.size(sa_all) == 1)
-                & (sa["mapq"] >= cfg.min_mapq_reads) & (sa["rname"] == F.col("rname"))
-                & (F.abs(sa["pos"] + 1 - F.col("pos")) <= cfg.max_pair_distance))
-    base = (reads.withColumn("chrom", F.col("rname"))
-            .withColumn("_split", F.coalesce(split_ok, F.lit(False)))
-            .withColumn("_s", F.when(F.col("_split"), F.struct(
-                sa["pos"].alias("pos"), A.cigar_ops(sa["cigar"]).alias("ops"), sa["is_reverse"].alias("rev"))))
-            .withColumn("_uid", F.monotonically_increasing_id()))
-    base = base.drop("_uid")
+    turn = (lambda c: ~c) if rf else (lambda c: c)
+    sa = F.col("_sas")[0]
+    ok = (F.lit(cfg.do_splits) & (F.size("_sas") == 1) & (sa["mapq"] >= cfg.min_mapq_reads)
+          & (sa["rname"] == F.col("rname")) & (F.abs(sa["pos"] + 1 - F.col("pos")) <= cfg.max_pair_distance))
+    base = (reads.withColumn("chrom", F.col("rname")).withColumn("_sas", A.parse_sa(F.col("sa")))
+            .withColumn("_sa", F.when(ok, sa)).withColumn("_mb", A.match_blocks(F.col("ops"), F.col("pos"))))
     main = _attach_blocks(base, blocks, width)
-    main = main.withColumn("_mb", A.match_blocks(F.col("ops"), F.col("pos")))
-    rev = ~F.col("is_reverse") if rf else F.col("is_reverse")
-    plain = main.where("not _split").withColumn(
-        "_o", _overlap_nodes(F.col("near"), F.col("_mb.blocks"), F.col("_mb.gaps"), rev))
-    plain = plain.withColumn("_first", F.lit(None).cast("boolean"))
     true_len = F.lit(read_len) - F.col("qlen") if read_len else F.lit(0)
-    plain = plain.withColumn("on", F.when(F.col("_o").isNotNull(), F.struct(
-        F.col("_o.nodes").alias("nodes"), (F.col("_o.offset") + true_len).alias("offset"), *_extent(F.col("_o")))))
-
-    split = main.where("_split").withColumnRenamed("near", "_near1")
-    split = (split.withColumn("_p", F.struct("pos", "end")).withColumn("pos", F.col("_s.pos"))
-             .withColumn("end", F.col("_s.pos") + A.reference_length(F.col("_s.ops"))))
-    split = _attach_blocks(split, blocks, width).withColumnRenamed("near", "_near2")
-    split = (split.withColumn("_e2", F.col("end")).withColumn("_p2", F.col("pos"))
-             .withColumn("pos", F.col("_p.pos")).withColumn("end", F.col("_p.end")))
-    start = lambda ops, r: F.when(r, A.clip_right(ops)).otherwise(A.clip_left(ops))
-    q1, q2 = start(F.col("ops"), F.col("is_reverse")), start(F.col("_s.ops"), F.col("_s.rev"))
-    mb2 = A.match_blocks(F.col("_s.ops"), F.col("_s.pos"))
-    flip_if = (lambda c: ~c) if rf else (lambda c: c)
-    one = F.struct(F.col("pos").alias("pos"), F.col("end").alias("end"), flip_if(F.col("is_reverse")).alias("rev"),
-                   _overlap_nodes(F.col("_near1"), F.col("_mb.blocks"), F.col("_mb.gaps"),
-                                  flip_if(F.col("is_reverse"))).alias("o"))
-    two = F.struct(F.col("_p2").alias("pos"), F.col("_e2").alias("end"), flip_if(F.col("_s.rev")).alias("rev"),
-                   _overlap_nodes(F.col("_near2"), mb2["blocks"], mb2["gaps"], flip_if(F.col("_s.rev"))).alias("o"))
-    main_first = (q1 < q2) if not rf else (q1 > q2)
-    split = (split.withColumn("_1", F.when(main_first, one).otherwise(two))
-             .withColumn("_2", F.when(main_first, two).otherwise(one)))
-    leeway = cfg.split_read_leeway
-
-    def at_edge(p: str, first: bool) -> Column:
-        # the junction side of a piece must lie within the leeway of its block edge
-        o, at_end = F.col(f"{p}.o"), (~F.col(f"{p}.rev") if first else F.col(f"{p}.rev"))
-        edge = F.element_at(o["hits"], -1) if first else o["hits"][0]
-        ok = F.when(at_end, edge["end"] - F.col(f"{p}.end") <= leeway).otherwise(
-            F.col(f"{p}.pos") - edge["start"] <= leeway)
-        return F.coalesce(ok, F.lit(True))
-
-    none = F.array().cast("array<int>")
-    no_hits = F.lit(None).cast(split.select(F.col("_1.o.hits").alias("h")).schema["h"].dataType)
-    hits = F.concat(F.coalesce(F.col("_1.o.hits"), F.slice(F.coalesce(F.col("_2.o.hits"), no_hits), 1, 0)),
-                    F.coalesce(F.col("_2.o.hits"), F.slice(F.coalesce(F.col("_1.o.hits"), no_hits), 1, 0)))
-    nodes = F.concat(F.coalesce(F.col("_1.o.nodes"), none), F.coalesce(F.col("_2.o.nodes"), none))
-    joined = F.struct(nodes.alias("nodes"), hits.alias("hits"),
-                      F.coalesce(F.col("_1.o.offset"), F.col("_2.o.offset")).alias("offset"))
-    usable = ((q1 != q2) & (F.size(nodes) > 0) & at_edge("_1", True) & at_edge("_2", False)
-              & F.col("_near1").isNotNull() & F.col("_near2").isNotNull())
-    split = split.withColumn("_o", F.when(usable, joined)).withColumn("on", F.when(
-        F.col("_o").isNotNull(), F.struct(
-            F.col("_o.nodes").alias("nodes"), (F.col("_o.offset") + true_len).alias("offset"),
-            *_extent(F.col("_o")))))
     keep = [*reads.columns, "chrom", "on"]
-    return plain.select(*keep).unionByName(split.select(*keep))
+
+    plain = place_piece(main.where("_sa is null"), "p", "near", "_mb", turn(F.col("is_reverse")))
+    plain = plain.withColumnsRenamed({"p_nodes": "nodes", "p_hits": "hits", "p_offset": "offset"})
+    plain = _summarise(plain, true_len).select(*keep)
+
+    split = place_piece(main.where("_sa is not null"), "m", "near", "_mb", turn(F.col("is_reverse"))).drop("near")
+    split = (split.withColumn("_sops", A.cigar_ops(F.col("_sa.cigar"))).withColumn("_own", F.struct("pos", "end"))
+             .withColumn("pos", F.col("_sa.pos")).withColumn("end", F.col("pos") + A.reference_length(F.col("_sops")))
+             .withColumn("_mb2", A.match_blocks(F.col("_sops"), F.col("pos"))))
+    split = place_piece(_attach_blocks(split, blocks, width), "s", "near", "_mb2", turn(F.col("_sa.is_reverse")))
+    side = lambda pos, end, rev, tag: F.struct(
+        pos.alias("pos"), end.alias("end"), rev.alias("rev"), F.col(f"{tag}_nodes").alias("nodes"),
+        F.col(f"{tag}_hits").alias("hits"), F.col(f"{tag}_offset").alias("offset"))
+    start = lambda o, r: F.when(r, A.clip_right(o)).otherwise(A.clip_left(o))
+    split = (split.withColumn("_one", side(F.col("_own.pos"), F.col("_own.end"), turn(F.col("is_reverse")), "m"))
+                  .withColumn("_two", side(F.col("pos"), F.col("end"), turn(F.col("_sa.is_reverse")), "s"))
+                  .withColumn("_q1", start(F.col("ops"), F.col("is_reverse")))
+                  .withColumn("_q2", start(F.col("_sops"), F.col("_sa.is_reverse")))
+                  .withColumn("pos", F.col("_own.pos")).withColumn("end", F.col("_own.end")))
+    main_first = (F.col("_q1") < F.col("_q2")) if not rf else (F.col("_q1") > F.col("_q2"))
+    split = (split.withColumn("_1", F.when(main_first, F.col("_one")).otherwise(F.col("_two")))
+                  .withColumn("_2", F.when(main_first, F.col("_two")).otherwise(F.col("_one")))
+                  .withColumn("_edge1", F.try_element_at("_1.hits", F.lit(-1))).withColumn("_edge2", F.get("_2.hits", F.lit(0))))
+
+    def at_edge(p: str, edge: str, at_end: Column) -> Column:
+        # the junction side of a piece must lie within the leeway of its block edge
+        fits = F.when(at_end, F.col(f"{edge}.end") - F.col(f"{p}.end") <= cfg.split_read_leeway).otherwise(
+            F.col(f"{p}.pos") - F.col(f"{edge}.start") <= cfg.split_read_leeway)
+        return F.coalesce(fits, F.lit(True))
+
+    usable = ((F.col("_q1") != F.col("_q2")) & at_edge("_1", "_edge1", ~F.col("_1.rev"))
+              & at_edge("_2", "_edge2", F.col("_2.rev")))
+    cat = lambda f: F.when(F.col(f"_1.{f}").isNull(), F.col(f"_2.{f}")).when(
+        F.col(f"_2.{f}").isNull(), F.col(f"_1.{f}")).otherwise(F.concat(f"_1.{f}", f"_2.{f}"))
+    split = (split.withColumn("nodes", F.when(usable, cat("nodes"))).withColumn("hits", cat("hits"))
+                  .withColumn("offset", F.coalesce("_1.offset", "_2.offset")))
+    return plain.unionByName(_summarise(split, true_len).select(*keep))
 
 
 # --- pairs to observations -------------------------------------------------------------
@@ -327,7 +319,7 @@ def cut_points(edges: DataFrame, blocks: DataFrame, min_support: int) -> DataFra
         .when(F.col("neighbor") < 2 * F.col("idx") - 2, F.col("_o") + 1).cast("bigint").alias("lo"),
         F.when(F.col("neighbor") > 2 * F.col("idx") + 3, F.col("_o"))
         .when(F.col("neighbor") < 2 * F.col("idx") - 2, F.col("idx")).cast("bigint").alias("hi"))
-    spans = island_spans(jumps.where("hi > lo"), ["chrom"], "lo", "hi")
+    spans = checkpoint(island_spans(checkpoint(jumps.where("hi > lo")), ["chrom"], "lo", "hi"))
     spanned = spans.select("chrom", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("idx"))
     return (home.join(wrong, ["chrom", "idx"], "left_anti")
             .join(spanned.withColumn("idx", F.col("idx").cast("int")).distinct(), ["chrom", "idx"], "left_anti")
@@ -336,10 +328,10 @@ def cut_points(edges: DataFrame, blocks: DataFrame, min_support: int) -> DataFra
 
 def decompose(edges: DataFrame, blocks: DataFrame, min_support: int) -> DataFrame:
     """Minimal subgraphs: from the end of one run of cut blocks to the start of the next."""
-    cuts = cut_points(edges, blocks, min_support)
+    cuts = checkpoint(cut_points(edges, blocks, min_support))
     runs = island_spans(cuts.select("chrom", "seg", F.col("idx").alias("lo"), F.col("idx").alias("hi")),
                         ["chrom", "seg"], "lo", "hi", 1)
-    return (running(runs, ["chrom", "seg"], "lo", {"_prev": ("last", "hi", False)})
+    return (running(checkpoint(runs), ["chrom", "seg"], "lo", {"_prev": ("last", "hi", False)})
             .where("_prev is not null").select("chrom", "seg", F.col("_prev").alias("start"), F.col("lo").alias("end")))
 
 
@@ -364,6 +356,6 @@ def expand_subgraphs(subgraphs: DataFrame, blocks: DataFrame, width: float) -> D
     wide = near.groupBy("chrom", "seg", "start", "end").agg(F.min(left).alias("_l"), F.max(right).alias("_r"))
     wide = wide.select("chrom", "seg", F.least("start", F.coalesce("_l", "start")).alias("lo"),
                        F.greatest("end", F.coalesce("_r", "end")).alias("hi"))
-    merged = island_spans(wide, ["chrom", "seg"], "lo", "hi", -1)
+    merged = island_spans(checkpoint(wide), ["chrom", "seg"], "lo", "hi", -1)
     return merged.select("chrom", "seg", F.col("lo").cast("int").alias("start"), F.col("hi").cast("int").alias("end"),
                          F.xxhash64("chrom", "seg", "lo").alias("sub"))
