@@ -23,8 +23,11 @@ def event_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = ev.withColumn("p", F.expr("event_id div 2")).withColumn("mate", i("event_id % 2"))
     df = df.withColumn("idx", F.expr(f"p div {PAIRS_PER_CONTIG}")).withColumn("base", i(f"(p * 7919) % {SPAN}"))
     snapped = F.expr("1000 + (base div 600) * 600")
-    df = (df.withColumn("a", F.when(p % 5 == 2, snapped + p % 4).when(p % 5 == 3, snapped - 97 + p % 3).otherwise(1000 + F.col("base")))
-            .withColumn("kind", p % 20)
+    # discordant templates gather at ten loci a contig
+    locus = F.expr("1000 + (base div 6000) * 6000 + (p * 37) % 500")
+    df = (df.withColumn("kind", p % 20)
+            .withColumn("a", F.when(p % 5 == 2, snapped + p % 4).when(p % 5 == 3, snapped - 97 + p % 3)
+                        .when(F.col("kind") < 5, locus).otherwise(1000 + F.col("base")))
             .withColumn("size", 270 + (p * 31) % 61 + F.when(F.col("kind") == 0, 700).when(F.col("kind") == 2, -150).otherwise(0)))
     rev = lambda m: F.when(F.col("kind") == 1, m == 0).when(F.col("kind") == 3, False).when(F.col("kind") == 4, True).otherwise(m == 1)
     at = lambda m: F.when(m == 0, F.col("a")).otherwise(F.col("a") + F.col("size") - 100)
@@ -45,7 +48,7 @@ def event_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     chrom = F.concat(F.lit("c"), s(F.col("idx")))
     sa_pos = F.col("a") + 161 + (p % 7) * 100
     sa = F.concat_ws(",", chrom, s(sa_pos), F.when(p % 3 == 0, "-").otherwise("+"),
-                     F.when(p % 3 == 0, "40M60S").otherwise("60S40M"), F.lit("40"), F.lit("0;"))
+                     F.when(rev(m) == (p % 3 == 0), "60S40M").otherwise("40M60S"), F.lit("40"), F.lit("0;"))
     return df.select(
         s(p).alias("qname"), flag.cast("int").alias("flag"), chrom.alias("rname"), at(m).cast("int").alias("pos"),
         F.expr("cast((user_id * 7) % 61 as int)").alias("mapq"), cigar.alias("cigar"), chrom.alias("mrname"), at(o).cast("int").alias("mpos"),
@@ -60,7 +63,7 @@ READS_SQL = """
 WITH e0 AS (SELECT event_id, user_id, event_type, event_id // 2 AS p, event_id % 2 AS mate FROM events),
 e1 AS (SELECT *, p // 1250 AS idx, (p * 7919) % 60000 AS base, p % 20 AS kind FROM e0),
 e2 AS (SELECT *, CASE WHEN p % 5 = 2 THEN 1000 + (base // 600) * 600 + p % 4
-                      WHEN p % 5 = 3 THEN 1000 + (base // 600) * 600 - 97 + p % 3 ELSE 1000 + base END AS a,
+                      WHEN p % 5 = 3 THEN 1000 + (base // 600) * 600 - 97 + p % 3 WHEN kind < 5 THEN 1000 + (base // 6000) * 6000 + (p * 37) % 500 ELSE 1000 + base END AS a,
               270 + (p * 31) % 61 + CASE WHEN kind = 0 THEN 700 WHEN kind = 2 THEN -150 ELSE 0 END AS size FROM e1),
 r AS (SELECT 'lib' || (1 + idx % 2) AS lib, 'c' || idx AS chrom, p, CAST(p AS VARCHAR) AS qname, mate, (user_id * 7) % 61 AS mapq,
              CASE WHEN mate = 0 THEN a ELSE a + size - 100 END AS pos,

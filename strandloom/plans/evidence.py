@@ -31,7 +31,8 @@ def with_splits(reads: DataFrame, cfg: CallConfig) -> DataFrame:
     """Adds ``split``: class and two breakpoint intervals of a split read, else NULL.
 
     A read qualifies with one supplementary piece on its contig, both pieces well mapped.  The
-    steps are separate columns so that each is planned and evaluated once.
+    steps are separate columns so that each is planned and evaluated once; persist or write the
+    result before filtering on ``split``, or the filter is pushed down through all of them.
     """
     if not cfg.do_splits:
         return reads.withColumn("split", F.lit(None).cast(SPLIT))
