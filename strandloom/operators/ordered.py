@@ -43,12 +43,16 @@ def running(df: DataFrame, part: list[str], pos: str, outputs: dict[str, tuple],
     for name, (kind, col, inclusive) in outputs.items():
         local, total, carry = f"_l_{name}", f"_t_{name}", f"_c_{name}"
         if kind == "next":
-            frame = inner.rowsBetween(1, Window.unboundedFollowing)
-            rows = rows.withColumn(local, F.first(col, ignorenulls=True).over(frame))
+            # looking ahead is a running "last" in the opposite order; a frame that ends at
+            # "unbounded following" would be re-evaluated for every row
+            turned = Window.partitionBy(*part, "_bin").orderBy(F.col(pos).asc() if descending else F.col(pos).desc())
+            frame = turned.rowsBetween(Window.unboundedPreceding, -1)
+            rows = rows.withColumn(local, F.last(col, ignorenulls=True).over(frame))
             pick = F.max_by if descending else F.min_by
             totals.append(pick(col, F.when(F.col(col).isNotNull(), F.col(pos))).alias(total))
-            carries.append(F.first(total, ignorenulls=True)
-                           .over(across.rowsBetween(1, Window.unboundedFollowing)).alias(carry))
+            back = Window.partitionBy(*part).orderBy(F.col("_bin").asc() if descending else F.col("_bin").desc())
+            carries.append(F.last(total, ignorenulls=True)
+                           .over(back.rowsBetween(Window.unboundedPreceding, -1)).alias(carry))
             finals.append(F.coalesce(local, carry).alias(name))
             continue
         frame = inner.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)

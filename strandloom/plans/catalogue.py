@@ -35,15 +35,15 @@ def query(name: str, sql: str | None = None, reads: bool = False):
     return add
 
 
-def reads_of(spark, sf) -> DataFrame:
+def reads_of(spark, sf, cfg: CallConfig = CFG) -> DataFrame:
     # written out once: a filter on a derived column would otherwise be pushed down through the
     # whole chain of split columns and copy their expressions
     raw = event_alignments(spark, sf)
-    return checkpoint(E.with_splits(E.with_geometry(raw.where(A.usable())), CFG).drop("tags", "seq"))
+    return checkpoint(E.with_splits(E.with_geometry(raw.where(A.usable())), cfg).drop("tags", "seq"))
 
 
-def pairs_of(spark, sf) -> DataFrame:
-    return E.mates(reads_of(spark, sf).drop("ops", "qual"))
+def pairs_of(spark, sf, splits: bool = False) -> DataFrame:
+    return E.mates(reads_of(spark, sf, CFG.with_options(do_splits=splits)).drop("ops", "qual"))
 
 
 def big(*cols):
@@ -348,7 +348,7 @@ def _(spark, sf):
 
 @query("split_evidence")
 def _(spark, sf):
-    return E.split_evidence(pairs_of(spark, sf))
+    return E.split_evidence(pairs_of(spark, sf, splits=True))
 
 
 CLIPS = """, cb AS (SELECT lib, chrom, p, mapq, rev, cl > 0 AS is_left, CASE WHEN cl > 0 THEN pos ELSE ref_end END AS pos,

@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan with fewer splits than cores; large inputs keep their splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def event_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as alignments in the ALIGNMENT schema (sequence omitted)."""
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
     p, i = F.col("p"), lambda e: F.expr(f"cast({e} as bigint)")
     df = ev.withColumn("p", F.expr("event_id div 2")).withColumn("mate", i("event_id % 2"))
     df = df.withColumn("idx", F.expr(f"p div {PAIRS_PER_CONTIG}")).withColumn("base", i(f"(p * 7919) % {SPAN}"))
