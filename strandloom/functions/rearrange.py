@@ -11,8 +11,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import numpy as np
-
 
 def visits_of(path):
     """(block, inverted) of every traversal."""
@@ -244,24 +242,26 @@ def affected_length(path, blocks):
     ref = [(b, False) for b in range(n_ref)] + [None]
     alt = visits_of(path) + [None]
     n, m = len(ref), len(alt)
-    same = np.array([[1000 if r == a else -1 for a in alt] for r in ref])
-    fwd, bwd = np.zeros((n + 1, m + 1), int), np.zeros((n + 1, m + 1), int)
-    fwd[:, 0], fwd[0, :] = -np.arange(n + 1), -np.arange(m + 1)
-    bwd[:, m], bwd[n, :] = -np.arange(n, -1, -1), -np.arange(m, -1, -1)
+    if ref == alt:
+        return 0
+    same = [[1000 if r == a else -1 for a in alt] for r in ref]
+    fwd = [[-max(i, j) if 0 in (i, j) else 0 for j in range(m + 1)] for i in range(n + 1)]
+    bwd = [[-max(n - i, m - j) if i == n or j == m else 0 for j in range(m + 1)] for i in range(n + 1)]
     for i in range(1, n + 1):
         for j in range(1, m + 1):
-            fwd[i, j] = max(fwd[i - 1, j] - 1, fwd[i, j - 1] - 1, fwd[i - 1, j - 1] + same[i - 1, j - 1])
+            fwd[i][j] = max(fwd[i - 1][j] - 1, fwd[i][j - 1] - 1, fwd[i - 1][j - 1] + same[i - 1][j - 1])
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            bwd[i, j] = max(bwd[i + 1, j] - 1, bwd[i, j + 1] - 1, bwd[i + 1, j + 1] + same[i, j])
-    best, hit = fwd[n, m], set()
+            bwd[i][j] = max(bwd[i + 1][j] - 1, bwd[i][j + 1] - 1, bwd[i + 1][j + 1] + same[i][j])
+    best, hit = fwd[n][m], set()
     for i in range(n + 1):
         for j in range(m + 1):
-            if i < n and j < m and same[i, j] < 0 and fwd[i, j] - 1 + bwd[i + 1, j + 1] == best:
+            here = fwd[i][j]
+            if i < n and j < m and same[i][j] < 0 and here - 1 + bwd[i + 1][j + 1] == best:
                 hit |= {x[0] for x in (ref[i], alt[j]) if x}
-            if i < n and ref[i] and fwd[i, j] - 1 + bwd[i + 1, j] == best:
+            if i < n and ref[i] and here - 1 + bwd[i + 1][j] == best:
                 hit.add(ref[i][0])
-            if j < m and alt[j] and fwd[i, j] - 1 + bwd[i, j + 1] == best:
+            if j < m and alt[j] and here - 1 + bwd[i][j + 1] == best:
                 hit.add(alt[j][0])
     return sum(blocks[b]["hi"] - blocks[b]["lo"] for b in hit)
 

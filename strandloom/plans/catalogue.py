@@ -17,7 +17,7 @@ from strandloom.plans import filter_merge as M
 from strandloom.plans import graph as G
 from strandloom.plans import inference as N
 from strandloom.plans import library as L
-from strandloom.plans.derived import READS_SQL, event_alignments, table
+from strandloom.plans.derived import READS_SQL, event_alignments, spread, table
 from strandloom.session import checkpoint
 
 QUERIES: dict = {}
@@ -780,7 +780,7 @@ HAPS = {"DEL": [0, 1, 4, 5, 6, 7], "INV": [0, 1, 3, 2, 4, 5, 6, 7], "DUP:TANDEM"
     CASE o_orderkey % 4 WHEN 3 THEN 100 + o_custkey % 50 + 100 ELSE 100 + o_custkey % 50 END AS affected FROM orders WHERE o_orderkey % 4 < 3""")
 def _(spark, sf):
     from strandloom.plans import classify as C
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey").where("o_orderkey % 4 < 3")
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey").where("o_orderkey % 4 < 3"))
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
     names = list(HAPS)
     path = F.when(F.col("o_orderkey") % 4 == 0, arr(HAPS[names[0]])).when(F.col("o_orderkey") % 4 == 1, arr(HAPS[names[1]])).when(
@@ -815,7 +815,7 @@ CALLS = """WITH calls AS (SELECT CASE WHEN l_suppkey % 24 < 22 THEN CAST(l_suppk
 def calls_of(spark, sf):
     n, s = F.col("l_linenumber"), lambda c: c.cast("string")
     kind = F.when(n == 1, "DEL").when(n == 2, "INV").when(n == 3, "DUP").when(n == 4, "INS").otherwise("BND,BND")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.when(F.col("l_suppkey") % 24 < 22, s(F.col("l_suppkey") % 24 + 1)).otherwise("X").alias("chrom"), (F.col("l_partkey") * 10).alias("minbp"),
         (F.col("l_partkey") * 10 + F.col("l_quantity").cast("bigint")).alias("maxbp"),
         F.concat(s(F.col("l_orderkey")), F.lit("-"), s(n), F.when(n == 5, "_1").otherwise("")).alias("id"), kind.alias("svtype"),

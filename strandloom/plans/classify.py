@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from strandloom.config import CallConfig
 from strandloom.functions import rearrange as R
 from strandloom.functions.paths import complex_type, is_reference_path, path_to_string
+from strandloom.session import spread_groups
 
 _INT, _STR = T.LongType(), T.StringType()
 EVENT_FIELDS = [
@@ -55,8 +56,9 @@ def describe_udf(cfg: CallConfig):
             span = (table[p[0] // 2]["lo"], table[p[-1] // 2]["hi"])
             simple, (sp, sq) = R.simplify(table, [p, q])
             cuts, mid = R.midpoint_blocks(simple)
-            rows.append((simple, cuts, R.diploid_events(p, q, table, int(n), c, span),
-                         haplotype(p, sp, table, simple, mid), haplotype(q, sq, table, simple, mid)))
+            first = haplotype(p, sp, table, simple, mid)
+            second = first if p == q else haplotype(q, sq, table, simple, mid)
+            rows.append((simple, cuts, R.diploid_events(p, q, table, int(n), c, span), first, second))
         return pd.DataFrame(rows, columns=CALL.names)
 
     return describe
@@ -74,7 +76,7 @@ def describe_calls(calls: DataFrame, blocks: DataFrame, cfg: CallConfig) -> Data
     item = F.struct("idx", "lo", "hi", "gap_left", "gap_right", "novel", F.col("left_lo").alias("ll"),
                     F.col("left_hi").alias("lh"), F.col("right_lo").alias("rl"), F.col("right_hi").alias("rh"))
     table = (inside.join(blocks, ["chrom", "idx"]).groupBy("sub").agg(F.collect_list(item).alias("bs")))
-    return variant.join(table, "sub").withColumn(
+    return spread_groups(variant.join(table, "sub"), "sub").withColumn(
         "c", describe_udf(cfg)("path1", "path2", "bs", "n_genome", "chrom")).drop("bs")
 
 

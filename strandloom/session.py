@@ -21,6 +21,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` over all shuffle partitions ahead of CPU-bound per-group work.
+
+    A partition count given here is kept by adaptive execution, which otherwise merges
+    partitions that are small in bytes but expensive to process.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _context_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
