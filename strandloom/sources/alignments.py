@@ -120,7 +120,9 @@ class _Stream:
             here, (data, self.next) = self.next, got
             drop = self.at
             self.buf, self.at = self.buf[drop:], 0
-            self.marks = [(max(0, p - drop), o) for p, o in self.marks][-2:]
+            moved = [(p - drop, o) for p, o in self.marks]
+            # blocks wholly behind the cursor are forgotten, except the one the cursor is in
+            self.marks = [x for x in moved if x[0] <= 0][-1:] + [x for x in moved if x[0] > 0]
             self.marks.append((len(self.buf), here))
             self.buf += data
         return True
