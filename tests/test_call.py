@@ -9,15 +9,15 @@ N = 60000
 
 
 @pytest.fixture(scope="module")
-def result(spark):
-    ref = haplotype([(0, N, 1)])
+def result(spark, tmp_path_factory):
     # homozygous deletion, inversion; heterozygous tandem duplication
     base = [(0, 10000, 1), (10800, 20000, 1), (20000, 21500, -1), (21500, 30000, 1)]
     h1 = haplotype(base + [(30000, 45000, 1), (44000, N, 1)])
     h2 = haplotype(base + [(30000, N, 1)])
-    del ref
     rows = simulate([h1, h2], coverage=30)
-    aln = spark.createDataFrame(rows, ALIGNMENT)
+    path = str(tmp_path_factory.mktemp("aln") / "reads")
+    spark.createDataFrame(rows, ALIGNMENT).write.parquet(path)
+    aln = spark.read.parquet(path)
     regions = spark.createDataFrame([("c1", 0, N)], "chrom string, lo bigint, hi bigint")
     gaps = spark.createDataFrame([("c1", 50000, 50200)], "chrom string, lo bigint, hi bigint")
     return call(aln, regions, gaps, CallConfig())
