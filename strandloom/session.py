@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where the
-    session names none (tests on one machine) is a scratch folder chosen.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  Only a session on one machine
+    that names none gets a scratch folder; anywhere else that would be a local disk, so it fails.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not _context_dir(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    elif not _context_dir(spark):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Like ``checkpoint``, as a Parquet table: compressed, and later scans can prune columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by ``keys`` over all shuffle partitions ahead of CPU-bound per-group work.
 
@@ -30,10 +45,6 @@ def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _context_dir(spark: SparkSession) -> str | None:
-    return spark.sparkContext.getCheckpointDir()
-
-
 def local_session(name: str = "strandloom", cores: str = "*", shuffle: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
