@@ -80,7 +80,14 @@ def test_packing_holds_every_piece_once(spark, library):
     for parts in bins.values():
         parts.sort()
         assert all(o == sum(n for _, n in parts[:i]) for i, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 4096
-    assert len(bins) <= -(-sum(r["length"] for r in got) // 4096) + 1
+    first_fit: list[int] = []
+    for n in sorted((r["length"] for r in got), reverse=True):
+        at = next((i for i, used in enumerate(first_fit) if used + n <= 4096), None)
+        if at is None:
+            first_fit.append(n)
+        else:
+            first_fit[at] += n
+    assert len(bins) <= len(first_fit)
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
