@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chunks, packing, sharding
+from strandloom.llm import chunks, language, packing, quality, sharding
 
 
 def _table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op2_nearest_centroid(spark, sf_dir):
+    return language.identify(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), language.held_out_by(5, 0))
+
+
 def op5_chunk_reuse(spark, sf_dir):
     return chunks.encode_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -21,5 +25,10 @@ def op9_minimum_bin_slack(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op5_chunk_reuse, op7_sampled_splitters, op9_minimum_bin_slack)}
+def op10_co_training(spark, sf_dir):
+    return quality.classify(_table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang", "n_chars"),
+                            _table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+QUERIES = {f.__name__: f for f in (op2_nearest_centroid, op5_chunk_reuse, op7_sampled_splitters, op9_minimum_bin_slack, op10_co_training)}
 ORACLES: dict[str, str] = {}
