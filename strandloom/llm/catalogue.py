@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import chunks, jaccard, language, packing, quality, sharding
+from strandloom.llm import brown, chunks, jaccard, language, packing, quality, sharding
 
 
 def _table(spark, sf_dir, name, *columns):
@@ -17,6 +17,10 @@ def op3_heavy_light(spark, sf_dir):
     return jaccard.join_sets(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("th", "component")
 
 
+def op4_brown_classes(spark, sf_dir):
+    return brown.score(_table(spark, sf_dir, "documents", "doc_id", "text"), language.held_out_by(7, 2))
+
+
 def op5_chunk_reuse(spark, sf_dir):
     return chunks.encode_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -34,5 +38,5 @@ def op10_co_training(spark, sf_dir):
                             _table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_centroid, op3_heavy_light, op5_chunk_reuse, op7_sampled_splitters, op9_minimum_bin_slack, op10_co_training)}
+QUERIES = {f.__name__: f for f in (op2_nearest_centroid, op3_heavy_light, op4_brown_classes, op5_chunk_reuse, op7_sampled_splitters, op9_minimum_bin_slack, op10_co_training)}
 ORACLES: dict[str, str] = {}

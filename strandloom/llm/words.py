@@ -56,27 +56,27 @@ def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         at = to
 
 
-def block_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a block in order, and for each row where its words start (n + 1)."""
-    if not len(raw):
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+def block_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of a block, and where its words start and end in them."""
     low = _LOWER[raw]
     word = ~_GAP[low]
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], word[:-1]])
-    starts = np.flatnonzero(word & (~before | edge[:-1]))
     after = np.concatenate([word[1:], [False]])
-    ends = np.flatnonzero(word & (~after | edge[1:])) + 1
-    up, down = powers(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return hashes, np.searchsorted(starts, offsets)
-
-
-def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, word hashes, row offsets in them) for a text column."""
-    for at, to, raw, offsets in text_blocks(column):
-        hashes, rows = block_words(raw, offsets)
-        yield at, to, hashes, rows
+    return low, np.flatnonzero(word & (~before | edge[:-1])), np.flatnonzero(word & (~after | edge[1:])) + 1
+
+
+def span_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = powers(len(low))
+    total = np.zeros(len(low) + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:len(low)], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
+def block_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a block in order, and for each row where its words start (n + 1)."""
+    if not len(raw):
+        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
+    low, starts, ends = block_spans(raw, offsets)
+    return span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
