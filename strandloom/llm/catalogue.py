@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import brown, chunks, fingerprints, jaccard, language, packing, quality, sharding
+from strandloom.llm import brown, chunks, extract, fingerprints, jaccard, language, packing, quality, sharding
 
 
 def _table(spark, sf_dir, name, *columns):
@@ -33,6 +33,10 @@ def op7_sampled_splitters(spark, sf_dir):
     return sharding.shard_by_size(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_tree_scoring(spark, sf_dir):
+    return extract.extract_pages(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_minimum_bin_slack(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -42,5 +46,5 @@ def op10_co_training(spark, sf_dir):
                             _table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_centroid, op3_heavy_light, op4_brown_classes, op5_chunk_reuse, op6_prefix_hashes, op7_sampled_splitters, op9_minimum_bin_slack, op10_co_training)}
+QUERIES = {f.__name__: f for f in (op2_nearest_centroid, op3_heavy_light, op4_brown_classes, op5_chunk_reuse, op6_prefix_hashes, op7_sampled_splitters, op8_tree_scoring, op9_minimum_bin_slack, op10_co_training)}
 ORACLES: dict[str, str] = {}
