@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from strandloom.llm import brown, chunks, extract, fingerprints, jaccard, language, packing, quality, sharding
+from strandloom.llm import brown, chunks, extract, fingerprints, jaccard, language, neighbours, packing, quality, sharding
 
 
 def _table(spark, sf_dir, name, *columns):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_nn_descent(spark, sf_dir):
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op2_nearest_centroid(spark, sf_dir):
     return language.identify(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), language.held_out_by(5, 0))
 
@@ -46,5 +50,5 @@ def op10_co_training(spark, sf_dir):
                             _table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nearest_centroid, op3_heavy_light, op4_brown_classes, op5_chunk_reuse, op6_prefix_hashes, op7_sampled_splitters, op8_tree_scoring, op9_minimum_bin_slack, op10_co_training)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_nearest_centroid, op3_heavy_light, op4_brown_classes, op5_chunk_reuse, op6_prefix_hashes, op7_sampled_splitters, op8_tree_scoring, op9_minimum_bin_slack, op10_co_training)}
 ORACLES: dict[str, str] = {}
