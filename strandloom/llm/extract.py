@@ -42,7 +42,6 @@ _PARTS = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     consent cookie cookies disclaimer disqus footer form gdpr header hidden login masthead menu menus modal nav navbar navigation
     newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond
     search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
-_KEEP = frozenset("html body article main".split())
 _TAG_POINTS = {"article": 8, "main": 8, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3,
                "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 LEAST = 25
@@ -122,7 +121,7 @@ class _Page:
         self.tag.append(name)
         self.parent.append(self.open[-1])
         self.last.append(len(self.tag) - 1)
-        self.part.append(name in _NEVER or bool(attrs and not attrs.isspace()) and name not in _KEEP and self.named(attrs))
+        self.part.append(name in _NEVER or bool(attrs and not attrs.isspace()) and name not in ("html", "body") and self.named(attrs))
         if name == "header":  # a page's header, not that of an article
             self.part[-1] |= not any(self.tag[e] in ("article", "main") for e in self.open)
         self.open.append(len(self.tag) - 1)
@@ -150,11 +149,14 @@ def main_text(source: str) -> str:
         size[e] += len(text)
     for e in range(n - 1, 0, -1):
         size[page.parent[e]] += size[e]
-    # a named part that holds most of the page is no part of it; tags and inner parts are
+    # what is named like a part but holds an article, or nearly all of the page, is a wrapper
+    holds = [t in ("article", "main") for t in page.tag]
+    for e in range(n - 1, 0, -1):
+        holds[page.parent[e]] |= holds[e]
     out = [False] * n
     for e in range(1, n):
-        own = page.part[e] and (page.tag[e] in _NEVER or 2 * size[e] <= size[0])
-        out[e] = own or out[page.parent[e]]
+        wrapper = page.tag[e] not in _NEVER and page.tag[e] not in ("article", "main") and (holds[e] or 10 * size[e] > 9 * size[0])
+        out[e] = page.part[e] and not wrapper or out[page.parent[e]]
     lines = [(e, text, linked) for e, text, linked in page.lines if not out[e]]
     size, linked_size, points = [0] * n, [0] * n, [0.0] * n
     given = set()
