@@ -164,7 +164,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             m[a] -= r
             m[:, a] -= l
             m[a, a] -= own
-            rows, columns = m.sum(axis=1), m.sum(axis=0)
+            rows, columns = m.sum(axis=1) + l, m.sum(axis=0) + r  # wherever u goes
             here, down = _phi(m + r) - _phi(m), _phi(m + l[:, None]) - _phi(m)
             gain = here.sum(axis=1) + down.sum(axis=0)
             d = np.diagonal(m)
