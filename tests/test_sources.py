@@ -1,3 +1,5 @@
+import re
+import random
 import struct
 import zlib
 
@@ -102,12 +104,30 @@ def test_foreign_vcf(spark, tmp_path):
     assert spark.range(1).select(T.svelter_path(F.lit("ab^a"), F.lit(4))).first()[0] == [0, 1, 2, 3, 5, 4, 2, 3, 6, 7]
 
 
-def test_cigar_cases(spark):
-    cases = {"100M": ([(100, 200)], [0, 0]), "10S90M": ([(100, 190)], [10, 0]), "10S5I100M": ([(100, 200)], [15, 0]),
-             "10S20M5I20M5D20M10S": ([(100, 120), (120, 140), (145, 165)], [10, 5, 0, 10])}
-    df = spark.createDataFrame([(c,) for c in cases], "c string")
-    for r in df.select("c", A.match_blocks(A.cigar_ops(F.col("c")), F.lit(100)).alias("m")).collect():
-        assert ([tuple(b) for b in r.m.blocks], r.m.gaps) == cases[r.c]
+def test_cigar_against_a_walk(spark):
+    """Blocks of matches on the reference, and unmatched read bases around them, by walking base for base."""
+    rng = random.Random(6)
+    cigars = set()
+    for _ in range(40):
+        ops = [rng.choice(["", f"{rng.randint(1, 9)}S"])]
+        for k in range(rng.randint(1, 4)):
+            ops.append(f"{rng.randint(5, 30)}M" if k == 0 else f"{rng.randint(1, 9)}{rng.choice('ID')}{rng.randint(5, 30)}M")
+        cigars.add("".join(ops) + rng.choice(["", f"{rng.randint(1, 9)}S"]))
+
+    def walk(cigar):
+        at, blocks, gaps, free = 37, [], [], 0
+        for n, op in re.findall(r"(\d+)([MIDS])", cigar):
+            if op == "M":
+                blocks.append((at, at + int(n)))
+                gaps.append(free)
+                free = 0
+            free += int(n) if op in "IS" else 0
+            at += int(n) if op in "MD" else 0
+        return blocks, [*gaps, free]
+
+    df = spark.createDataFrame([(c,) for c in sorted(cigars)], "c string")
+    for r in df.select("c", A.match_blocks(A.cigar_ops(F.col("c")), F.lit(37)).alias("m")).collect():
+        assert ([tuple(b) for b in r.m.blocks], r.m.gaps) == walk(r.c), r.c
 
 
 def test_parameters():
