@@ -148,24 +148,56 @@ def _cell_edges(good: DataFrame, part: list[str]) -> DataFrame:
     return direct.unionByName(upward).distinct()
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def largest_cliques(p1: pd.Series, p2: pd.Series, d: pd.Series, slop: pd.Series) -> pd.Series:
-    """All maximum cliques of one component, as sorted member indices.
+_WINDOW = T.StructType([T.StructField("k", T.LongType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType()),
+                        T.StructField("members", T.LongType())])
 
-    A clique is any set inside a window [x, x+d] x [y, y+d] with pos1 <= y+slop, where x and y
-    are member coordinates, so trying the member coordinates finds every maximum clique.
+
+@F.pandas_udf(T.ArrayType(_WINDOW))
+def fullest_windows(p1: pd.Series, p2: pd.Series, weight: pd.Series, own1: pd.Series, own2: pd.Series,
+                    d: pd.Series, slop: pd.Series) -> pd.Series:
+    """Of the windows [x, x+d] x [y, y+d] with pos1 <= y+slop that start at an own x and an own y: the fullest of each group.
+
+    ``members`` tells different member sets apart.
     """
     out = []
-    for a, b, width, s in zip(p1, p2, d, slop):
-        a, b = np.asarray(a), np.asarray(b)
-        best, sets = 1, set()
-        for y in np.unique(b):
-            row = (b >= y) & (b <= y + width) & (a <= y + s)
-            for x in np.unique(a[row]):
-                idx = np.flatnonzero(row & (a >= x) & (a <= x + width))
-                if len(idx) > best:
-                    best, sets = len(idx), set()
-                if len(idx) == best and best > 1:
-                    sets.add(tuple(int(i) for i in idx))
-        out.append([list(t) for t in sorted(sets)])
+    for a, b, w, o1, o2, width, s in zip(p1, p2, weight, own1, own2, d, slop):
+        order = np.argsort(a, kind="stable")
+        a, b, w, o1, o2 = (np.asarray(v)[order] for v in (a, b, w, o1, o2))
+        mark = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        mark ^= mark >> np.uint64(29)
+        xs, best, found = np.unique(a[o1]), 1, {}
+        for y in np.unique(b[o2]):
+            row = np.flatnonzero((b >= y) & (b <= y + width) & (a <= y + s))
+            full, marks = np.r_[0, np.cumsum(w[row])], np.r_[np.uint64(0), np.cumsum(mark[row])]
+            lo, hi = np.searchsorted(a[row], xs), np.searchsorted(a[row], xs + width, "right")
+            k = full[hi] - full[lo]
+            top = int(k.max(initial=0))
+            if top < 2 or top < best:
+                continue
+            if top > best:
+                best, found = top, {}
+            for i in np.flatnonzero(k == top):
+                found.setdefault(int((marks[hi[i]] - marks[lo[i]]).astype(np.int64)), (int(xs[i]), int(y)))
+        out.append([{"k": best, "x": x, "y": y, "members": m} for m, (x, y) in sorted(found.items())])
     return pd.Series(out)
+
+
+def largest_cliques(points: DataFrame, group: list[str]) -> DataFrame:
+    """(group, clique, x, y): every largest set of compatible points of each group that has a pair of them.
+
+    ``points``: group, pos1, pos2, d, slop.  A set is what a window starting at members'
+    coordinates holds, and a window lies in two by two lattice cells of side d + 1.  So the search
+    runs for each such square on its own, on distinct points with weights: its work and memory are
+    bounded by the square, whatever the size of a group.
+    """
+    side = F.col("d") + 1
+    dense = (points.groupBy(*group, "pos1", "pos2", "d", "slop").agg(F.count(F.lit(1)).alias("w"))
+             .withColumn("_i", F.floor(F.col("pos1") / side)).withColumn("_j", F.floor(F.col("pos2") / side)))
+    squares = F.array(*[F.struct((F.col("_i") - i).alias("i"), (F.col("_j") - j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    placed = dense.withColumn("q", F.explode(squares))
+    packed = placed.groupBy(*group, "q", "d", "slop").agg(F.collect_list(F.struct(
+        "pos1", "pos2", "w", (F.col("_i") == F.col("q.i")).alias("o1"), (F.col("_j") == F.col("q.j")).alias("o2"))).alias("m"))
+    windows = packed.select(*group, F.explode(fullest_windows("m.pos1", "m.pos2", "m.w", "m.o1", "m.o2", "d", "slop")).alias("v")).select(*group, "v.*")
+    top = Window.partitionBy(*group)
+    return (windows.withColumn("_top", F.max("k").over(top)).where("k = _top").dropDuplicates([*group, "members"])
+            .select(*group, F.col("members").alias("clique"), "x", "y"))

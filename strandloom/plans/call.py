@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.config import CallConfig
 from strandloom.functions.align import usable
 from strandloom.functions.paths import is_reference_path
-from strandloom.operators.interval import length_without_gaps
+from strandloom.operators.interval import interval_union, length_without_gaps
 from strandloom.plans import breakpoints as B
 from strandloom.plans import classify as C
 from strandloom.plans import discordant as D
@@ -45,12 +45,17 @@ class CallResult:
         return vcf_rows(self.calls, self.hap_events, bases)
 
 
+def merged_regions(regions: DataFrame) -> DataFrame:
+    """The same bases as disjoint regions that do not touch."""
+    return interval_union(regions, regions, ["chrom"]).select("chrom", "lo", "hi")
+
+
 def prepare_reads(alignments: DataFrame, regions: DataFrame, cfg: CallConfig) -> DataFrame:
-    """Usable alignments of the regions with geometry and splits, without other tags."""
+    """Usable alignments that overlap a region, each once, with geometry and splits, without other tags."""
     reg = regions.select(F.col("chrom").alias("rname"), F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
     reads = E.with_splits(E.with_geometry(alignments.where(usable())), cfg)
-    return (reads.join(F.broadcast(reg), "rname")
-            .where((F.col("pos") < F.col("r_hi")) & (F.col("end") > F.col("r_lo"))).drop("r_lo", "r_hi", "tags"))
+    return reads.join(reg, (reads["rname"] == reg["rname"]) & (reads["pos"] < reg["r_hi"]) & (reads["end"] > reg["r_lo"]),
+                      "left_semi").drop("tags")
 
 
 @dataclass
@@ -106,6 +111,7 @@ class Evidence:
 
 def collect_evidence(alignments: DataFrame, regions: DataFrame, gaps: DataFrame, cfg: CallConfig) -> Evidence:
     """First pass: library model, discordant clusters, splits, clips and merged breakpoints."""
+    regions = checkpoint(merged_regions(regions))
     reads = prepare_reads(alignments, regions, cfg).persist(StorageLevel.MEMORY_AND_DISK)
     pairs = E.mates(reads).persist(StorageLevel.MEMORY_AND_DISK)
     lib = library_model(reads, pairs, cfg)
@@ -121,7 +127,7 @@ def collect_evidence(alignments: DataFrame, regions: DataFrame, gaps: DataFrame,
     disc = E.discordant_pairs(pairs, lib.bounds, cfg, lib.read_len)
     if not cfg.do_pecluster:
         disc = disc.limit(0)
-    clusters, members = D.discordant_clusters(disc, lib.stats, cover, free, cfg)
+    clusters, members = D.discordant_clusters(disc, lib.stats, free, cfg)
     clusters = checkpoint(clusters)
     passing = clusters.where("passing")
     pe = (members.join(passing.select(*D.KEYS, "cluster_id", F.explode(F.array("left_ci", "right_ci")).alias("ci")),
@@ -137,7 +143,7 @@ def collect_evidence(alignments: DataFrame, regions: DataFrame, gaps: DataFrame,
 def infer(ev: Evidence, regions: DataFrame, gaps: DataFrame, cfg: CallConfig) -> CallResult:
     """Second pass: blocks, adjacency graph, candidate haplotypes, genotypes and calls."""
     reads, lib, bps = ev.reads, ev.lib, ev.breakpoints
-    blocks = checkpoint(G.create_blocks(bps, gaps, regions))
+    blocks = checkpoint(G.create_blocks(bps, gaps, checkpoint(merged_regions(regions))))
     placed = G.reads_on_blocks(reads, blocks, cfg, lib.read_len).select(
         "lib", "rname", "qname", "mrname", "mpos", *G.PAIR_FIELDS, "read_id").persist(StorageLevel.MEMORY_AND_DISK)
     again = E.mates(placed, fields=G.PAIR_FIELDS).persist(StorageLevel.MEMORY_AND_DISK)

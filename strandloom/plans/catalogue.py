@@ -264,7 +264,6 @@ CLIQUES = COMPONENTS_WITH + """, mb AS (SELECT dp.*, root, CASE WHEN dtype = 'In
           FROM (SELECT DISTINCT lib, chrom, dtype, root, pos1 FROM mb) x JOIN (SELECT DISTINCT lib, chrom, dtype, root, pos2 FROM mb) y
           USING (lib, chrom, dtype, root) JOIN sz USING (lib, chrom, dtype, root) JOIN mb m USING (lib, chrom, dtype, root)
           WHERE sz.n > 1 AND m.pos1 BETWEEN x.pos1 AND x.pos1 + 430 AND m.pos2 BETWEEN y.pos2 AND y.pos2 + 430 AND m.pos1 <= y.pos2 + m.slop
-            AND (sz.mutual OR sz.n <= 60)
           GROUP BY x.lib, x.chrom, x.dtype, x.root, x.pos1, y.pos2),
   cl AS (SELECT DISTINCT lib, chrom, dtype, root, members FROM win WHERE k = (SELECT max(k) FROM win w WHERE w.lib = win.lib AND w.chrom = win.chrom
          AND w.dtype = win.dtype AND w.root = win.root)),
@@ -278,9 +277,7 @@ CLIQUES = COMPONENTS_WITH + """, mb AS (SELECT dp.*, root, CASE WHEN dtype = 'In
 
 def clusters_of(spark, sf):
     pairs = checkpoint(spaced_pairs(spark, sf))
-    caps = pairs.select("lib", "chrom").distinct().withColumn("max_cluster", F.lit(60.0))
-    members, _ = D.cluster_pairs(pairs, caps, CFG)
-    return D.score_clusters(members, CFG)
+    return D.score_clusters(D.cluster_pairs(pairs, CFG), CFG)
 
 
 @query("pe_max_cliques", CLIQUES + "SELECT lib, chrom, dtype, CAST(n AS BIGINT) AS n, min_pos1, max_pos1, min_pos2, max_pos2 FROM sc")
@@ -293,7 +290,7 @@ def _(spark, sf):
     return clusters_of(spark, sf).select("lib", "chrom", "dtype", "min_pos1", "min_pos2", F.round("lr", 2).alias("lr"))
 
 
-CI = """, q AS (SELECT *, pow(20.0, 1.0 / (LEAST(n, 100) - 1)) AS q FROM sc), ci AS (SELECT *,
+CI = """, q AS (SELECT *, pow(20.0, 1.0 / (n - 1)) AS q FROM sc), ci AS (SELECT *,
   CASE WHEN dtype IN ('Del', 'Ins', 'InvL') THEN max_pos1 - 5 ELSE CAST(floor((1 - q) * (max_pos1 - min_pos1) + min_pos1) AS BIGINT) END AS left_lo,
   CASE WHEN dtype IN ('Del', 'Ins', 'InvL') THEN CAST(ceil(q * (max_pos1 - min_pos1) + min_pos1) AS BIGINT) ELSE min_pos1 + 5 END AS left_hi,
   CASE WHEN dtype IN ('Del', 'Ins', 'InvR') THEN CAST(floor((1 - q) * (max_pos2 - min_pos2) + min_pos2) AS BIGINT) ELSE max_pos2 - 5 END AS right_lo,

@@ -213,7 +213,7 @@ def altered_pieces(described: DataFrame, calls: DataFrame) -> DataFrame:
     hap = F.when(F.col("hap") == 1, F.col("c.hap1")).otherwise(F.col("c.hap2"))
     name = F.concat_ws(":", F.regexp_replace("id", "_", ","), "rearrangement", F.regexp_replace("svtype", ",", ":"))
     return (calls.select("sub", "hap", "id", "rearrangement", "svtype").join(described.select("sub", "chrom", "c"), "sub")
-            .withColumn("h", hap).withColumn("name", F.substring(name, 1, 252))
+            .withColumn("h", hap).withColumn("name", name)
             .select("sub", "hap", "chrom", "name", F.explode("h.pieces").alias("p"))
             .select("sub", "hap", "chrom", "name", "p.*"))
 

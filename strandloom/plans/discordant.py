@@ -33,42 +33,32 @@ def with_distance(pairs: DataFrame, stats: DataFrame, cfg: CallConfig) -> DataFr
             .withColumn("slop", slop_of(cfg)))
 
 
-def cluster_pairs(pairs: DataFrame, caps: DataFrame, cfg: CallConfig) -> tuple[DataFrame, DataFrame]:
-    """(members, kept): cluster members, and the pairs the null distribution is drawn from.
-
-    ``caps`` holds ``max_cluster`` per (lib, chrom).  A component that is compatible as a whole
-    is one cluster whatever its size.  Any other component up to the cap yields all its largest
-    cliques; larger ones are dropped and also leave the null sample.
+def cluster_pairs(pairs: DataFrame, cfg: CallConfig) -> DataFrame:
+    """Cluster members.  A component that is compatible as a whole is one cluster; any other one,
+    whatever its size, yields all its largest cliques.  Pairs without a partner are in none.
     """
     comp = checkpoint(pair_components(checkpoint(pairs), KEYS, "d", "slop"))
     sizes = (comp.groupBy(*KEYS, "component").agg(
         F.count(F.lit(1)).alias("n"), F.first("d").alias("_d"), F.first("slop").alias("_s"),
         F.min("pos1").alias("_a"), F.max("pos1").alias("_b"),
         F.min("pos2").alias("_e"), F.max("pos2").alias("_f"))
-        .join(caps.select("lib", "chrom", "max_cluster"), ["lib", "chrom"])
         .withColumn("_fate", F.when(F.col("n") == 1, "single")
                     .when((F.col("_b") - F.col("_a") <= F.col("_d"))
                           & (F.col("_f") - F.col("_e") <= F.col("_d"))
                           & (F.col("_b") - F.col("_e") <= F.col("_s")), "whole")
-                    .when(F.col("n") <= F.col("max_cluster"), "cliques")
-                    .otherwise("dropped"))
+                    .otherwise("cliques"))
         .select(*KEYS, "component", "_fate"))
     tagged = comp.join(sizes, [*KEYS, "component"])
     base = [*KEYS, "pos1", "pos2", "ilen", "qname", "mu", "sigma"]
     whole = tagged.where("_fate = 'whole'").select(
         *base, F.xxhash64(*KEYS, "component", F.lit(0)).alias("cluster_id"))
-    # bounded: only components no larger than the cap reach this collect
-    packed = (tagged.where("_fate = 'cliques'")
-              .groupBy(*KEYS, "component", "d", "slop", "mu", "sigma")
-              .agg(F.array_sort(F.collect_list(F.struct("pos1", "pos2", "qname", "ilen"))).alias("m")))
-    cliques = (packed.withColumn("_sets", largest_cliques("m.pos1", "m.pos2", "d", "slop"))
-               .select(*KEYS, "component", "mu", "sigma", "m", F.posexplode("_sets").alias("_no", "_set"))
-               .select(*KEYS, "component", "mu", "sigma", "m", "_no", F.explode("_set").alias("_i"))
-               .withColumn("_x", F.get("m", F.col("_i")))
-               .select(*KEYS, "_x.pos1", "_x.pos2", "_x.ilen", "_x.qname", "mu", "sigma",
-                       F.xxhash64(*KEYS, "component", F.col("_no") + 1).alias("cluster_id")))
-    kept = tagged.where("_fate <> 'dropped'").select(*[c for c in pairs.columns])
-    return checkpoint(whole.unionByName(cliques)), kept
+    mixed = checkpoint(tagged.where("_fate = 'cliques'"))
+    windows = largest_cliques(mixed, [*KEYS, "component"])
+    cliques = (mixed.join(windows, [*KEYS, "component"])
+               .where((F.col("pos1") >= F.col("x")) & (F.col("pos1") <= F.col("x") + F.col("d")) & (F.col("pos2") >= F.col("y"))
+                      & (F.col("pos2") <= F.col("y") + F.col("d")) & (F.col("pos1") <= F.col("y") + F.col("slop")))
+               .select(*base, F.xxhash64(*KEYS, "component", "clique").alias("cluster_id")))
+    return checkpoint(whole.unionByName(cliques))
 
 
 def score_clusters(members: DataFrame, cfg: CallConfig) -> DataFrame:
@@ -147,8 +137,8 @@ def select_clusters(real: DataFrame, cutoffs: DataFrame, keys: list[str]) -> Dat
 
 
 def quantile_factor(n: Column, confidence: float) -> Column:
-    """Widening factor of a uniform end point interval: (1/(1-c))^(1/(min(n,100)-1))."""
-    return F.pow(F.lit(1 / (1 - confidence)), 1 / (F.least(n, F.lit(100)) - 1))
+    """Widening factor of a uniform end point interval: (1/(1-c))^(1/(n-1))."""
+    return F.pow(F.lit(1 / (1 - confidence)), 1 / (n - 1))
 
 
 def uniform_ci(lo: Column, hi: Column, n: Column, confidence: float, slop: int = 5) -> tuple[Column, Column]:
@@ -170,19 +160,17 @@ def cluster_breakpoints(clusters: DataFrame, cfg: CallConfig) -> DataFrame:
 
 
 def cluster_log(members: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Cluster log rows.  Names are joined only as a text sink of clusters up to the cap."""
-    names = members.groupBy(*KEYS, "cluster_id").agg(
-        F.array_join(F.array_sort(F.collect_list("qname")), ";").alias("qnames"))
-    return (clusters.join(names, [*KEYS, "cluster_id"])
-            .select(*KEYS, "min_pos1", "max_pos1", "min_pos2", "max_pos2", "n", "lr", "passing", "qnames"))
+    """Log rows: one for each member, with the figures of its cluster (real or null)."""
+    return members.select(*KEYS, "cluster_id", "qname").join(clusters, [*KEYS, "cluster_id"]).select(
+        *KEYS, "cluster_id", "min_pos1", "max_pos1", "min_pos2", "max_pos2", "n", "lr", "passing", "qname")
 
 
-def discordant_clusters(pairs: DataFrame, stats: DataFrame, caps: DataFrame, free_len: DataFrame,
+def discordant_clusters(pairs: DataFrame, stats: DataFrame, free_len: DataFrame,
                         cfg: CallConfig) -> tuple[DataFrame, DataFrame]:
     """(clusters with lr, passing and intervals; members) over all libraries and classes."""
     ready = with_distance(pairs.withColumn("rep", F.lit(-1)), stats, cfg)
-    members, kept = cluster_pairs(ready, caps, cfg)
-    shuffled, _ = cluster_pairs(null_pairs(kept, free_len, cfg), caps, cfg)
+    members = cluster_pairs(ready, cfg)
+    shuffled = cluster_pairs(null_pairs(ready, free_len, cfg), cfg)
     real, null = score_clusters(members, cfg), score_clusters(shuffled, cfg)
     keys = ["lib", "chrom", "dtype"]
     cut = fdr_cutoffs(real, null, keys, cfg)

@@ -21,19 +21,19 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -
     """Reference blocks between consecutive breakpoints, minus assembly gaps.
 
     ``breakpoints``: chrom, bp_lo, bp_hi (disjoint); ``gaps``: chrom, lo, hi; ``regions``:
-    chrom, lo, hi.  A gap edge starts a new segment (``seg``); left/right columns hold the
+    chrom, lo, hi (disjoint, any number on a contig; each has segments of its own).  A gap edge starts a new segment (``seg``); left/right columns hold the
     bordering breakpoint interval, or the gap edge as a point.  ``gap_left``/``gap_right`` are
     the distances to the neighbouring blocks.
     """
     reg = regions.select("chrom", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
     inside = (breakpoints.join(reg, "chrom").where((F.col("bp_lo") > F.col("r_lo"))
                                                    & (F.col("bp_hi") <= F.col("r_hi")))
-              .select("chrom", "bp_lo", "bp_hi"))
-    ends = inside.unionByName(reg.select("chrom", F.col("r_hi").alias("bp_lo"), F.col("r_hi").alias("bp_hi")))
-    ends = ends.groupBy("chrom", "bp_lo").agg(F.max("bp_hi").alias("bp_hi"))
-    prior = running(ends.withColumn("_pair", F.struct("bp_lo", "bp_hi")), ["chrom"], "bp_lo",
+              .select("chrom", "r_lo", "bp_lo", "bp_hi"))
+    ends = inside.unionByName(reg.select("chrom", "r_lo", F.col("r_hi").alias("bp_lo"), F.col("r_hi").alias("bp_hi")))
+    ends = ends.groupBy("chrom", "r_lo", "bp_lo").agg(F.max("bp_hi").alias("bp_hi"))
+    prior = running(ends.withColumn("_pair", F.struct("bp_lo", "bp_hi")), ["chrom", "r_lo"], "bp_lo",
                     {"_prev": ("last", "_pair", False)})
-    whole = (prior.join(reg, "chrom")
+    whole = (prior
              .withColumn("_prev", F.coalesce("_prev", F.struct(F.col("r_lo").alias("bp_lo"), F.col("r_lo").alias("bp_hi"))))
              .select("chrom", F.col("_prev.bp_hi").alias("lo"), F.col("bp_lo").alias("hi"),
                      F.col("_prev.bp_lo").alias("p_lo"), F.col("bp_hi").alias("n_hi"))
@@ -41,28 +41,29 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -
     whole = checkpoint(whole)
     pieces = sweep({"b": whole.select("chrom", "lo", "hi"), "g": gaps.select("chrom", "lo", "hi")},
                    ["chrom"], "lo", "hi").where("depth_b > 0 and depth_g = 0")
-    pieces = pieces.select("chrom", F.col("pos").alias("lo"), F.col("end").alias("hi"))
+    pieces = pieces.select("chrom", F.col("pos").alias("lo"), F.col("end").alias("hi")).join(reg, "chrom").where(
+        "lo >= r_lo and hi <= r_hi").drop("r_hi")
     starts = whole.select("chrom", "lo", F.col("p_lo"))
     stops = whole.select("chrom", "hi", F.col("n_hi"))
     framed = (pieces.join(starts, ["chrom", "lo"], "left").join(stops, ["chrom", "hi"], "left")
               .withColumn("cut_l", F.col("p_lo").isNull()).withColumn("cut_r", F.col("n_hi").isNull())
               .withColumn("left_lo", F.coalesce("p_lo", "lo")).withColumn("left_hi", F.col("lo"))
               .withColumn("right_lo", F.col("hi")).withColumn("right_hi", F.coalesce("n_hi", "hi"))
-              .withColumn("one", F.lit(1).cast("bigint")).withColumn("_me", F.struct("hi", "cut_r", "left_hi")))
+              .withColumn("one", F.lit(1).cast("bigint")).withColumn("_me", F.struct("hi", "cut_r", "left_hi", "r_lo")))
     framed = checkpoint(framed)
     seen = running(framed, ["chrom"], "lo", {"_p": ("last", "_me", False), "idx": ("sum", "one", False)})
-    seen = seen.withColumn("brk", (F.col("cut_l") | F.coalesce(F.col("_p.cut_r"), F.lit(False))
+    seen = seen.withColumn("brk", (F.col("cut_l") | (F.col("_p.r_lo") != F.col("r_lo")) | F.coalesce(F.col("_p.cut_r"), F.lit(False))
                                    | (F.col("lo") - F.col("_p.hi") > F.col("lo") - F.col("left_lo"))
                                    ).cast("bigint"))
     seen = seen.withColumn("brk", F.when(F.col("_p").isNull(), 0).otherwise(F.col("brk"))).withColumn(
-        "_lo", F.col("lo"))
+        "_lo", F.struct("lo", "r_lo"))
     seen = checkpoint(seen)
     out = running(seen, ["chrom"], "lo", {"seg": ("sum", "brk", True), "_nlo": ("next", "_lo", False)})
     return out.select(
         "chrom", F.col("idx").cast("int").alias("idx"), "lo", "hi", F.col("seg").cast("int").alias("seg"),
         "left_lo", "left_hi", "right_lo", "right_hi",
-        F.coalesce(F.col("lo") - F.col("_p.hi"), F.lit(0)).cast("bigint").alias("gap_left"),
-        F.coalesce(F.col("_nlo") - F.col("hi"), F.lit(0)).cast("bigint").alias("gap_right"))
+        F.when(F.col("_p.r_lo") == F.col("r_lo"), F.col("lo") - F.col("_p.hi")).otherwise(0).cast("bigint").alias("gap_left"),
+        F.when(F.col("_nlo.r_lo") == F.col("r_lo"), F.col("_nlo.lo") - F.col("hi")).otherwise(0).cast("bigint").alias("gap_right"))
 
 
 # --- reads on blocks -------------------------------------------------------------------

@@ -87,24 +87,6 @@ def _first_block(f, start: int, size: int) -> int | None:
     return None
 
 
-def _plausible(buf: bytes, at: int, n_ref: int, depth: int) -> bool:
-    """A chain of ``depth`` well-formed records starts at ``at`` (or the buffer ends first)."""
-    for _ in range(depth):
-        if at + 36 > len(buf):
-            return True
-        size, tid, pos, name_len, _, _, n_cigar, _, l_seq, mtid, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", buf, at)
-        ok = (32 <= size < 1 << 26 and -1 <= tid < n_ref and -1 <= mtid < n_ref and pos >= -1 and mpos >= -1
-              and name_len >= 2 and l_seq >= 0
-              and size >= 32 + name_len + 4 * n_cigar + (l_seq + 1) // 2 + l_seq)
-        if ok and at + 36 + name_len <= len(buf):
-            name = buf[at + 36:at + 36 + name_len]
-            ok = name[-1] == 0 and all(32 < c < 127 for c in name[:-1])
-        if not ok:
-            return False
-        at += 4 + size
-    return True
-
-
 class _Stream:
     """Record bytes from compressed blocks, knowing in which block each record starts."""
 
@@ -130,6 +112,9 @@ class _Stream:
     def block_of_cursor(self) -> int:
         return max((o for p, o in self.marks if p <= self.at), default=0)
 
+    def block_at(self, position: int) -> int:
+        return max((o for p, o in self.marks if p <= position), default=0)
+
     def take(self, n: int) -> bytes:
         if not self.fill(n):
             raise EOFError
@@ -138,6 +123,37 @@ class _Stream:
         return out
 
 
+def _chained(stream: _Stream, at: int, n_ref: int, depth: int) -> bool:
+    """Whether ``depth`` complete, well-formed records follow each other from ``at``, or fewer up to the end of the file.
+
+    The buffer grows until the chain is decided, so records may be of any length.
+    """
+    for seen in range(depth):
+        if not stream.fill(at + 36):
+            return seen > 0 and at == len(stream.buf)
+        size, tid, pos, name_len, _, _, n_cigar, _, l_seq, mtid, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", stream.buf, at)
+        if not (size >= 32 and -1 <= tid < n_ref and -1 <= mtid < n_ref and pos >= -1 and mpos >= -1 and name_len >= 2
+                and l_seq >= 0 and size >= 32 + name_len + 4 * n_cigar + (l_seq + 1) // 2 + l_seq):
+            return False
+        if not stream.fill(at + 36 + name_len):
+            return False
+        name = stream.buf[at + 36:at + 36 + name_len]
+        if name[-1] or not all(32 < c < 127 for c in name[:-1]):
+            return False
+        at += 4 + size
+    return stream.fill(at)
+
+
+def _first_record(stream: _Stream, n_ref: int, end: int) -> int | None:
+    """Position of the first record that starts in a block before ``end``."""
+    at = 0
+    while stream.fill(at + 36) and stream.block_at(at) < end:
+        if _chained(stream, at, n_ref, 6):
+            return at
+        at += 1
+    return None
+
+
 def read_bam_header(path: str):
     """(contig names, lengths, stream positioned at the first record)."""
     f = open(path, "rb")
@@ -215,6 +231,10 @@ class BamReader(DataSourceReader):
 
     def read(self, part):
         names, _, stream = read_bam_header(part.path)
+        with stream.f:
+            yield from self._records(part, names, stream)
+
+    def _records(self, part, names, stream):
         if part.start > 0:
             size = os.path.getsize(part.path)
             offset = _first_block(stream.f, part.start, size)
@@ -224,8 +244,7 @@ class BamReader(DataSourceReader):
             if offset <= stream.block_of_cursor():
                 return
             stream = _Stream(stream.f, offset)
-            stream.fill(1 << 17)
-            first = next((i for i in range(len(stream.buf)) if _plausible(stream.buf, i, len(names), 6)), None)
+            first = _first_record(stream, len(names), part.end)
             if first is None:
                 return
             stream.at = first

@@ -151,9 +151,9 @@ def test_largest_cliques_exhaustive(spark):
     import itertools
     for d, slop in ((6, -1), (8, 4)):
         pts = [(rng.randrange(20), 10 + rng.randrange(20)) for _ in range(10)]
-        df = spark.createDataFrame([([p[0] for p in pts], [p[1] for p in pts], d, slop)],
-                                   "a array<bigint>, b array<bigint>, d int, s int")
-        got = df.select(largest_cliques("a", "b", "d", "s").alias("c")).first().c
+        df = spark.createDataFrame([("g", *p, d, slop) for p in pts], "g string, pos1 bigint, pos2 bigint, d int, slop int")
+        got = {tuple(i for i, (a, b) in enumerate(pts) if w.x <= a <= w.x + d and w.y <= b <= w.y + d and a <= w.y + slop)
+               for w in largest_cliques(df, ["g"]).collect()}
         ok = lambda i, j: (abs(pts[i][0] - pts[j][0]) <= d and abs(pts[i][1] - pts[j][1]) <= d
                            and max(pts[i][0], pts[j][0]) - min(pts[i][1], pts[j][1]) <= slop)
         for size in range(10, 1, -1):
@@ -164,3 +164,15 @@ def test_largest_cliques_exhaustive(spark):
             if want:
                 break
         assert sorted(map(list, got)) == sorted(want)
+
+
+def test_largest_cliques_of_a_large_component(spark):
+    """A chain of 12,000 pairs with one dense spot: the spot is found, in bounded squares."""
+    df = spark.range(12000).selectExpr("'g' AS g", "id * 7 AS pos1", "id * 7 + 40 AS pos2", "30 AS d", "-1 AS slop")
+    dense = spark.range(50).selectExpr("'g' AS g", "21003 + id % 5 AS pos1", "21060 + id % 3 AS pos2", "30 AS d", "-1 AS slop")
+    points = [(r.pos1, r.pos2) for r in df.unionByName(dense).collect()]
+    inside = lambda x, y: sum(x <= a <= x + 30 and y <= b <= y + 30 and a <= y - 1 for a, b in points)
+    near = [p for p in points if 20900 < p[0] < 21100]
+    best = max(inside(x, y) for x, _ in near for _, y in near)
+    found = largest_cliques(df.unionByName(dense), ["g"]).collect()
+    assert found and all(inside(w.x, w.y) == best for w in found)

@@ -104,6 +104,20 @@ def test_foreign_vcf(spark, tmp_path):
     assert spark.range(1).select(T.svelter_path(F.lit("ab^a"), F.lit(4))).first()[0] == [0, 1, 2, 3, 5, 4, 2, 3, 6, 7]
 
 
+def test_bam_splits_with_very_long_records(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for i in range(9):
+        n = rng.choice([40, 1_000_000, 400_000])
+        rows.append((f"read{i}", 0, 0, 100 * i, "".join(rng.choices("ACGT", k=1000)) * (n // 1000) + "A" * (n % 1000), ""))
+    path = str(tmp_path / "long.bam")
+    with open(path, "wb") as f:
+        f.write(bam_bytes(rows, [("c0", 10_000_000)]))
+    for split in (1 << 30, 300_000, 70_000):
+        got = S.read_bam(spark, path, split_bytes=split).select("qname", F.length("seq").alias("n")).collect()
+        assert sorted((r.qname, r.n) for r in got) == sorted((r[0], len(r[4])) for r in rows), split
+
+
 def test_cigar_against_a_walk(spark):
     """Blocks of matches on the reference, and unmatched read bases around them, by walking base for base."""
     rng = random.Random(6)
