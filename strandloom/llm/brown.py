@@ -25,7 +25,7 @@ from strandloom.llm.words import block_spans, span_hashes, text_blocks
 from strandloom.session import saved
 
 #: Units: frequent words, then shapes of the others, then the end of a text.  KNOWN bounds the words looked up without a join.
-SHAPES, UNITS, KNOWN = 127, 2048, 1 << 18
+SHAPES, UNITS, KNOWN = 127, 1024, 1 << 18
 END = UNITS - 1
 UNIT_WORDS = UNITS - SHAPES - 1
 CLASSES, ROUNDS = 64, 6
