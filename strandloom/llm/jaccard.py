@@ -9,13 +9,12 @@ fixed size), then goes by hash.
   light sets share a subset.
 * Heavy sets are entered in inverted lists under each shingle of the prefix (l = 1), as are the
   light sets that are large enough to resemble one; the lists are scanned and shared shingles
-  counted.  A bound on what the rest of the sets can share drops pairs before their texts meet.
+  counted.  Where in both sets the shared shingles must lie, and how many, drops other pairs.
 * The boundary is where the summed cost of both, taken over all documents, is lowest.
 
 Sets that are equal are one node.  Lists of copies would give pairs by the square, so they are
 scanned twice: first each member of a list is compared with the list's first member alone, which
-ties groups of copies together; then pairs are drawn from a list only where its members are
-still in different components.  Every candidate is checked on the whole sets of its texts, and
+ties groups of copies together, then with a most central one; then pairs are drawn from a list only where its members are still in different components.  Every candidate is checked on the whole sets of its texts, and
 no pair that could join two components is left out.
 """
 
@@ -26,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.llm.words import block_words, mix, text_blocks
@@ -111,7 +110,7 @@ def described(docs: DataFrame) -> DataFrame:
                     order = np.argsort(level, kind="stable") if level.any() else np.arange(n)
                     order = order[:n - least_overlap(n) + 2]
                     prefix, level = own[order], level[order][:-1].astype(np.int64)
-                    scan = int((1 + 2 * np.where(level > 0, 1 << level, 0)).sum())
+                    scan = int((1 + level).sum())  # an entry meets few others of its list, more in longer ones
                 size.append(n)
                 c1.append(a)
                 c2.append(b)
@@ -140,15 +139,56 @@ def boundary(sets: DataFrame) -> int:
     return at
 
 
+def _where(listed: bool) -> Column:
+    """One long for the kind of a key, the set's size and the last position in its order that the key uses."""
+    return F.lit(int(listed) << 62) + F.shiftleft(F.col("n"), 31) + F.col("pos")
+
+
+def _size(where: Column) -> Column:
+    return F.shiftright(where, 31).bitwiseAND(2**31 - 1)
+
+
 def _entries(sets: DataFrame, light: int) -> DataFrame:
-    """key, node, n: subsets of light sets and list entries of heavy ones (and of light ones near the boundary)."""
-    subsets = F.expr(
-        "flatten(transform(prefix, (t, i) -> transform(slice(prefix, i + 2, greatest(size(prefix) - i - 1, 0)), u -> xxhash64(t, u, 2))))")
+    """key, node, where: subsets of light sets and list entries of heavy ones (and of light ones near the boundary)."""
+    subsets = F.expr("flatten(transform(prefix, (t, i) -> transform(slice(prefix, i + 2, greatest(size(prefix) - i - 1, 0)), "
+                     "(u, j) -> struct(xxhash64(t, u, 2) AS key, i + j + 1 AS pos))))")
     some = sets.where(F.size("prefix") > 0)
-    return (some.where(F.col("n") < light).select(F.explode(subsets).alias("key"), F.lit(False).alias("listed"), F.col("c1").alias("node"), "n")
-            .unionByName(some.where(F.col("n") * 100 >= light * PERCENT).select(
-                F.explode(F.expr("slice(prefix, 1, size(prefix) - 1)")).alias("key"), F.lit(True).alias("listed"),
-                F.col("c1").alias("node"), "n")))
+    small = some.where(F.col("n") < light).select("c1", "n", F.inline(subsets))
+    large = some.where(F.col("n") * 100 >= light * PERCENT).select(
+        "c1", "n", F.posexplode(F.expr("slice(prefix, 1, size(prefix) - 1)")).alias("pos", "key"))
+    return small.select("key", F.col("c1").alias("node"), _where(False).alias("where")).unionByName(
+        large.select("key", F.col("c1").alias("node"), _where(True).alias("where")))
+
+
+def _pairs(met: DataFrame, light: int) -> DataFrame:
+    """The pairs (a, b) that can be similar, from rows a, a_where, b, b_where for each key they meet in.
+
+    Sets of x and y shingles are similar with ``o`` common ones, the least l of which lie among
+    their first x - o + l and y - o + l; other meetings prove nothing.  A pair needs l meetings
+    in lists, or one in subsets, where l is 2.
+    """
+    return (met.where(_counts(light)).groupBy("a", "b", _least().alias("l"), (F.col("a_where") >= 1 << 62).alias("listed"))
+            .agg(F.count(F.lit(1)).alias("k")).where("k >= l or not listed").select("a", "b").distinct())
+
+
+def _overlap() -> tuple[Column, Column, Column]:
+    x, y = _size(F.col("a_where")), _size(F.col("b_where"))
+    return x, y, F.floor((PERCENT * (x + y) + 99 + PERCENT) / F.lit(100 + PERCENT))
+
+
+def _least() -> Column:
+    x, y, o = _overlap()
+    stored = o - F.floor((PERCENT * F.greatest(x, y) + 99) / F.lit(100)) + 1  # prefixes go no further
+    return F.when(F.col("a_where") >= 1 << 62, F.least(F.greatest(F.floor((x + y) / F.lit(56)), F.lit(1)), stored)).otherwise(2)
+
+
+def _counts(light: int) -> Column:
+    """Whether a meeting of sets of similar size and of the same kind of key counts."""
+    x, y, o = _overlap()
+    a, b = F.col("a_where"), F.col("b_where")
+    pos = lambda w: w.bitwiseAND(2**31 - 1)
+    return (((a >= 1 << 62) == (b >= 1 << 62)) & (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
+            & ((a < 1 << 62) | (F.greatest(x, y) >= light)) & (pos(a) < x - o + _least()) & (pos(b) < y - o + _least()))
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +210,8 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar; ``texts`` has node, text."""
+    pairs = saved(pairs)
+    texts = _near(texts, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
     counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
     salted = pairs.join(counted, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("members") / SALT_ROWS)).cast("long"))
     members = salted.select("a", "salt", "b").join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
@@ -180,15 +222,27 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(_check, "a long, b long"))
 
 
+def _near(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose hash in ``column`` is in ``wanted``, and some others: a filter of fixed size, without a shuffle of rows."""
+    slot = F.shiftrightunsigned(column, 6).bitwiseAND((1 << SLOT_BITS) - 1)
+    slots = wanted.groupBy(slot.alias("slot")).agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("bits"))
+    return (rows.withColumn("slot", slot).join(F.broadcast(slots), "slot")  # 2**SLOT_BITS rows at most
+            .where(f"shiftrightunsigned(bits, cast({column} & 63 as int)) & 1 = 1").drop("slot", "bits"))
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, text for the given nodes; a filter of fixed size keeps most other texts out of the shuffle."""
+    """node, text for the given nodes."""
     wanted = saved(sets.where(F.size("prefix") > 0).join(nodes, F.col("c1") == F.col("node"), "left_semi")
                    .groupBy(F.col("c1").alias("node")).agg(F.min("th").alias("th")))
-    slot = F.shiftrightunsigned("th", 6).bitwiseAND((1 << SLOT_BITS) - 1)
-    slots = wanted.groupBy(slot.alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(th & 63 as int)))").alias("bits"))
-    near = (docs.select("th", "text", slot.alias("slot")).join(F.broadcast(slots), "slot")  # 2**SLOT_BITS rows at most
-            .where("shiftrightunsigned(bits, cast(th & 63 as int)) & 1 = 1").select("th", "text"))
-    return saved(near.dropDuplicates(["th"]).join(wanted, "th").select("node", "text"))
+    return saved(_near(docs.select("th", "text"), "th", wanted).dropDuplicates(["th"]).join(wanted, "th").select("node", "text"))
+
+
+def _apart(shared: DataFrame, state: DataFrame) -> DataFrame:
+    """The entries of lists whose members are in more than one component, with the state (component, central) of each."""
+    of_key = Window.partitionBy("key")
+    placed = shared.select("key", "node", "where").join(state, "node")
+    return (placed.withColumn("low", F.min("component").over(of_key)).withColumn("high", F.max("component").over(of_key))
+            .where("low <> high").drop("low", "high"))
 
 
 def join_sets(docs: DataFrame) -> DataFrame:
@@ -203,37 +257,37 @@ def join_sets(docs: DataFrame) -> DataFrame:
                        F.xxhash64(F.col("text").cast("string")).alias("th"))
     sets = saved(described(docs))
     light = boundary(sets)
-    of_key = Window.partitionBy("key", "listed")
+    of_key = Window.partitionBy("key")
     entries = (_entries(sets, light).withColumn("low", F.min("node").over(of_key)).withColumn("high", F.max("node").over(of_key))
-               .where("low <> high"))
+               .where("low <> high").dropDuplicates(["key", "node"]))
     # sets of a list whose sizes are alike meet their first one
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT)))
-    shared = saved(entries.select("key", "listed", "node", "n", band.alias("band")))
-    firsts = (shared.withColumn("a", F.min("node").over(Window.partitionBy("key", "listed", "band"))).where("a <> node")
-              .groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max(~F.col("listed")).alias("subset"))
-              .where(F.col("subset") | (F.col("k") * 20 >= F.col("n"))).select("a", "b"))
+    band = F.floor(F.log(_size(F.col("where")).cast("double")) / F.log(F.lit(100 / PERCENT)))
+    alike = Window.partitionBy("key", "band")
+    shared = saved(entries.withColumn("band", band).withColumn("first", F.min(F.struct("node", "where")).over(alike))
+                   .select("key", "node", "where", F.col("first.node").alias("a"), F.col("first.where").alias("a_where")))
+    firsts = _pairs(shared.where("a <> node").select("a", "a_where", F.col("node").alias("b"), F.col("where").alias("b_where")), light)
     texts = _texts(docs, shared.select("node").distinct(), sets)
     links = saved(similar(firsts, texts))
-    # lists whose members are still in different components give their pairs across components
     known = saved(connected_components(links))
-    placed = (shared.dropDuplicates(["key", "listed", "node"]).join(known, "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
-    apart = (placed.withColumn("low", F.min("component").over(of_key)).withColumn("high", F.max("component").over(of_key))
-             .where("low <> high").select("key", "listed", "node", "n", "component"))
-    apart = saved(apart)
-    left, right = apart.alias("x"), apart.alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    # beyond both prefixes, of n - ceil(t * n) + 1 shingles, at most this many can be common
-    most = F.ceil(F.greatest("x.n", "y.n") * PERCENT / 100) - 1
-    across = (left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.listed") == F.col("y.listed"))
-                        & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
-                        & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-                        & (~F.col("x.listed") | (F.greatest("x.n", "y.n") >= light)))
-              .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.listed").alias("listed"), total.alias("total"), most.alias("most"))
-              .agg(F.count(F.lit(1)).alias("k"))
-              .where(~F.col("listed") | ((100 + PERCENT) * (F.col("k") + F.col("most")) >= PERCENT * F.col("total")))
-              .select("a", "b").distinct())
-    found = saved(similar(across, texts))
+    # central sets share most of what they entered; they tie the rest of a group of near copies together
+    central = saved(shared.groupBy("node").agg((F.count(F.lit(1)) / F.max(_size(F.col("where")))).alias("central")))
+
+    def state():
+        return central.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    apart = saved(_apart(shared, state()))
+    stars = (apart.withColumn("first", F.max(F.struct("central", "node", "where", "component")).over(of_key))
+             .where("first.component <> component").select(F.col("first.node").alias("a"), F.col("first.where").alias("a_where"),
+                                                           F.col("node").alias("b"), F.col("where").alias("b_where")))
+    found = saved(similar(_pairs(stars, light), texts))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        known = saved(connected_components(links))
+        apart = saved(_apart(apart, state()))
+    # what is still apart gives its pairs across components
+    x, y = (apart.select("key", F.col("node").alias(n), F.col("where").alias(f"{n}_where"), F.col("component").alias(f"{n}_in")) for n in "ab")
+    across = x.join(y, (x["key"] == y["key"]) & (F.col("a_in") != F.col("b_in")) & (F.col("a") < F.col("b")) & _counts(light))
+    found = saved(similar(_pairs(across.select("a", "a_where", "b", "b_where"), light), texts))
     nodes = known if found.isEmpty() else saved(connected_components(links.unionByName(found)))
     # smallest id of each component, then back to the documents
     smallest = sets.where("c1 is not null").groupBy(F.col("c1").alias("node")).agg(F.min("doc_id").alias("first"))
