@@ -315,8 +315,8 @@ def _(spark, sf):
     return D.null_pairs(pairs, free, CFG).select("lib", "chrom", "dtype", "qname", *big("rep", "pos1", "pos2"))
 
 
-@query("fdr_select", """WITH s AS (SELECT l_shipmode AS k, q AS lr, r, z FROM (SELECT l_suppkey % 7 AS l_shipmode, round(l_quantity + 3 * (l_linenumber % 4), 0) AS q,
-    CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS r, CASE WHEN l_linestatus = 'O' OR l_quantity > 45 THEN 0 ELSE 1 END AS z FROM lineitem) WHERE r + z > 0),
+@query("fdr_select", """WITH s AS (SELECT l_shipmode AS k, q AS lr, r, z FROM (SELECT l_suppkey % 7 AS l_shipmode, round(l_quantity + 3 * (l_linenumber % 4) - CASE WHEN l_linestatus = 'O' THEN 0 ELSE 9 END, 0) AS q,
+    CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS r, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS z FROM lineitem) WHERE r + z > 0),
   t AS (SELECT k, sum(r) AS m, sum(z) AS n0 FROM s GROUP BY k),
   d AS (SELECT k, lr, sum(r) AS r, sum(z) AS z FROM s GROUP BY k, lr),
   c AS (SELECT *, coalesce(sum(r) OVER w, 0) AS r_lt, coalesce(sum(z) OVER w, 0) AS z_lt FROM d WINDOW w AS (PARTITION BY k ORDER BY lr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -324,9 +324,10 @@ def _(spark, sf):
   SELECT k, CAST(m AS BIGINT) AS n_clusters, CAST(n0 AS BIGINT) AS n_null, coalesce(cutoff, CAST('infinity' AS DOUBLE)) AS cutoff FROM t LEFT JOIN b USING (k)""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(
-        (F.col("l_suppkey") % 7).alias("k"), F.round(F.col("l_quantity") + 3 * (F.col("l_linenumber") % 4), 0).alias("lr"),
-        (F.col("l_linestatus") == "O").alias("real"), "l_quantity")
-    return D.fdr_cutoffs(li.where("real"), li.where("not real and l_quantity <= 45"), ["k"], CFG)
+        (F.col("l_suppkey") % 7).alias("k"), F.round(
+            F.col("l_quantity") + 3 * (F.col("l_linenumber") % 4) - F.when(F.col("l_linestatus") == "O", 0).otherwise(9), 0).alias("lr"),
+        (F.col("l_linestatus") == "O").alias("real"))
+    return D.fdr_cutoffs(li.where("real"), li.where("not real"), ["k"], CFG)
 
 
 # --- splits and soft clips -----------------------------------------------------------------------
@@ -336,11 +337,11 @@ SPLITS = """, sp AS (SELECT lib, chrom, qname, p, mapq, rev, pos, ref_end, a + 1
 
 
 @query("split_reads", SPLITS + """ SELECT lib, chrom, qname, CASE WHEN NOT rev AND NOT rev2 THEN 'Del+' WHEN rev AND rev2 THEN 'Del-' WHEN rev2 THEN 'InvL+' ELSE 'InvL-' END AS split_type,
-    ref_end AS bp1_lo, ref_end AS bp1_hi, pos2 + CASE WHEN rev <> rev2 THEN 40 ELSE 0 END AS bp2_lo FROM sp""", reads=True)
+    ref_end AS bp1_lo, ref_end AS bp1_hi, pos2 + CASE WHEN rev <> rev2 THEN 40 ELSE 0 END AS bp2_lo, pos2 + CASE WHEN rev <> rev2 THEN 40 ELSE 0 END AS bp2_hi FROM sp""", reads=True)
 def _(spark, sf):
     r = reads_of(spark, sf).where("split is not null")
     return r.select("lib", F.col("rname").alias("chrom"), "qname", "split.split_type", *[
-        F.col(f"split.{c}").cast("bigint").alias(c) for c in ("bp1_lo", "bp1_hi", "bp2_lo")])
+        F.col(f"split.{c}").cast("bigint").alias(c) for c in ("bp1_lo", "bp1_hi", "bp2_lo", "bp2_hi")])
 
 
 @query("split_evidence")
@@ -348,19 +349,21 @@ def _(spark, sf):
     return E.split_evidence(pairs_of(spark, sf, splits=True))
 
 
+# reads aligned in two parts (p % 5 = 4) are soft-clip evidence only where their quality is too low for a split
 CLIPS = """, cb AS (SELECT lib, chrom, p, mapq, rev, cl > 0 AS is_left, CASE WHEN cl > 0 THEN pos ELSE ref_end END AS pos,
-    GREATEST(0, cl + cr - CASE WHEN p % 4 > 0 THEN p % 4 + 5 ELSE 0 END) AS clipped, 3 + (p * 3) % 37 AS q FROM u WHERE mate = 0 AND p % 5 IN (2, 3)),
+    CASE WHEN p % 5 = 4 THEN cr ELSE GREATEST(0, cl + cr - CASE WHEN p % 4 > 0 THEN p % 4 + 5 ELSE 0 END) END AS clipped, 3 + (p * 3) % 37 AS q FROM u
+    WHERE mate = 0 AND (p % 5 IN (2, 3) OR p % 5 = 4 AND mapq < 20)),
   sc0 AS (SELECT lib, chrom, NOT is_left AS is_right, pos, clipped, mapq, rev FROM cb WHERE mapq >= 10 AND clipped >= 5 AND q >= 15)"""
 
 
 @query("softclip_evidence", CLIPS + " SELECT lib, chrom, is_right, pos, clipped AS bases_clipped, mapq, rev AS is_reverse FROM sc0", reads=True)
 def softclip_evidence(spark, sf):
-    clips = E.softclip_evidence(reads_of(spark, sf).where("cast(qname as bigint) % 5 in (2, 3)"), CFG)
+    clips = E.softclip_evidence(reads_of(spark, sf), CFG)
     return clips.select("lib", "chrom", "is_right", "pos", *big("bases_clipped", "mapq"), "is_reverse")
 
 
 def clips_of(spark, sf):
-    return E.softclip_evidence(reads_of(spark, sf).where("cast(qname as bigint) % 5 in (2, 3)"), CFG)
+    return E.softclip_evidence(reads_of(spark, sf), CFG)
 
 
 @query("softclip_clusters", CLIPS + """, ps AS (SELECT chrom, is_right, pos, count(*) AS n, sum(mapq) AS mq, max(clipped) AS clip FROM sc0 GROUP BY chrom, is_right, pos),
@@ -390,15 +393,15 @@ def _(spark, sf):
 
 # --- intervals over lineitem --------------------------------------------------------------------------
 
-# one interval per line: contig by order, start by part, length by quantity
-IV = """WITH iv AS (SELECT 's' || (l_orderkey % 16) AS chrom, (l_partkey * 7919 + l_suppkey * 613) % 200000 AS lo,
+# one interval per line: a contig for each thousand orders, start by part, length by quantity
+IV = """WITH iv AS (SELECT 's' || (l_orderkey // 1000) AS chrom, (l_partkey * 7919 + l_suppkey * 613) % 200000 AS lo,
     (l_partkey * 7919 + l_suppkey * 613) % 200000 + CAST(l_quantity AS BIGINT) AS hi, l_linenumber AS ln FROM lineitem) """
 
 
 def intervals_of(spark, sf) -> DataFrame:
     start = (F.col("l_partkey") * 7919 + F.col("l_suppkey") * 613) % 200000
     return table(spark, sf, "lineitem").select(
-        F.concat(F.lit("s"), (F.col("l_orderkey") % 16).cast("string")).alias("chrom"), start.alias("lo"),
+        F.concat(F.lit("s"), F.expr("l_orderkey div 1000").cast("string")).alias("chrom"), start.alias("lo"),
         (start + F.col("l_quantity").cast("bigint")).alias("hi"), F.col("l_linenumber").alias("ln"))
 
 
@@ -498,12 +501,12 @@ def _(spark, sf):
     return I.overlap_anti(iv, g, ["chrom"], ("lo", "hi"), ("g_lo", "g_hi"), ["chrom", "lo", "hi"]).select("chrom", "lo", "hi")
 
 
-# breakpoints: every fifth start position, as short closed intervals of two evidence levels
-EVI = IV + """, bp AS (SELECT DISTINCT chrom, lo, lo + ln AS hi, CASE WHEN ln <= 2 THEN 2 ELSE 1 END AS level FROM iv WHERE lo % 5 = 0 AND ln <= 4) """
+# breakpoints: every start position, as short closed intervals of two evidence levels
+EVI = IV + """, bp AS (SELECT DISTINCT chrom, lo, lo + ln AS hi, CASE WHEN ln <= 2 THEN 2 ELSE 1 END AS level FROM iv) """
 
 
 def evidence_of(spark, sf):
-    iv = intervals_of(spark, sf).where("lo % 5 = 0 and ln <= 4")
+    iv = intervals_of(spark, sf)
     return iv.select("chrom", "lo", (F.col("lo") + F.col("ln")).alias("hi"), F.when(F.col("ln") <= 2, 2).otherwise(1).alias("level"))
 
 
@@ -521,7 +524,7 @@ def _(spark, sf):
 
 
 @query("breakpoint_support", EVI + ", h_in AS (SELECT DISTINCT chrom, lo, hi FROM bp)" + _isl("h_in", "h") + """,
-  ws AS (SELECT h.chrom, bp_lo, bp_hi, count(*) AS n FROM h JOIN (SELECT chrom, lo, lo + ln AS hi FROM iv WHERE lo % 5 = 0 AND ln <= 4) e
+  ws AS (SELECT h.chrom, bp_lo, bp_hi, count(*) AS n FROM h JOIN (SELECT chrom, lo, lo + ln AS hi FROM iv) e
          ON h.chrom = e.chrom AND e.lo BETWEEN h.bp_lo AND h.bp_hi GROUP BY h.chrom, bp_lo, bp_hi)
   SELECT chrom, bp_lo, bp_hi, CAST(n AS BIGINT) AS n_split FROM ws WHERE n >= 2""")
 def _(spark, sf):
@@ -713,15 +716,15 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.reverse_complement(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq"))
 
 
-CIG = """WITH c AS (SELECT DISTINCT l_linenumber AS a, l_partkey % 30 + 1 AS b, l_suppkey % 7 AS d, l_orderkey % 1000 AS pos FROM lineitem) """
+CIG = """WITH c AS (SELECT DISTINCT l_linenumber AS a, l_partkey % 30 + 1 AS b, l_suppkey % 7 + 1 AS d, l_orderkey % 1000 AS pos FROM lineitem) """
 
 
 @query("cigar_parse", CIG + """SELECT a, b, d, pos, b + 40 + d AS ref_len, a + b + 3 + 40 + 6 AS query_len, a AS clip_l, 6 AS clip_r, a + 1 AS q_start, a + b + 43 AS q_end, 7 AS r_start,
-    pos || '-' || (pos + b) || ',' || (pos + b + d) || '-' || (pos + b + d + 40) AS blocks, a || ',3,6' AS gaps FROM c WHERE d > 0""")
+    pos || '-' || (pos + b) || ',' || (pos + b + d) || '-' || (pos + b + d + 40) AS blocks, a || ',3,6' AS gaps FROM c""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select(
-        F.col("l_linenumber").cast("bigint").alias("a"), (F.col("l_partkey") % 30 + 1).alias("b"), (F.col("l_suppkey") % 7).alias("d"),
-        (F.col("l_orderkey") % 1000).alias("pos")).distinct().where("d > 0")
+        F.col("l_linenumber").cast("bigint").alias("a"), (F.col("l_partkey") % 30 + 1).alias("b"), (F.col("l_suppkey") % 7 + 1).alias("d"),
+        (F.col("l_orderkey") % 1000).alias("pos")).distinct()
     li = li.withColumn("ops", A.cigar_ops(F.format_string("%dS%dM3I%dD40M6S", "a", "b", "d")))
     ops = F.col("ops")
     li = li.withColumn("mb", A.match_blocks(ops, F.col("pos"))).withColumn("qc", A.query_coords(ops, F.lit(False)))
@@ -774,10 +777,10 @@ HAPS = {"DEL": [0, 1, 4, 5, 6, 7], "INV": [0, 1, 3, 2, 4, 5, 6, 7], "DUP:TANDEM"
 
 @query("classify_path", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'DEL' WHEN 1 THEN 'INV' WHEN 2 THEN 'DUP:TANDEM' ELSE 'BND,BND' END AS types,
     CASE o_orderkey % 4 WHEN 0 THEN 'AC' WHEN 1 THEN 'AB''C' WHEN 2 THEN 'ABBC' ELSE 'ACBCD' END AS rearrangement,
-    CASE o_orderkey % 4 WHEN 3 THEN 100 + o_custkey % 50 + 100 ELSE 100 + o_custkey % 50 END AS affected FROM orders WHERE o_orderkey % 4 < 3""")
+    CASE o_orderkey % 4 WHEN 3 THEN 100 ELSE 100 + o_custkey % 50 END AS affected FROM orders""")
 def _(spark, sf):
     from strandloom.plans import classify as C
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey").where("o_orderkey % 4 < 3"))
+    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
     names = list(HAPS)
     path = F.when(F.col("o_orderkey") % 4 == 0, arr(HAPS[names[0]])).when(F.col("o_orderkey") % 4 == 1, arr(HAPS[names[1]])).when(
