@@ -17,7 +17,7 @@ from strandloom.plans import filter_merge as M
 from strandloom.plans import graph as G
 from strandloom.plans import inference as N
 from strandloom.plans import library as L
-from strandloom.plans.derived import READS_SQL, event_alignments, spread, table
+from strandloom.plans.derived import READS_SQL, event_alignments, table
 from strandloom.session import checkpoint
 
 QUERIES: dict = {}
@@ -344,9 +344,13 @@ def _(spark, sf):
         F.col(f"split.{c}").cast("bigint").alias(c) for c in ("bp1_lo", "bp1_hi", "bp2_lo", "bp2_hi")])
 
 
-@query("split_evidence")
+@query("split_evidence", SPLITS + """ SELECT sp.lib, sp.chrom, sp.qname, sp.qname || '_1' AS split_id, sp.mapq, CASE WHEN m.p IS NOT NULL THEN sp.qname || '_2' END AS mate_id,
+    m.mapq AS mate_mapq, CASE WHEN NOT sp.rev AND NOT rev2 THEN 'Del+' WHEN sp.rev AND rev2 THEN 'Del-' WHEN rev2 THEN 'InvL+' ELSE 'InvL-' END AS split_type, sp.ref_end AS bp1_lo,
+    sp.ref_end AS bp1_hi, pos2 + CASE WHEN sp.rev <> rev2 THEN 40 ELSE 0 END AS bp2_lo, pos2 + CASE WHEN sp.rev <> rev2 THEN 40 ELSE 0 END AS bp2_hi
+    FROM sp LEFT JOIN u m ON m.p = sp.p AND m.mate = 1""", reads=True)
 def _(spark, sf):
-    return E.split_evidence(pairs_of(spark, sf, splits=True))
+    out = E.split_evidence(pairs_of(spark, sf, splits=True))
+    return out.select("lib", "chrom", "qname", "split_id", *big("mapq"), "mate_id", *big("mate_mapq"), "split_type", *big("bp1_lo", "bp1_hi", "bp2_lo", "bp2_hi"))
 
 
 # reads aligned in two parts (p % 5 = 4) are soft-clip evidence only where their quality is too low for a split
@@ -780,7 +784,7 @@ HAPS = {"DEL": [0, 1, 4, 5, 6, 7], "INV": [0, 1, 3, 2, 4, 5, 6, 7], "DUP:TANDEM"
     CASE o_orderkey % 4 WHEN 3 THEN 100 ELSE 100 + o_custkey % 50 END AS affected FROM orders""")
 def _(spark, sf):
     from strandloom.plans import classify as C
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
     names = list(HAPS)
     path = F.when(F.col("o_orderkey") % 4 == 0, arr(HAPS[names[0]])).when(F.col("o_orderkey") % 4 == 1, arr(HAPS[names[1]])).when(
@@ -815,7 +819,7 @@ CALLS = """WITH calls AS (SELECT CASE WHEN l_suppkey % 24 < 22 THEN CAST(l_suppk
 def calls_of(spark, sf):
     n, s = F.col("l_linenumber"), lambda c: c.cast("string")
     kind = F.when(n == 1, "DEL").when(n == 2, "INV").when(n == 3, "DUP").when(n == 4, "INS").otherwise("BND,BND")
-    return spread(table(spark, sf, "lineitem")).select(
+    return table(spark, sf, "lineitem").select(
         F.when(F.col("l_suppkey") % 24 < 22, s(F.col("l_suppkey") % 24 + 1)).otherwise("X").alias("chrom"), (F.col("l_partkey") * 10).alias("minbp"),
         (F.col("l_partkey") * 10 + F.col("l_quantity").cast("bigint")).alias("maxbp"),
         F.concat(s(F.col("l_orderkey")), F.lit("-"), s(n), F.when(n == 5, "_1").otherwise("")).alias("id"), kind.alias("svtype"),

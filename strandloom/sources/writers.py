@@ -28,18 +28,19 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, overwrite: bool = F
     out.write.mode(_mode(overwrite)).csv(path, sep="\t", header=header, quote="", escape="", emptyValue="")
 
 
-def write_calls(calls: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Sorted call table.  Calls are few, so one file is what users expect."""
-    write_tsv(format_calls(sort_calls(calls)), path, True, overwrite, single=True)
+def write_calls(calls: DataFrame, path: str, overwrite: bool = False, single: bool = False) -> None:
+    """Sorted call table: parts in order, each with the header, or one file on request."""
+    write_tsv(format_calls(sort_calls(calls)), path, True, overwrite, single)
 
 
-def write_vcf(spark: SparkSession, rows: DataFrame, header: str, path: str, overwrite: bool = False) -> None:
-    """Header file ``_header`` rows first, then the body sorted by (contig, position, text)."""
+def write_vcf(spark: SparkSession, rows: DataFrame, header: str, path: str, overwrite: bool = False,
+              single: bool = False) -> None:
+    """Header rows first, then the body sorted by (contig, position, text): parts in order, or one file on request."""
     head = spark.createDataFrame([(0, i, "", l) for i, l in enumerate(header.rstrip("\n").split("\n"))],
                                  "k int, pos bigint, chrom string, line string")
     body = vcf_lines(rows).select(F.lit(1).alias("k"), F.col("pos").cast("bigint").alias("pos"), "chrom", "line")
-    (head.unionByName(body).repartition(1).sortWithinPartitions("k", "chrom", "pos", "line")
-     .select("line").write.mode(_mode(overwrite)).text(path))
+    rows = head.unionByName(body).orderBy("k", "chrom", "pos", "line").select("line")
+    (rows.coalesce(1) if single else rows).write.mode(_mode(overwrite)).text(path)
 
 
 def write_split_support(table: DataFrame, path: str, overwrite: bool = False) -> None:
