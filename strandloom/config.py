@@ -32,7 +32,6 @@ class CallConfig:
     cluster_max_distance_sd: int = 3
     max_ins_pair_slop: int = 20
     max_ins_cluster_slop: int = 25
-    pecluster_size_coverage_ratio: float = 1.5
     pecluster_null_reps: int = 4
     pecluster_target_fdr: float = 0.1
     bp_confidence: float = 0.95
@@ -54,8 +53,6 @@ class CallConfig:
     altered_flank_size: int = 1000
     min_simplesv_size: int = 50
     max_size_altered: int = 2_000_000
-    # physical layout: width in bases of the coordinate bins used by ordered operators
-    bin_width: int = 1 << 16
 
     @property
     def symmetric_fractions(self) -> list[float]:

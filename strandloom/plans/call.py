@@ -123,7 +123,7 @@ def collect_evidence(alignments: DataFrame, regions: DataFrame, gaps: DataFrame,
         clip_reads = reads
 
     free = checkpoint(length_without_gaps(regions, gaps, ["chrom"]))
-    cover = checkpoint(L.coverage_stats(reads, pairs, lib.stats, free, F.lit(lib.read_len), cfg))
+    cover = checkpoint(L.coverage_stats(reads, pairs, lib.stats, free, F.lit(lib.read_len)))
     disc = E.discordant_pairs(pairs, lib.bounds, cfg, lib.read_len)
     if not cfg.do_pecluster:
         disc = disc.limit(0)

@@ -205,7 +205,7 @@ def _(spark, sf):
     pairs = checkpoint(E.mates(reads))
     free = reads.groupBy(F.col("rname").alias("chrom")).agg(F.lit(62000).alias("free_len"))
     stats = L.insert_percentiles(L.insert_histogram(pairs, CFG))
-    out = L.coverage_stats(reads, pairs, stats, free, F.lit(100), CFG)
+    out = L.coverage_stats(reads, pairs, stats, free, F.lit(100))
     return out.select("lib", "chrom", "n_reads", "n_pairs", F.round("seq_coverage", 6).alias("seq_coverage"), F.round("phys_coverage", 6).alias("phys_coverage"))
 
 

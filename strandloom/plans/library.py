@@ -105,9 +105,8 @@ def read_length(reads: DataFrame) -> DataFrame:
     return reads.where(~F.col("cigar").contains("H")).agg(F.max("qlen").alias("read_len"))
 
 
-def coverage_stats(reads: DataFrame, pairs: DataFrame, stats: DataFrame, free_len: DataFrame,
-                   read_len: Column, cfg: CallConfig) -> DataFrame:
-    """Sequence and physical coverage per library and contig, and the cluster size cap."""
+def coverage_stats(reads: DataFrame, pairs: DataFrame, stats: DataFrame, free_len: DataFrame, read_len: Column) -> DataFrame:
+    """Sequence and physical coverage per library and contig."""
     n_reads = reads.groupBy("lib", F.col("rname").alias("chrom")).agg(F.count(F.lit(1)).alias("n_reads"))
     n_pairs = (pairs.where("b is not null").groupBy("lib", F.col("rname").alias("chrom"))
                .agg(F.count(F.lit(1)).alias("n_pairs")))
@@ -115,9 +114,7 @@ def coverage_stats(reads: DataFrame, pairs: DataFrame, stats: DataFrame, free_le
             .join(free_len, "chrom").join(F.broadcast(stats.select("lib", "median")), "lib")
             .select("lib", "chrom", "n_reads", "n_pairs", "free_len",
                     (F.col("n_reads") * read_len / F.col("free_len")).alias("seq_coverage"),
-                    (F.col("n_pairs") * F.col("median") / F.col("free_len")).alias("phys_coverage"),
-                    (F.col("n_pairs") * F.col("median") / F.col("free_len")
-                     * cfg.pecluster_size_coverage_ratio).alias("max_cluster")))
+                    (F.col("n_pairs") * F.col("median") / F.col("free_len")).alias("phys_coverage")))
 
 
 def normal_log_density(x: Column, mu: Column, sigma: Column) -> Column:
