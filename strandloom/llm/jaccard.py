@@ -33,8 +33,8 @@ from strandloom.operators.components import connected_components
 from strandloom.session import saved
 
 SHINGLE, PERCENT = 5, 75
-#: The frequency table has 2**BITS counters; a shingle counts as frequent from HOT documents on.
-BITS, HOT = 20, 24
+#: The frequency table has 2**BITS counters; a shingle counts as frequent from about HOT documents on.
+BITS, HOT = 24, 12
 #: Light sets are smaller than this at most.
 LIGHT_MOST = 256
 #: Members compared with one pivot in one group of the check.
@@ -74,13 +74,13 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     Each task reports the counters that stand out in its own rows; they are summed over all.
     """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int64)
+        counts = np.zeros(1 << BITS, np.int32)
         for batch in batches:
             for _, own in shingle_sets(batch["text"]):
                 np.add.at(counts, (own >> np.uint64(64 - BITS)).astype(np.int64), 1)
         mean = counts.mean()
         out = np.flatnonzero(counts >= max(3, mean + 4 * np.sqrt(mean)))
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(counts[out] - int(mean))], names=["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(counts[out].astype(np.int64) - int(mean))], names=["counter", "n"])
 
     found = (docs.select("text").mapInArrow(partial, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= HOT).toPandas())  # 2**BITS rows at most
