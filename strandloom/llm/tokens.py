@@ -12,7 +12,7 @@ import re
 import numpy as np
 
 #: Words remembered in each Python worker (about 220 bytes a word); beyond it the memo starts anew.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Fixed: white space of the normalizer's pattern, which str.split() covers except for these four, which it adds.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
