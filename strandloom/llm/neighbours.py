@@ -3,13 +3,15 @@
 Each vector keeps a list of its nearest neighbours.  Lists start from vectors that lie together
 when all are sorted by random hyperplane codes.  In a round every vector shows the members of its
 list, and the vectors that list it, to each other; what is closer than the end of a list enters
-it.  Rounds go on until few entries change.  Pairs at the threshold are links, and their connected
-components the groups.
+it.  Rounds go on until few entries change.  Pairs at the threshold are links, whether a list has
+room for them or not, and their connected components the groups.
 
-A list whose last entry is still a link is saturated: it cannot hold all links.  Such lists are
-enlarged to all members of their group, compared in blocks.  Recall is audited: a sample of
-vectors is compared with all others, and missing links between groups call for another descent
-with longer lists from other codes, and are added themselves.
+A list whose last entry is still a link is saturated: it cannot hold all links.  Vectors with such
+lists keep a second list, of the nearest vector in each of the nearest other groups, found by a
+descent of its own; its links join groups, and it is started anew until it has none.  Links inside a group
+are counted by comparing all members, in blocks.  Recall is audited: a sample of vectors is
+compared with all others.  Missing links between groups are added, and call for another descent
+with longer lists from other codes; when links or groups stay short in the last one, it fails.
 
 All similarities are cosines in double precision.  Equal vectors are one node with a weight.
 """
@@ -151,7 +153,10 @@ def _lists(pairs: DataFrame, length: int) -> DataFrame:
 
 
 def descended(nodes: DataFrame, lists: DataFrame, length: int) -> DataFrame:
-    """Pairs found by showing the members of each neighbourhood to each other."""
+    """Pairs found by showing the members of each neighbourhood to each other.
+
+    Those with s are nearer than the end of a list; those that are ``linked`` lie in one group.
+    """
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = lists.groupBy("node").agg(F.min(F.when(F.col("rank") == length, F.col("s"))).alias("end"))
     # a list may be named by very many; its nearest namers stand for all of them here
@@ -166,32 +171,113 @@ def descended(nodes: DataFrame, lists: DataFrame, length: int) -> DataFrame:
             x = unit(group["v"].to_pylist(), group["dim"][0].as_py())
             s = x @ x.T
             i, j = np.nonzero(np.triu((s > end[:, None]) | (s > end[None, :]), 1))
-            yield _links(ids[i], ids[j], s[i, j])
+            # full lists have no room for a link: each member with the first one that it is linked with
+            linked = s >= THRESHOLD
+            np.fill_diagonal(linked, True)
+            first, old = np.where(linked, np.arange(len(ids)), len(ids)).min(axis=1), None
+            while old is None or (first != old).any():
+                old, first = first, np.where(linked, first, len(ids)).min(axis=1)
+            more = np.flatnonzero(first != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([ids[i], ids[more]])), pa.array(np.concatenate([ids[j], ids[first[more]]])),
+                 pa.array(np.concatenate([s[i, j], np.zeros(len(more))]), mask=np.arange(len(i) + len(more)) >= len(i)),
+                 pa.array(np.concatenate([s[i, j] >= THRESHOLD, np.ones(len(more), bool)]))], names=["a", "b", "s", "linked"])
 
     met = (shown.join(holding, "member").repartition(width, "center").sortWithinPartitions("center")
-           .select("center", "member", "v", "dim", "end").mapInArrow(meet, _LINK))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+           .select("center", "member", "v", "dim", "end").mapInArrow(meet, f"{_LINK}, linked boolean"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", "linked").groupBy("a", "b").agg(
+        F.max("s").alias("s"), F.max("linked").alias("linked"))
 
 
-def descent(nodes: DataFrame, seed: int, length: int) -> DataFrame:
-    """The links of one NN-descent."""
-    lists = saved(_lists(started(nodes, seed, ORDERS, REACH), length))
+def descent(nodes: DataFrame, seed: int, length: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one group that an NN-descent saw, and its lists."""
+    start = saved(started(nodes, seed, ORDERS, REACH))
+    seen = start.where((F.col("s") >= THRESHOLD) & (F.col("a") != F.col("b"))).select("a", "b")
+    lists = saved(_lists(start, length))
     for _ in range(ROUNDS):
         old = lists.select(F.col("node").alias("a"), F.col("other").alias("b"), "s")
-        new = saved(_lists(old.unionByName(descended(nodes, lists, length)), length))
+        met = saved(descended(nodes, lists, length))
+        seen = seen.unionByName(met.where("linked").select("a", "b"))
+        new = saved(_lists(old.unionByName(met.where("s is not null").select("a", "b", "s")), length))
         fresh = new.join(lists, ["node", "other"], "left_anti").count()
         lists = new
         if fresh <= CHANGED * max(1, new.count()):
             break
-    return lists.where(F.col("s") >= THRESHOLD).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    return seen.unionByName(lists.where(F.col("s") >= THRESHOLD).select(F.col("node").alias("a"), F.col("other").alias("b"))).distinct(), lists
+
+
+def _outer(pairs: DataFrame, of: DataFrame, length: int) -> DataFrame:
+    """The nearest vector in each of the ``length`` nearest other components of each vector: node, other, s, rank."""
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "s").unionByName(
+        pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "s"))
+    theirs = of.select(F.col("node").alias("other"), F.col("component").alias("theirs"))
+    best = (both.join(of, "node").join(theirs, "other").where("component <> theirs")
+            .groupBy("node", "theirs").agg(F.max(F.struct("s", "other")).alias("best")).select("node", "best.other", "best.s"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "other"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= length)
+
+
+def crossed(nodes: DataFrame, lists: DataFrame, component: DataFrame, seed: int, length: int) -> DataFrame | None:
+    """Links (a, b) between components among the vectors whose lists are full of links, or None without any.
+
+    Only such vectors can miss links for the length of their lists.  They descend on lists that
+    leave out their own component, starting from all of them and from a few of each component.
+    """
+    width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = lists.where((F.col("rank") == length) & (F.col("s") >= THRESHOLD)).select("node")
+    of = saved(component.join(full, "node").select("node", "component"))
+    if of.select("component").distinct().limit(2).count() < 2:
+        return None
+    ours = saved(nodes.select("node", "v", "dim").join(of, "node"))
+    inside = saved(lists.select("node", "other", "s").join(of.select("node"), "node", "left_semi")
+                   .join(of.select(F.col("node").alias("other")), "other", "left_semi"))
+    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    draw = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = ours.join(sizes, "component").where((F.col("node") == F.col("first")) | (draw * F.col("n") < 2)).select("node", "v", "dim")
+
+    def named(entries: DataFrame) -> DataFrame:
+        namer = F.row_number().over(Window.partitionBy("other").orderBy(F.desc("s"), "node"))
+        return entries.select(F.col("node").alias("center"), F.col("other").alias("member")).unionByName(
+            entries.withColumn("back", namer).where(F.col("back") <= length).select(F.col("other").alias("center"), F.col("node").alias("member")))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["center"]):
+            ids, comp, end = group["member"].to_numpy(), group["component"].to_numpy(), np.nan_to_num(group["end"].to_numpy(), nan=-2.0)
+            x = unit(group["v"].to_pylist(), group["dim"][0].as_py())
+            s = x @ x.T
+            i, j = np.nonzero((comp[:, None] != comp[None, :]) & (s > end[:, None]))
+            order = np.lexsort((-s[i, j], comp[j], i))  # the nearest of each other component
+            i, j = i[order], j[order]
+            best = np.ones(len(i), bool)
+            best[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
+            yield _links(ids[i[best]], ids[j[best]], s[i[best], j[best]])
+
+    near = saved(named(inside).unionByName(of.select(F.col("node").alias("center"), F.col("node").alias("member"))))
+    outer = saved(_outer(started(ours.drop("component"), seed, ORDERS, REACH).unionByName(started(few, seed, ORDERS, REACH)), of, length))
+    for _ in range(ROUNDS):
+        ends = outer.where(F.col("rank") == length).select(F.col("node").alias("member"), F.col("s").alias("end"))
+        holding = ours.withColumnRenamed("node", "member").join(ends, "member", "left")
+        met = (near.unionByName(named(outer)).distinct().join(holding, "member").repartition(width, "center").sortWithinPartitions("center")
+               .select("center", "member", "v", "dim", "component", "end").mapInArrow(meet, _LINK))
+        new = saved(_outer(outer.select(F.col("node").alias("a"), F.col("other").alias("b"), "s").unionByName(met), of, length))
+        fresh = new.join(outer, ["node", "other"], "left_anti").count()
+        outer = new
+        if fresh <= CHANGED * max(1, new.count()):
+            break
+    links = outer.where(F.col("s") >= THRESHOLD).select(F.col("node").alias("a"), F.col("other").alias("b"))
+    return None if links.isEmpty() else links
+
 
+def audit(nodes: DataFrame, component: DataFrame, seed: int = 0) -> tuple[int, int, int, int, list[tuple[int, int]]]:
+    """Recall of a sample of vectors compared with all.
 
-def audit(nodes: DataFrame, component: DataFrame) -> tuple[int, int, list[tuple[int, int]]]:
-    """(links of a sample of vectors among all, those inside one component, pairs of the others)."""
+    Their links, those inside one component, their components that have links, those of them
+    without a link to another, and pairs of the links between components.
+    """
     spark = nodes.sparkSession
     placed = nodes.select("node", "v", "dim").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     share = AUDITED / max(1, nodes.count())
-    draw = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("node", F.lit(3 + seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = placed.where(draw < share).collect()  # about AUDITED vectors
     asked: dict[int, list] = {}
     for r in sample:
@@ -200,7 +286,7 @@ def audit(nodes: DataFrame, component: DataFrame) -> tuple[int, int, list[tuple[
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         true = together = 0
-        pairs = [[], []]
+        pairs, groups, broken = [[], []], set(), set()
         for batch in batches:
             node, comp, dims, raw = batch["node"].to_numpy(), batch["component"].to_numpy(), batch["dim"].to_numpy(), batch["v"].to_pylist()
             for dim, queries in shared.value.items():
@@ -213,15 +299,19 @@ def audit(nodes: DataFrame, component: DataFrame) -> tuple[int, int, list[tuple[
                     i, j = mine[i[other]], j[other]
                     same = comp[i] == comps[j]
                     true, together = true + len(i), together + int(same.sum())
+                    groups.update(comps[j].tolist())
+                    broken.update(comps[j][~same].tolist())
                     # one missing pair for each query and component joins them
                     _, first = np.unique(np.stack([comps[j][~same], comp[i][~same]]), axis=1, return_index=True)
                     pairs[0] += node[i[~same][first]].tolist()
                     pairs[1] += ids[j[~same][first]].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([together]), pa.array([pairs[0]], pa.list_(pa.int64())),
-                                          pa.array([pairs[1]], pa.list_(pa.int64()))], names=["true", "together", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([together]), *(pa.array([list(c)], pa.list_(pa.int64())) for c in (groups, broken, *pairs))],
+                                         names=["true", "together", "groups", "broken", "a", "b"])
 
-    rows = placed.mapInArrow(compare, "true long, together long, a array<long>, b array<long>").collect()
-    return (sum(r["true"] for r in rows), sum(r["together"] for r in rows), [(a, b) for r in rows for a, b in zip(r["a"], r["b"], strict=True)])
+    rows = placed.mapInArrow(compare, "true long, together long, groups array<long>, broken array<long>, a array<long>, b array<long>").collect()
+    groups, broken = {g for r in rows for g in r["groups"]}, {g for r in rows for g in r["broken"]}
+    return (sum(r["true"] for r in rows), sum(r["together"] for r in rows), len(groups), len(groups - broken),
+            [(a, b) for r in rows for a, b in zip(r["a"], r["b"], strict=True)])
 
 
 def counted(nodes: DataFrame, component: DataFrame) -> DataFrame:
@@ -259,22 +349,27 @@ def near_duplicates(embeddings: DataFrame, length: int = LIST) -> DataFrame:
     Vectors that are null, empty, zero or hold null or non-finite values, and vectors of other
     lengths, link with nothing.  Equal vectors under other or the same ids count as links of each
     other.  A null vec_id takes part; the component is the smallest id there is.  An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored.  Fails when the last audit misses too many links or groups.
     """
     rows, nodes = nodes_of(embeddings)
     nodes = saved(nodes)
     links, component = None, None
     for attempt in range(ATTEMPTS):
-        found = descent(nodes, attempt, length << attempt)
+        found, lists = descent(nodes, attempt, length << attempt)
         links = saved(found if links is None else links.unionByName(found).distinct())
         component = saved(connected_components(links))
-        true, together, missing = audit(nodes, component)
+        while (more := crossed(nodes, lists, component, attempt, length << attempt)) is not None:
+            links = saved(links.unionByName(more))
+            component = saved(connected_components(links))
+        true, together, groups, whole, missing = audit(nodes, component, attempt)
         if missing:
             more = nodes.sparkSession.createDataFrame(missing, "a long, b long")
             links = links.unionByName(more)
             component = saved(connected_components(links))
-        if together >= RECALL * true:
+        if together >= RECALL * true and whole >= RECALL * groups:
             break
+    else:
+        raise RuntimeError(f"NN-descent found {together} of {true} audited links and {whole} of {groups} audited groups whole")
     of = nodes.select("node", "weight", "first").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = of.groupBy("component").agg(F.min("first").alias("component_id"))
     result = (of.join(lowest, "component").join(counted(nodes, component), "node", "left")

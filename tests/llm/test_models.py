@@ -143,6 +143,27 @@ def test_vectors_link_as_by_brute_force(spark, vectors, kind):
     assert neighbours.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_links_that_full_lists_have_no_room_for(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ATTEMPTS", 1)
+    monkeypatch.setattr(neighbours, "AUDITED", 4)  # so that the audit does not mend it
+    rng = np.random.default_rng(3)
+    rows, of = [], []
+    for pair in range(12):  # two tight groups of 30 each, 0.90 to 0.95 apart
+        basis = np.linalg.qr(rng.normal(size=(48, 2)))[0].T
+        for side in (-1, 1):
+            center = np.cos(0.2) * basis[0] + side * np.sin(0.2) * basis[1]
+            rows += [center + rng.normal(scale=0.006, size=48) for _ in range(30)]
+            of += [2 * pair + (side > 0)] * 30
+    x, of = np.array(rows), np.array(of)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    same, twin = of[:, None] == of[None, :], of[:, None] // 2 == of[None, :] // 2
+    assert s[same].min() > 0.98 and 0.9 < s[twin & ~same].min() and s[twin & ~same].max() < 0.95 and s[~twin].max() < 0.9
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.near_duplicates(table).collect()
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got} == {(i, 59, i // 60 * 60) for i in range(len(x))}
+
+
 def test_pipeline_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_duplicates", "best_fit_packing"]
