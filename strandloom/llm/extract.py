@@ -3,7 +3,8 @@
 Paragraphs give points for their length and commas to the elements around them, less to farther
 ones; an element's points are discounted by the share of its text inside links.  The element with
 the most points is the container.  It grows to the article it lies in, or else takes the
-neighbours that read like text.  Parts that are not text by their tag, role or name are left out.
+neighbours that read like text.  Parts that are not text by their tag or role are left out.  Names
+lower the points of what is inside; such parts are left out unless the container lies in them.
 """
 
 from __future__ import annotations
@@ -37,11 +38,15 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 _NEVER = frozenset("""aside audio button canvas datalist dialog footer form head iframe map menu nav noscript object select svg
     template video""".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in a class or id that name parts around the text.
+#: Words that name parts around the text, in a class or id that has no others than those of _FILL besides.
 _PARTS = frozenset("""ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments
     consent cookie cookies disclaimer disqus footer form gdpr header hidden login masthead menu menus modal nav navbar navigation
     newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond
     search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
+_FILL = frozenset("""area bar block bottom box btn button container group inner item items left list main outer panel right section site
+    slot text top unit wrap wrapper""".split())
+#: Share of its points that text keeps inside a part with such a name.
+LOWERED = 0.2
 _TAG_POINTS = {"article": 8, "main": 8, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3,
                "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 LEAST = 25
@@ -51,7 +56,7 @@ class _Page:
     """Elements of a page in order, and its lines of text with the element each stands in."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.last, self.part = ["html"], [-1], [0], [False]  # last: the last element inside
+        self.tag, self.parent, self.last, self.part, self.unlikely = ["html"], [-1], [0], [False], [False]  # last: the last element inside
         self.lines: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self.open, self.links = [0], 0
         self.pieces: list[tuple[str, bool]] = []
@@ -121,23 +126,29 @@ class _Page:
         self.tag.append(name)
         self.parent.append(self.open[-1])
         self.last.append(len(self.tag) - 1)
-        self.part.append(name in _NEVER or bool(attrs and not attrs.isspace()) and name not in ("html", "body") and self.named(attrs))
+        part, unlikely = self.named(attrs) if attrs and not attrs.isspace() else (False, False)
+        self.part.append(name in _NEVER or part)
+        self.unlikely.append(unlikely)
         if name == "header":  # a page's header, not that of an article
             self.part[-1] |= not any(self.tag[e] in ("article", "main") for e in self.open)
         self.open.append(len(self.tag) - 1)
         self.links += name == "a"
 
     @staticmethod
-    def named(attrs: str) -> bool:
+    def named(attrs: str) -> tuple[bool, bool]:
+        """Whether the element is no text by its role or style, and whether its class or id names a part."""
+        unlikely = False
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id") and not _PARTS.isdisjoint(_NAME.findall(value)):
-                return True
+            if name in ("class", "id"):
+                for token in value.split():
+                    words = set(_NAME.findall(token))
+                    unlikely |= not _PARTS.isdisjoint(words) and words <= _PARTS | _FILL
             if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return True, unlikely
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+                return True, unlikely
+        return False, unlikely
 
 
 def main_text(source: str) -> str:
@@ -153,10 +164,11 @@ def main_text(source: str) -> str:
     holds = [t in ("article", "main") for t in page.tag]
     for e in range(n - 1, 0, -1):
         holds[page.parent[e]] |= holds[e]
-    out = [False] * n
+    out, inside = [False] * n, [0] * n  # inside: the innermost part by name that an element lies in
     for e in range(1, n):
         wrapper = page.tag[e] not in _NEVER and page.tag[e] not in ("article", "main") and (holds[e] or 10 * size[e] > 9 * size[0])
         out[e] = page.part[e] and not wrapper or out[page.parent[e]]
+        inside[e] = e if page.unlikely[e] and not wrapper else inside[page.parent[e]]
     lines = [(e, text, linked) for e, text, linked in page.lines if not out[e]]
     size, linked_size, points = [0] * n, [0] * n, [0.0] * n
     given = set()
@@ -165,22 +177,26 @@ def main_text(source: str) -> str:
         linked_size[e] += linked
         if len(text) >= LEAST and not page.tag[e].startswith("h"):
             value = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) // 100, 3)
+            value *= LOWERED if inside[e] else 1
             above, level = (page.parent[e] if page.tag[e] in ("p", "pre", "li", "td", "blockquote") else e), 0
             while above >= 0 and level < 5:
                 if above not in given:
                     given.add(above)
-                    points[above] += _TAG_POINTS.get(page.tag[above], 0)
+                    points[above] += _TAG_POINTS.get(page.tag[above], 0) * (LOWERED if inside[above] else 1)
                 points[above] += value / (1, 2, 6, 9, 12)[level]
+                if inside[above] == above:
+                    break  # parts give nothing to what is around them
                 above, level = page.parent[above], level + 1
     for e in range(n - 1, 0, -1):
-        size[page.parent[e]] += size[e]
-        linked_size[page.parent[e]] += linked_size[e]
+        if inside[e] != e:
+            size[page.parent[e]] += size[e]
+            linked_size[page.parent[e]] += linked_size[e]
     density = [b / a if a else 0.0 for a, b in zip(size, linked_size, strict=True)]
     score = [p * (1 - d) for p, d in zip(points, density, strict=True)]
     scored = [e for e in given if not out[e]]
     best = min(scored, key=lambda e: (-score[e], e), default=None)
-    if best is None:  # nothing long enough: the article or main part, else all that is left
-        best = next((e for t in ("article", "main") for e in range(n) if page.tag[e] == t and size[e]), 0)
+    if best is None or inside[best]:  # nothing long enough: the article or main part, else all that is left
+        best = next((e for t in ("article", "main") for e in range(n) if page.tag[e] == t and size[e] and not inside[e]), best or 0)
     above = best
     while above > 0 and page.tag[above] not in ("article", "main"):
         above = page.parent[above]
@@ -190,12 +206,17 @@ def main_text(source: str) -> str:
     elif best > 0:
         least = max(10.0, 0.2 * score[best])
         for e in range(1, n):
-            if page.parent[e] == page.parent[best] and e != best and not out[e]:
+            if page.parent[e] == page.parent[best] and e != best and not out[e] and (inside[best] or not inside[e]):
                 heading = len(page.tag[e]) == 2 and page.tag[e][0] == "h" and page.tag[e][1].isdigit()
                 prose = page.tag[e] == "p" and (density[e] < 0.25 and size[e] > 80 or density[e] == 0 and size[e] > 0)
                 if score[e] >= least or heading or prose:
                     chosen.append((e, page.last[e]))
-    return "\n".join(text for e, text, _ in lines if any(a <= e <= b for a, b in chosen))
+    around = {a for a, _ in chosen}  # parts that the text lies in
+    for a, _ in chosen:
+        while (a := page.parent[a]) > 0:
+            around.add(a)
+    around.add(0)
+    return "\n".join(text for e, text, _ in lines if inside[e] in around and any(a <= e <= b for a, b in chosen))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,6 +93,15 @@ PAGES = {
 }
 
 
+@pytest.mark.parametrize("name", ["class='content has-sidebar'", "class='post with-sidebar'", "class='overflow-hidden'", "id=no-comments",
+                                  "class='content-header'", "class='form-page'", "class='sidebar'", "id='widget'"])
+def test_names_do_not_decide_alone(name):
+    text = [PARAGRAPH.strip() + f" Part {i}." for i in range(6)]
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Entry number {i} of this long menu</a></li>" for i in range(20)) + "</ul>"
+    page = f"<body><div class=top>{menu}</div><div {name}>{''.join(f'<p>{t}</p>' for t in text)}<div class='ad-slot'><p>{PARAGRAPH}</p></div></div></body>"
+    assert extract.main_text(page) == "\n".join(text)
+
+
 def test_extraction(spark):
     want = {k: "\n".join(" ".join(b.split()) for b in blocks) for k, (_, blocks) in PAGES.items()}
     rows = [(i, k, h, "clash") for i, (k, (h, _)) in enumerate(PAGES.items())]
