@@ -3,12 +3,15 @@
 A text becomes a unit vector of log term frequency times inverse document frequency over hashed
 byte n-grams of its letters.  Document frequencies are counted over all training rows.  Centroids
 are fitted by spherical k-means, a few per language, on a bounded sample of labelled rows.  A
-text gets the language of the centroid with the highest cosine, and is rejected when even that
-one is further away than nearly all fitted rows were.
+text gets the language of the centroid with the highest cosine.  It is rejected by a logistic
+model of that cosine, its margin to the next language and the text's length, calibrated on rows
+left out of the centroids: as they are, with their own language left out, and with shuffled letters.
 """
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +27,8 @@ from strandloom.llm.words import mix, text_blocks
 DIM, SIZES = 4096, (1, 2, 3)
 #: Centroids per language, and the bound on labelled rows that they are fitted on (all languages together).
 CENTROIDS, FIT_ROWS = 4, 4000
-#: A text is rejected below this share of the cosine that all but one in a thousand fitted rows reach.
-REJECT = 0.2
+#: Calibrated rows of a learned language that may be rejected, and others that may be kept where both can be had.
+LOST, PASSED = 0.001, 0.01
 UNKNOWN = "und"
 _ROWS = 256
 _PLAIN = np.arange(256, dtype=np.uint8)  # ASCII other than a-z counts as a gap
@@ -71,7 +74,40 @@ class Model:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
     idf: np.ndarray
-    floor: np.ndarray  # of each centroid: the cosine below which a text is rejected
+    weights: np.ndarray  # of the features of a text
+    cut: float  # their sum below which a text is rejected
+    longest: float  # log length of calibrated rows
+
+    def judged(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centroid, cosine and whether it is rejected, of each row."""
+        cosine = vectors(counts, self.idf) @ self.centroids.T
+        best = np.argmax(cosine, axis=1)
+        names = np.array(self.languages)
+        by_language = np.stack([cosine[:, names == lang].max(axis=1) for lang in dict.fromkeys(self.languages)], axis=1)
+        x = features(by_language, np.minimum(np.log1p(counts.sum(axis=1)), self.longest))
+        return best, np.clip(cosine[np.arange(len(best)), best], 0, 1), x @ self.weights < self.cut
+
+
+def features(by_language: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of rows with a cosine for each language and a log length."""
+    ordered = np.sort(by_language, axis=1)
+    top, next_ = ordered[:, -1], np.maximum(ordered[:, -2], 0) if ordered.shape[1] > 1 else 0
+    margin = top - next_
+    return np.stack([np.ones(len(top)), top, margin, length, top * length, margin * length, length * length], axis=1)
+
+
+def calibrated(own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights that tell features of learned languages from others, and the cut."""
+    x, y = np.concatenate([own, others]), np.repeat([1.0, 0.0], [len(own), len(others)])
+    balance = np.where(y > 0, 0.5 / max(1, len(own)), 0.5 / max(1, len(others))) * len(x)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (balance * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (balance * (y - p)) - 1e-2 * w)
+        w += step / max(1.0, np.abs(step).max() / 5)
+    low = np.quantile(x[y > 0] @ w, LOST)
+    high = np.quantile(x[y == 0] @ w, 1 - PASSED) if len(others) else low
+    return w, float(low if high >= low else (low + high) / 2)
 
 
 def training(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -108,6 +144,16 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def shuffled(text: str | None) -> str | None:
+    """The text with its letters in another order, which its own bytes decide."""
+    if text is None:
+        return None
+    letters = [c for c in text if not c.isspace()]
+    random.Random(zlib.crc32(text.encode("utf-8", "replace"))).shuffle(letters)
+    rest = iter(letters)
+    return "".join(c if c.isspace() else next(rest) for c in text)
+
+
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model | None:
     """The model of ``rows`` (doc_id, text, lang), or None without any."""
     per_language = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,30 +167,54 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for _, _, counts in counts_of(batch["text"]):
-                for row in counts:
-                    at = np.flatnonzero(row)
-                    packed.append(at.astype(np.uint16).tobytes() + row[at].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(packed, pa.binary())], names=["lang", "packed"])
+            both = []
+            for column in (batch["text"], pa.array(map(shuffled, batch["text"].to_pylist()), pa.string())):
+                packed = []
+                for _, _, counts in counts_of(column):
+                    for row in counts:
+                        at = np.flatnonzero(row)
+                        packed.append(at.astype(np.uint16).tobytes() + row[at].astype(np.float32).tobytes())
+                both.append(pa.array(packed, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["lang"], *both], names=["lang", "packed", "shuffled"])
 
-    sample = (rows.where(draw < chance[F.col("lang")]).mapInArrow(sampled, "lang string, packed binary")
-              .orderBy("lang", "packed").toPandas())  # about fit_rows rows
-    languages, centers, floors = [], [], []
-    for lang, group in sample.groupby("lang", sort=True):
-        x = np.zeros((len(group), DIM), np.float32)
-        for i, raw in enumerate(group["packed"]):
+    def unpacked(column) -> np.ndarray:
+        x = np.zeros((len(column), DIM), np.float32)
+        for i, raw in enumerate(column):
             m = len(raw) // 6
             x[i, np.frombuffer(raw, np.uint16, m)] = np.frombuffer(raw, np.float32, m, 2 * m)
-        x = vectors(x, idf)
-        x = x[np.linalg.norm(x, axis=1) > 0]
-        if len(x):
+        return x
+
+    sample = (rows.where(draw < chance[F.col("lang")]).mapInArrow(sampled, "lang string, packed binary, shuffled binary")
+              .orderBy("lang", "packed").toPandas())  # about fit_rows rows
+    languages, centers, halves, aside = [], [], [], []
+    for lang, group in sample.groupby("lang", sort=True):
+        counts = unpacked(group["packed"])
+        some = np.flatnonzero(counts.sum(axis=1) > 0)
+        if len(some):
+            x = vectors(counts[some], idf)
             own = clustered(x, k)
-            near = np.quantile((x @ own.T).max(axis=1), 0.001)
             languages += [str(lang)] * len(own)
             centers.append(own)
-            floors += [near * REJECT] * len(own)
-    return Model(languages, np.concatenate(centers), idf, np.array(floors)) if languages else None
+            # equal rows stay on one side
+            half = np.array([zlib.crc32(group["packed"].iloc[i]) % 2 for i in some], bool)
+            half = half if 0 < half.sum() < len(half) else np.ones(len(half), bool)
+            halves.append(clustered(x[half], k))
+            rest = some[~half] if not half.all() else some
+            aside.append((group["packed"].iloc[rest], group["shuffled"].iloc[rest]))
+    if not languages:
+        return None
+    own, others, longest = [], [], 0.0
+    for lang, both in enumerate(aside):
+        for column, real in zip(both, (True, False), strict=True):
+            counts = unpacked(column)
+            length = np.log1p(counts.sum(axis=1))
+            x = vectors(counts, idf)
+            by_language = np.stack([(x @ c.T).max(axis=1) for c in halves], axis=1)
+            (own if real else others).append(features(by_language, length))
+            if real and len(halves) > 1:
+                others.append(features(np.delete(by_language, lang, axis=1), length))
+            longest = max(longest, float(length.max()))
+    return Model(languages, np.concatenate(centers), idf, *calibrated(np.concatenate(own), np.concatenate(others)), longest)
 
 
 def identify(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -165,16 +235,14 @@ def identify(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> D
         m = shared.value
         for batch in batches:
             n = batch.num_rows
-            score, best = np.zeros(n), np.zeros(n, np.int64)
+            score, best, far = np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)
             if m is not None:
                 for at, to, counts in counts_of(batch["text"]):
-                    cosine = vectors(counts, m.idf) @ m.centroids.T
-                    best[at:to] = np.argmax(cosine, axis=1)
-                    score[at:to] = np.clip(cosine[np.arange(to - at), best[at:to]], 0, 1)
+                    best[at:to], score[at:to], far[at:to] = m.judged(counts)
             known = batch["letters"].to_numpy(zero_copy_only=False) & (m is not None)
             score[~known] = 0
             names = [m.languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-            rejected = ~known | (score < (m.floor[best] if m is not None else 1))
+            rejected = ~known | far
             yield pa.RecordBatch.from_arrays(
                 [*(batch[f"keep_{c}"] for c in keep), batch["doc_id"], batch["held_out"], pa.array(names, pa.string()),
                  pa.array(score), pa.array(rejected)],

@@ -40,6 +40,23 @@ def test_languages_are_told_apart(spark):
     assert language.identify(docs.limit(0), language.held_out_by(5, 0)).count() == 0
 
 
+def test_unlearned_languages_and_gibberish_are_rejected(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    left_out = sorted(r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"])[0]
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(4000)]
+    table = docs.withColumn("unlearned", F.col("lang") == left_out).withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang"))).unionByName(
+        spark.createDataFrame([(10**9 + i, " ".join(junk[40 * i:40 * i + 40]), None, None) for i in range(100)], "doc_id long, text string, lang string, unlearned boolean"))
+    got = language.identify(table, language.held_out_by(5, 0), keep=("lang", "unlearned", "text")).where("length(kept_text) > 200").collect()
+
+    def share(rows):
+        return sum(r["rejected"] for r in rows) / len(rows)
+
+    assert share([r for r in got if r["kept_unlearned"]]) > 0.9
+    assert share([r for r in got if r["doc_id"] >= 10**9]) > 0.9
+    assert share([r for r in got if r["kept_lang"] is not None and r["held_out"]]) < 0.02
+
+
 def test_quality_on_the_small_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/../sf0.01/labels.parquet")
