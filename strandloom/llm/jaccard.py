@@ -21,6 +21,7 @@ no pair that could join two components is left out.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.words import block_words, mix, text_blocks
+from strandloom.llm.memory import given_back
+from strandloom.llm.words import BLOCK, block_words, mix, text_blocks
 from strandloom.operators.components import connected_components
 from strandloom.session import saved
 
@@ -73,14 +75,34 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
     Each task reports the counters that stand out in its own rows; they are summed over all.
     """
+    @given_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.int32)
+        counts, carried, total = np.zeros(1 << BITS, np.uint16), Counter(), 0
+
+        def add(hashes: list[np.ndarray]) -> None:
+            at, n = np.unique(np.concatenate(hashes) >> np.uint64(64 - BITS), return_counts=True)
+            at = at.astype(np.int64)
+            now = counts[at].astype(np.int64) + n
+            for k in np.flatnonzero(now >= 1 << 16):  # the part that 16 bits cannot hold
+                carried[int(at[k])] += int(now[k])
+                now[k] = 0
+            counts[at] = now
+
         for batch in batches:
+            waiting, size = [], 0
             for _, own in shingle_sets(batch["text"]):
-                np.add.at(counts, (own >> np.uint64(64 - BITS)).astype(np.int64), 1)
-        mean = counts.mean()
-        out = np.flatnonzero(counts >= max(3, mean + 4 * np.sqrt(mean)))
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(counts[out].astype(np.int64) - int(mean))], names=["counter", "n"])
+                waiting.append(own)
+                size += len(own)
+                total += len(own)
+                if size >= BLOCK:
+                    add(waiting)
+                    waiting, size = [], 0
+            if waiting:
+                add(waiting)
+        mean = total / (1 << BITS)
+        out = np.union1d(np.flatnonzero(counts >= max(3, mean + 4 * np.sqrt(mean))), np.array(sorted(carried), np.int64))
+        n = counts[out].astype(np.int64) + np.array([carried[int(k)] for k in out], np.int64) - int(mean)
+        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(n)], names=["counter", "n"])
 
     found = (docs.select("text").mapInArrow(partial, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
              .where(F.col("n") >= HOT).toPandas())  # 2**BITS rows at most
@@ -96,6 +118,7 @@ def described(docs: DataFrame) -> DataFrame:
     """
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs))  # fixed size
 
+    @given_back
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -191,6 +214,7 @@ def _counts(light: int) -> Column:
             & ((a < 1 << 62) | (F.greatest(x, y) >= light)) & (pos(a) < x - o + _least()) & (pos(b) < y - o + _least()))
 
 
+@given_back
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (a, salt, pivot first): keeps members whose set is similar to their pivot's."""
     pivot, key = None, None

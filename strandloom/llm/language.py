@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import given_back
 from strandloom.llm.words import mix, text_blocks
 
 #: Buckets of hashed n-grams, and their sizes in bytes.
@@ -116,6 +117,7 @@ def training(docs: DataFrame, held_out: Column) -> DataFrame:
 
 def _frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
     """How many rows, and in how many of them each bucket occurs."""
+    @given_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(DIM + 1, np.int64), np.arange(DIM + 1)
         for batch in batches:
@@ -165,6 +167,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chance = F.create_map(*[F.lit(v) for lang, c in per_language.items() for v in (lang, min(1.0, share / c))])
 
+    @given_back
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = []
@@ -231,6 +234,7 @@ def identify(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> D
                        F.col("text").cast("string").alias("text"),
                        F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
+    @given_back
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import given_back
 from strandloom.llm.tokens import WordEncoder, default_path
 from strandloom.session import saved
 
@@ -33,6 +34,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
     path = path or default_path()
     end = np.array([end_id], "<u4").tobytes()
 
+    @given_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         for batch in batches:

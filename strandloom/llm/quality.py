@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import given_back
 from strandloom.llm.words import block_words, text_blocks
 
 #: Bounds on the labelled rows the classifiers are fitted on and on the unlabelled pool.
@@ -143,6 +144,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray
     return Model(betas[0], betas[1], scales[0], scales[1], logistic(both, y[check], one, ridge=0.1))
 
 
+@given_back
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, meta = [], []
@@ -190,6 +192,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
                        F.col("n_chars").cast("long").alias("n_chars"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast(fit(base, labels))  # fixed size
 
+    @given_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:

@@ -8,11 +8,14 @@ its white-space separated words in order, and a bounded memo of words replaces m
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 
-#: Words remembered in each Python worker (about 220 bytes a word); beyond it the memo starts anew.
-MEMO = 400_000
+#: Bytes that the words remembered in each Python worker take; beyond it the memo starts anew.
+MEMO_BYTES = 32 << 20
+#: Bytes of a dict entry beside its key and value.
+_ENTRY = 104
 #: Fixed: white space of the normalizer's pattern, which str.split() covers except for these four, which it adds.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -39,6 +42,7 @@ class WordEncoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,14 +59,17 @@ class WordEncoder(dict):
         return _encoders[path]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
         core = word.rstrip(_MARKS)
         if "<|" not in word and core != word and core.isalnum():
             # letters or digits before marks: the pattern always parts them there
             out = self[core] + self[word[len(core):]]
         else:
             out = np.array(self._ids(word), "<u4").tobytes()
+        size = sys.getsizeof(word) + sys.getsizeof(out) + _ENTRY
+        if self.held + size > MEMO_BYTES:
+            self.clear()
+            self.held = 0
+        self.held += size
         self[word] = out
         return out
 

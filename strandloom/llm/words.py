@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2_000_000
+#: Bytes of text worked on at a time; a longer text is a piece of its own.
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,6 +40,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget_powers() -> None:
+    """Drops powers that only an uncommonly long text needed."""
+    if _powers and len(_powers[0]) > BLOCK + 1:
+        _powers.clear()
+
+
 def text_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, row offsets in them) of pieces of about BLOCK bytes.
 
