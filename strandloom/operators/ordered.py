@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import saved
+
 DEFAULT_WIDTH = 1 << 16
 
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -80,6 +82,24 @@ def running(df: DataFrame, part: list[str], pos: str, outputs: dict[str, tuple],
             .select(*[F.col(c) for c in df.columns], *finals))
 
 
+def numbered(rows: DataFrame, part: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, gapless from 0 by ``order`` within ``part``; a part may be spread over many tasks.
+
+    The rows are cut into ranges of (part, order); each range numbers its own rows, and the
+    counts of a part's ranges are chained.  Rows equal in all of ``order`` come in any order.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(rows.repartitionByRange(width, *part, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*part, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*[F.col(c).alias(f"_p_{c}") for c in part], F.col("_range").alias("_p_range"),
+                          F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    on = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in part] + [F.col("_range") == F.col("_p_range")]
+    within = Window.partitionBy(*part, "_range").orderBy(*order)
+    return (ranged.withColumn("_k", F.row_number().over(within) - 1).join(first, on)
+            .select(*rows.columns, (F.col("_first") + F.col("_k")).alias(name)))
+
+
 def islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column = 0,
             width: int = DEFAULT_WIDTH) -> DataFrame:
     """Gaps and islands over closed intervals.

@@ -165,8 +165,8 @@ def infer(ev: Evidence, regions: DataFrame, gaps: DataFrame, cfg: CallConfig) ->
         edges, geometry, all_blocks, subs = add_insertions(found, edges, geometry, all_blocks, subs, n_blocks, cfg)
     subs = checkpoint(G.expand_subgraphs(subs, blocks, lib.search_width))
 
-    found_paths = N.enumerate_paths(subs, edges, n_blocks, cfg)
-    paths = checkpoint(N.explode_paths(found_paths))
+    found_paths, paths = N.enumerate_paths(subs, edges, n_blocks, cfg)
+    paths = checkpoint(paths)
     lik, counts, constants = N.score_paths(paths, subs, geometry, observations, lib.dists, cfg)
     ref = paths.where(is_reference_path(F.col("path"), F.col("n_genome"))).select("sub", F.col("path_id").alias("ref_id"))
     typed = N.genotypes(paths, lik, counts, constants, checkpoint(ref), cfg, lib.pi)

@@ -574,9 +574,9 @@ def _(spark, sf):
 
 # --- adjacency graph over orders -------------------------------------------------------------------------
 
-# 40 blocks a contig: an edge joins a block side to a nearby block side
-EDGES = """WITH st AS (SELECT 'g' || (o_custkey % 50) AS chrom, 2 * (o_orderkey % 40) + 1 AS a,
-    CASE WHEN o_orderkey % 11 = 0 THEN 2 * LEAST(39, o_orderkey % 40 + 3) WHEN o_orderkey % 13 = 0 THEN 2 * (o_orderkey % 40) ELSE 2 * LEAST(39, o_orderkey % 40 + 1) END AS b FROM orders),
+# 300 orders make a contig of 40 blocks: an edge joins a block side to a nearby block side
+EDGES = """WITH st AS (SELECT 'g' || (o_orderkey // 300) AS chrom, 2 * (o_orderkey % 40) + 1 AS a,
+    CASE WHEN o_custkey % 11 = 0 THEN 2 * LEAST(39, o_orderkey % 40 + 3) WHEN o_custkey % 13 = 0 THEN 2 * (o_orderkey % 40) ELSE 2 * LEAST(39, o_orderkey % 40 + 1) END AS b FROM orders),
   ed AS (SELECT chrom, LEAST(a, b) AS v1, GREATEST(a, b) AS v2, count(*) AS n FROM st GROUP BY chrom, LEAST(a, b), GREATEST(a, b)),
   rf AS (SELECT chrom, 2 * k + 1 AS v1, 2 * k + 2 AS v2, 9999 AS n FROM (SELECT DISTINCT chrom FROM st), (SELECT unnest(generate_series(0, 38)) AS k)),
   es AS (SELECT chrom, v1, v2, CAST(sum(n) AS BIGINT) AS support FROM (SELECT * FROM ed UNION ALL SELECT * FROM rf) GROUP BY chrom, v1, v2) """
@@ -584,10 +584,10 @@ EDGES = """WITH st AS (SELECT 'g' || (o_custkey % 50) AS chrom, 2 * (o_orderkey
 
 def graph_of(spark, sf):
     k = F.col("o_orderkey") % 40
-    b = (F.when(F.col("o_orderkey") % 11 == 0, 2 * F.least(F.lit(39), k + 3)).when(F.col("o_orderkey") % 13 == 0, 2 * k)
+    b = (F.when(F.col("o_custkey") % 11 == 0, 2 * F.least(F.lit(39), k + 3)).when(F.col("o_custkey") % 13 == 0, 2 * k)
          .otherwise(2 * F.least(F.lit(39), k + 1)))
     obs = table(spark, sf, "orders").select(
-        F.concat(F.lit("g"), (F.col("o_custkey") % 50).cast("string")).alias("chrom"),
+        F.concat(F.lit("g"), F.expr("o_orderkey div 300").cast("string")).alias("chrom"),
         F.array(F.struct((2 * k + 1).cast("int").alias("a"), b.cast("int").alias("b"))).alias("support"))
     blocks = obs.select("chrom").distinct().select("chrom", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("idx"))
     blocks = blocks.withColumn("seg", F.when(F.col("idx") < 20, 0).otherwise(1)).withColumn(
@@ -634,14 +634,27 @@ def _(spark, sf):
     return G.decompose(checkpoint(edges), blocks, 2).select("chrom", *big("seg", "start"), F.col("end").cast("bigint").alias("stop"))
 
 
-@query("path_enumeration")
+# each block is 990 bases of 1,000, so widening by 500 leaves the subgraphs as they are
+SUBS = CUTS + """, rn AS (SELECT *, idx - row_number() OVER (PARTITION BY chrom, seg ORDER BY idx) AS k FROM ct),
+  ru AS (SELECT chrom, seg, min(idx) AS lo, max(idx) AS hi FROM rn GROUP BY chrom, seg, k),
+  su AS (SELECT * FROM (SELECT chrom, seg, lag(hi) OVER (PARTITION BY chrom, seg ORDER BY lo) AS s, lo AS e FROM ru) WHERE s IS NOT NULL),
+  bk AS (SELECT chrom, node AS a, neighbor AS b, list_filter([CASE WHEN (node % 2 = 1 AND neighbor <= node) OR (node % 2 = 0 AND node <= neighbor) THEN node END,
+      CASE WHEN (neighbor % 2 = 1 AND node <= neighbor) OR (neighbor % 2 = 0 AND neighbor <= node) THEN neighbor END], lambda x: x IS NOT NULL) AS back FROM nb),
+  wk AS (SELECT chrom, s, e, [2 * s] AS entries, CAST([] AS BIGINT[]) AS back, 2 * s + 1 AS out FROM su UNION ALL
+    SELECT w.chrom, w.s, w.e, list_append(w.entries, k.b), list_concat(w.back, k.back), xor(k.b, 1) FROM wk w JOIN bk k ON k.chrom = w.chrom AND k.a = w.out AND k.b BETWEEN 2 * w.s AND 2 * w.e + 1
+      AND len(list_filter(k.back, lambda u: len(list_filter(w.back, lambda x: x = u)) >= 2)) = 0)"""
+
+
+@query("path_enumeration", SUBS.replace("WITH", "WITH RECURSIVE", 1) + """ SELECT chrom, s AS start, e AS stop, row_number() OVER (PARTITION BY chrom, s, e ORDER BY list_transform(entries, lambda x: -x)) - 1 AS path_id,
+    count(*) OVER (PARTITION BY chrom, s, e) AS n_paths, array_to_string(list_transform(entries, lambda x: x || '-' || xor(x, 1)), ',') AS path FROM wk WHERE out = 2 * e + 1""")
 def _(spark, sf):
     edges, blocks = graph_of(spark, sf)
     edges = checkpoint(edges)
     subs = checkpoint(G.expand_subgraphs(G.decompose(edges, blocks, 2), blocks, 500.0))
     n = blocks.groupBy("chrom").agg((F.max("idx") + 1).alias("n_genome"))
-    found = N.enumerate_paths(subs, edges, n, CFG)
-    return found.select("chrom", "start", "end", "status", F.size("paths").alias("n_paths"))
+    _, paths = N.enumerate_paths(subs, edges, n, CFG)
+    text = F.transform(F.filter("path", lambda x, i: i % 2 == 0), lambda x: F.concat_ws("-", x, x.bitwiseXOR(1)))
+    return paths.select("chrom", *big("start"), F.col("end").cast("bigint").alias("stop"), *big("path_id"), "n_paths", F.array_join(text, ",").alias("path"))
 
 
 # --- likelihoods over lineitem ------------------------------------------------------------------------------
