@@ -16,8 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -35,10 +35,10 @@ TERMS = 1 << 20
 #: Id pairs whose counts are broadcast (24 bytes each); all others are joined.
 FREQUENT = 1 << 18
 #: Bytes of text that are aligned at a time; a longer text is a block of its own.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 19
 #: Bytes of units remembered for each side in each Python worker.
 MEMO_BYTES = 24 << 20
-_ENTRY = 104
+_ENTRY = 200  # bytes of a unit beside its letters and ids
 _HELD = 1 << 20  # id pairs that a task holds before it hands on their counts
 
 
@@ -127,26 +127,52 @@ class Side:
     def units(self, text: str) -> Iterator[list[str]]:
         raise NotImplementedError
 
-    def fresh(self, units: list[str]) -> list[tuple[list[int], bytes]]:
-        """Ids and joined bytes of units."""
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Ids of units one after the other, where each unit's start (n + 1), and their joined bytes."""
         raise NotImplementedError
 
-    def encode(self, text: str) -> bytes | None:
-        """Packed ids of a text, or None where their bytes differ from its own."""
-        out = []
-        for part in self.units(text):
-            if self.held > MEMO_BYTES:
-                self.memo.clear()
-                self.held = 0
-            new = list(set(part).difference(self.memo))
-            for unit, (ids, raw) in zip(new, self.fresh(new), strict=True):
-                self.memo[unit] = packed = np.array(ids, "<u4").tobytes() if raw == unit.encode() else None
-                self.held += sys.getsizeof(unit) + sys.getsizeof(packed) + _ENTRY
-            found = list(map(self.memo.__getitem__, part))
-            if None in found:
-                return None
-            out.append(b"".join(found))
-        return b"".join(out)
+    def remember(self, parts: Sequence[list[str]]) -> None:
+        """Encodes the units that are not remembered, all together."""
+        if self.held > MEMO_BYTES:
+            self.memo.clear()
+            self.held = 0
+        new = list(set().union(*parts).difference(self.memo))
+        if not new:
+            return
+        ids, start, joined = self.fresh(new)
+        packed, raw = ids.astype("<u4").tobytes(), [u.encode() for u in new]
+        at = np.concatenate([[0], np.cumsum(self.length[ids])])[start].tolist()
+        same = joined == b"".join(raw)
+        for k, (unit, own, i, j) in enumerate(zip(new, raw, (4 * start[:-1]).tolist(), (4 * start[1:]).tolist(), strict=True)):
+            agrees = at[k + 1] - at[k] == len(own) if same else joined[at[k]:at[k + 1]] == own
+            self.memo[unit] = packed[i:j] if agrees else None
+        self.held += len(packed) + sum(map(len, raw)) + len(new) * _ENTRY
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes | None]:
+        """Packed ids of texts, None for a null text and where their bytes differ from the text's own."""
+        out: list[list[bytes | None]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal waiting, size
+            self.remember([units for _, units in waiting])
+            for row, units in waiting:
+                found = list(map(self.memo.__getitem__, units))
+                out[row].append(None if None in found else b"".join(found))
+            waiting, size = [], 0
+
+        for row, text in enumerate(texts):
+            if text is None:
+                out[row].append(None)
+                continue
+            for units in self.units(text):
+                waiting.append((row, units))
+                size += len(units)
+                if size >= bytebpe.TOGETHER:
+                    settle()
+        settle()
+        return [None if None in parts else b"".join(parts) for parts in out]
 
 
 class ByteSide(Side):
@@ -158,10 +184,9 @@ class ByteSide(Side):
         self.length[:] = self.merges.length
         self.units = self.merges.split
 
-    def fresh(self, units: list[str]) -> list[tuple[list[int], bytes]]:
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
         ids, start = self.merges.merged([u.encode() for u in units])
-        parts = [ids[a:b].tolist() for a, b in zip(start, start[1:])]
-        return [(p, b"".join(map(self.merges.token.__getitem__, p))) for p in parts]
+        return ids, start, b"".join(map(self.merges.token.__getitem__, ids.tolist()))
 
 
 class PieceSide(Side):
@@ -184,13 +209,22 @@ class PieceSide(Side):
         return bytes([int(piece[3:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
     def units(self, text: str) -> Iterator[list[str]]:
-        yield self._UNITS.findall(text) if self.cuts else [text]
-
-    def fresh(self, units: list[str]) -> list[tuple[list[int], bytes]]:
+        if not self.cuts:
+            yield [text]
+        elif len(text) <= TOGETHER:
+            yield self._UNITS.findall(text)
+        else:
+            found = self._UNITS.finditer(text)
+            while part := [m.group() for m in islice(found, bytebpe.TOGETHER)]:
+                yield part
+
+    def fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
         """The model puts a space in front itself; of a lone space nothing would be left."""
-        ids = self.model.encode([u[1:] for u in units], num_threads=1) if units else []
+        ids = self.model.encode([u[1:] for u in units], num_threads=1)
         ids = [[self.space] if u == " " else i for u, i in zip(units, ids, strict=True)]
-        return [(i, b"".join(map(self.token.__getitem__, i))) for i in ids]
+        start = np.concatenate([[0], np.cumsum(list(map(len, ids)))]).astype(np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(start[-1]))
+        return flat, start, b"".join(map(self.token.__getitem__, flat.tolist()))
 
 
 class Aligned(NamedTuple):
@@ -299,11 +333,10 @@ def linked(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             row = 0
             for texts in _blocks(batch["text"]):
-                tokens = []
-                for text in texts:
-                    y = b.encode(" " + text) if text else None
-                    x = a.encode(" " + text) if y is not None else None
-                    tokens.append((x, y) if x is not None else (b"", b""))
+                led = [" " + t if t else None for t in texts]
+                on_b = b.encode(led)
+                on_a = a.encode([t if y is not None else None for t, y in zip(led, on_b, strict=True)])
+                tokens = [(x, y) if x is not None and y is not None else (b"", b"") for x, y in zip(on_a, on_b, strict=True)]
                 block = aligned(tokens, a.length, b.length)
                 key = (block.a[block.link_a] << 32 | block.b[block.link_b]).astype("<i8")
                 links = [key[i:j].tobytes() for i, j in zip(block.of_link, block.of_link[1:])]
