@@ -43,7 +43,7 @@ class CallConfig:
     max_back_edges: int = 2
     max_paths: int = 2000
     max_mes_extra: int = 0
-    top_paths: int = 50
+    top_paths: int | None = 50  # paths compared as genotypes beside the reference; None: all
     # inference
     robustness_parameter: float = 1e-4
     allele_fractions: tuple = (0.5,)

@@ -722,7 +722,7 @@ def _(spark, sf):
     lik, paths, counts, constants, ref = likelihood_of(spark, sf)
     info = paths.select("sub", "path_id", F.array(F.lit(0), F.lit(1)).alias("path"), F.lit("c").alias("chrom"), F.lit(0).alias("start"),
                         F.lit(1).alias("end"), F.lit(2).alias("n_genome"), F.lit(0).alias("extra"), F.lit(4).alias("n_paths"))
-    out = N.genotypes(info, checkpoint(lik), counts, constants, ref, CFG, 0.001)
+    out = N.genotypes(info, checkpoint(lik), counts, constants, ref, CFG.with_options(top_paths=None), 0.001)
     return out.select("sub", *big("id1", "id2"), F.round("best_lh", 3).alias("best_lh"), F.round("next_lh", 3).alias("next_lh"))
 
 
