@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.config import CallConfig
 from strandloom.operators.interval import band_join, overlap_join
 from strandloom.operators.ordered import assign_islands, island_spans
-from strandloom.session import checkpoint
+from strandloom.session import checkpoint, saved
 
 
 def softclip_clusters(clips: DataFrame, cfg: CallConfig) -> DataFrame:
@@ -51,26 +52,71 @@ def microhomology_candidates(clusters: DataFrame, cfg: CallConfig) -> DataFrame:
     return near.where((diff > 0) & (F.col("l_mapped") > diff) & (F.col("r_mapped") > diff))
 
 
-def greedy_matching(pairs: DataFrame, part: list[str], left: str, right: str) -> DataFrame:
-    """One-to-one matching that takes pairs in (left, right) order.
+#: Positions whose pairs are matched in one go.
+MATCH_WIDTH = 4096
 
-    In each round every pair that comes first both for its left and for its right end is
-    final; pairs touching a matched end are discarded.  This gives the result of the
-    sequential scan without ordering a chromosome in one task.
+
+def _first_free(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Takes a bin's pairs in order while both ends are free; ``taken`` holds the right ends lost to the bin before."""
+    pdf = pdf.sort_values(["_l", "_r"])
+    used, last, kept = set(pdf["_taken"].iloc[0]), None, []
+    for left, right in zip(pdf["_l"].to_list(), pdf["_r"].to_list()):
+        free = left != last and right not in used
+        if free:
+            last = left
+            used.add(right)
+        kept.append(free)
+    return pdf[kept].drop(columns="_taken")
+
+
+def greedy_matching(pairs: DataFrame, part: list[str], left: str, right: str, width: int = MATCH_WIDTH) -> DataFrame:
+    """One-to-one matching that takes pairs in (left, right) order, with right >= left.
+
+    The pairs of ``width`` left positions are a bin, and all bins are matched at the same time,
+    first as if no right end were lost to the bin before.  Bins for which that turns out wrong are
+    matched again with what the bin before took, until nothing changes.  A bin is right as soon
+    as the one before it is; in most data the second round already settles all.  Rounds never exceed the
+    number of bins that one chain of conflicts runs through.
     """
-    open_pairs = checkpoint(pairs)
-    done = open_pairs.limit(0)
-    while not open_pairs.isEmpty():
-        best_l = open_pairs.groupBy(*part, left).agg(F.min(right).alias("_br"))
-        best_r = open_pairs.groupBy(*part, right).agg(F.min(left).alias("_bl"))
-        chosen = checkpoint(open_pairs.join(best_l, [*part, left]).join(best_r, [*part, right])
-                            .where((F.col(right) == F.col("_br")) & (F.col(left) == F.col("_bl")))
-                            .select(*pairs.columns))
-        done = done.unionByName(chosen)
-        open_pairs = checkpoint(
-            open_pairs.join(chosen.select(*part, left), [*part, left], "left_anti")
-            .join(chosen.select(*part, right), [*part, right], "left_anti").select(*pairs.columns))
-    return checkpoint(done)
+    keys = pairs.select(*part, F.col(left).cast("long").alias("_l"), F.col(right).cast("long").alias("_r")).distinct()
+    longest = keys.agg(F.max(F.col("_r") - F.col("_l"))).first()[0]
+    width = max(width, 1 + (longest or 0))  # so that a bin only bears on the next one
+    keys = saved(keys.withColumn("_bin", F.floor(F.col("_l") / width)))
+    bins = [*part, "_bin"]
+    none = F.array().cast("array<bigint>")
+    schema = keys.withColumn("_round", F.lit(0)).select(*bins, "_l", "_r", "_round").schema
+    columns = schema.names
+
+    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _first_free(pdf)[columns]
+
+    def same(prefix: str) -> list[Column]:
+        return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in bins]
+
+    todo = saved(keys.select(*bins).distinct().withColumn("_taken", none).withColumn("_round", F.lit(0)))
+    state = todo  # what each bin was last matched with
+    rows, k = None, 0
+    while True:
+        named = todo.select(*[F.col(c).alias(f"t_{c}") for c in bins], "_taken", "_round")
+        fresh = saved(keys.join(named, same("t_")).select(*bins, "_l", "_r", "_taken", "_round")
+                      .groupBy(*bins).applyInPandas(matched, schema))
+        rows = fresh if rows is None else saved(_without(rows, todo, bins).unionByName(fresh))
+        lost = rows.where(F.col("_r") >= (F.col("_bin") + 1) * width).groupBy(*bins).agg(F.array_sort(F.collect_list("_r")).alias("_lost"))
+        lost = lost.select(*[F.col(c).alias(f"o_{c}") for c in part], (F.col("_bin") + 1).alias("o__bin"), "_lost")
+        k += 1
+        found = state.join(lost, same("o_"), "left").select(*bins, "_taken", F.coalesce("_lost", none).alias("_now"))
+        todo = saved(found.where("_taken <> _now").select(*bins, F.col("_now").alias("_taken"), F.lit(k).alias("_round")))
+        if todo.isEmpty():
+            break
+        state = saved(_without(state, todo, bins).unionByName(todo))
+    chosen = rows.select(*[F.col(c).alias(f"m_{c}") for c in part], F.col("_l").alias("m_l"), F.col("_r").alias("m_r"))
+    on = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in part] + [F.col(left) == F.col("m_l"), F.col(right) == F.col("m_r")]
+    return pairs.join(chosen, on, "left_semi")
+
+
+def _without(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    named = other.select(*[F.col(c).alias(f"w_{c}") for c in keys])
+    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in keys], "left_anti")
 
 
 EVIDENCE = ["chrom", "lo", "hi", "level", "clip_left", "clip_right", "kind", "member", "mtype"]

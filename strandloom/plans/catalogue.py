@@ -25,12 +25,13 @@ ORACLES: dict[str, str] = {}
 CFG = CallConfig()
 
 
-def query(name: str, sql: str | None = None, reads: bool = False):
+def query(name: str, sql: str | None = None, reads: bool = False, recursive: bool = False):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
             # reads=True: the SQL continues the WITH list of the derived alignments
-            ORACLES[name] = (READS_SQL + sql) if reads else sql
+            text = (READS_SQL + sql) if reads else sql
+            ORACLES[name] = text.replace("WITH", "WITH RECURSIVE", 1) if recursive else text
         return fn
     return add
 
@@ -355,9 +356,10 @@ def _(spark, sf):
 
 # reads aligned in two parts (p % 5 = 4) are soft-clip evidence only where their quality is too low for a split
 CLIPS = """, cb AS (SELECT lib, chrom, p, mapq, rev, cl > 0 AS is_left, CASE WHEN cl > 0 THEN pos ELSE ref_end END AS pos,
-    CASE WHEN p % 5 = 4 THEN cr ELSE GREATEST(0, cl + cr - CASE WHEN p % 4 > 0 THEN p % 4 + 5 ELSE 0 END) END AS clipped, 3 + (p * 3) % 37 AS q FROM u
+    CASE WHEN p % 5 = 4 THEN cr ELSE GREATEST(0, cl + cr - CASE WHEN p % 4 > 0 THEN p % 4 + 5 ELSE 0 END) END AS clipped, 3 + (p * 3) % 37 AS q,
+    CASE WHEN p % 5 = 4 THEN 60 ELSE 100 END AS mapped FROM u
     WHERE mate = 0 AND (p % 5 IN (2, 3) OR p % 5 = 4 AND mapq < 20)),
-  sc0 AS (SELECT lib, chrom, NOT is_left AS is_right, pos, clipped, mapq, rev FROM cb WHERE mapq >= 10 AND clipped >= 5 AND q >= 15)"""
+  sc0 AS (SELECT lib, chrom, NOT is_left AS is_right, pos, clipped, mapped, mapq, rev FROM cb WHERE mapq >= 10 AND clipped >= 5 AND q >= 15)"""
 
 
 @query("softclip_evidence", CLIPS + " SELECT lib, chrom, is_right, pos, clipped AS bases_clipped, mapq, rev AS is_reverse FROM sc0", reads=True)
@@ -389,7 +391,19 @@ def _(spark, sf):
     return softclip_bedgraph(clips_of(spark, sf))
 
 
-@query("microhomology_matching")
+@query("microhomology_matching", CLIPS + """, ps AS (SELECT chrom, is_right, pos, count(*) AS n, max(mapped) AS mapped FROM sc0 GROUP BY chrom, is_right, pos),
+  br AS (SELECT *, CASE WHEN pos - lag(pos) OVER w > 5 THEN 1 ELSE 0 END AS b FROM ps WINDOW w AS (PARTITION BY chrom, is_right ORDER BY pos)),
+  gr AS (SELECT *, sum(b) OVER (PARTITION BY chrom, is_right ORDER BY pos) AS g FROM br),
+  best AS (SELECT *, row_number() OVER (PARTITION BY chrom, is_right, g ORDER BY n DESC, pos) AS k FROM gr),
+  cl AS (SELECT chrom, is_right, max(pos) FILTER (WHERE k = 1) AS pos, CAST(sum(n) AS BIGINT) AS reads,
+    CASE WHEN is_right THEN max(pos) FILTER (WHERE k = 1) - min(pos - mapped) ELSE max(pos + mapped) - max(pos) FILTER (WHERE k = 1) END AS mapped FROM best GROUP BY chrom, is_right, g),
+  pc AS (SELECT l.chrom, l.pos AS l_pos, l.mapped AS l_mapped, l.reads AS l_reads, r.pos AS r_pos, r.mapped AS r_mapped, r.reads AS r_reads FROM cl l JOIN cl r ON l.chrom = r.chrom
+    AND NOT l.is_right AND r.is_right AND r.pos - l.pos BETWEEN 1 AND 25 AND l.mapped > r.pos - l.pos AND r.mapped > r.pos - l.pos),
+  ls AS (SELECT chrom, l_pos, list(r_pos ORDER BY r_pos) AS rs, row_number() OVER (PARTITION BY chrom ORDER BY l_pos) AS k FROM pc GROUP BY chrom, l_pos),
+  gm AS (SELECT chrom, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS l_pos, CAST(NULL AS BIGINT) AS r_pos, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT chrom FROM ls)
+    UNION ALL SELECT chrom, k, l_pos, pick, list_append(list_filter(used, lambda x: x > l_pos), pick) FROM (SELECT ls.chrom, ls.k, ls.l_pos, gm.used,
+      list_filter(ls.rs, lambda x: NOT list_contains(gm.used, x))[1] AS pick FROM gm JOIN ls ON ls.chrom = gm.chrom AND ls.k = gm.k + 1))
+  SELECT pc.* FROM pc JOIN gm ON gm.chrom = pc.chrom AND gm.l_pos = pc.l_pos AND gm.r_pos = pc.r_pos""", reads=True, recursive=True)
 def _(spark, sf):
     clusters = checkpoint(B.softclip_clusters(clips_of(spark, sf), CFG.with_options(min_softclip_support=1)))
     return B.greedy_matching(B.microhomology_candidates(clusters, CFG), ["chrom"], "l_pos", "r_pos")
@@ -645,8 +659,8 @@ SUBS = CUTS + """, rn AS (SELECT *, idx - row_number() OVER (PARTITION BY chrom,
       AND len(list_filter(k.back, lambda u: len(list_filter(w.back, lambda x: x = u)) >= 2)) = 0)"""
 
 
-@query("path_enumeration", SUBS.replace("WITH", "WITH RECURSIVE", 1) + """ SELECT chrom, s AS start, e AS stop, row_number() OVER (PARTITION BY chrom, s, e ORDER BY list_transform(entries, lambda x: -x)) - 1 AS path_id,
-    count(*) OVER (PARTITION BY chrom, s, e) AS n_paths, array_to_string(list_transform(entries, lambda x: x || '-' || xor(x, 1)), ',') AS path FROM wk WHERE out = 2 * e + 1""")
+@query("path_enumeration", SUBS + """ SELECT chrom, s AS start, e AS stop, row_number() OVER (PARTITION BY chrom, s, e ORDER BY list_transform(entries, lambda x: -x)) - 1 AS path_id,
+    count(*) OVER (PARTITION BY chrom, s, e) AS n_paths, array_to_string(list_transform(entries, lambda x: x || '-' || xor(x, 1)), ',') AS path FROM wk WHERE out = 2 * e + 1""", recursive=True)
 def _(spark, sf):
     edges, blocks = graph_of(spark, sf)
     edges = checkpoint(edges)
