@@ -24,7 +24,7 @@ _TOKEN = re.compile(
     r"|<(?P<odd_end>/?)(?P<odd>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start a line of their own.
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -45,11 +45,36 @@ _PARTS = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
 _FILL = frozenset("""area bar block bottom box btn button container group inner item items left list main outer panel right section site
     slot text top unit wrap wrapper""".split())
+#: Words that name such a part by standing first or last in a token, whatever the others say.
+_SURE = frozenset("""ad ads adsbygoogle adsense adslot adunit advert advertisement advertisements advertising adverts bio breadcrumb
+    breadcrumbs comment commenting commentlist comments consent cookie cookies discussion disqus gdpr googleads newsletter pager
+    pagination promo promos promoted promotion recommendation recommendations recommended related replies respond responses signup
+    sponsor sponsored sponsors subscribe subscription""".split())
+#: Words after which another one says what a page has, lacks or is about.
+_NEUTRAL = frozenset("category enabled format free has hide is no non not open overflow show status tag tagged topic type with without".split())
+#: Words that only together name a part around the text.
+_PHRASE = re.compile(r"(?:about-(?:the-)?|post-|entry-)?author-(?:bio|box|card|info|profile)|about-(?:the-)?author|more-(?:articles|from|like|news|posts|reading|stories)"
+                     r"|most-(?:popular|read|viewed)|read-(?:more|next)|you-(?:may|might)|trending")
+#: Share of links in a box from which it is a menu, and how many of them it then has at least.
+LINKED, MENU = 0.9, 2
 #: Share of its points that text keeps inside a part with such a name.
 LOWERED = 0.2
 _TAG_POINTS = {"article": 8, "main": 8, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "address": -3, "ol": -3, "ul": -3,
                "dl": -3, "dd": -3, "dt": -3, "li": -3, "th": -5, "h1": -5, "h2": -5, "h3": -5, "h4": -5, "h5": -5, "h6": -5}
 LEAST = 25
+_BOXES = frozenset("div dl ol section table ul".split())
+
+
+def _names_part(token: str) -> bool:
+    """Whether a class or id names a part around the text."""
+    words = [w.lower() for w in _NAME.findall(token)]
+    if not words:
+        return False
+    if not _PARTS.isdisjoint(words) and _PARTS.union(_FILL).issuperset(words):
+        return True
+    if not _NEUTRAL.isdisjoint(words):
+        return False
+    return words[0] in _SURE or words[-1] in _SURE or _PHRASE.match("-".join(words)) is not None
 
 
 class _Page:
@@ -139,11 +164,10 @@ class _Page:
         """Whether the element is no text by its role or style, and whether its class or id names a part."""
         unlikely = False
         for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                for token in value.split():
-                    words = set(_NAME.findall(token))
-                    unlikely |= not _PARTS.isdisjoint(words) and words <= _PARTS | _FILL
+                unlikely |= any(map(_names_part, value.split()))
+            value = value.lower()
             if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True, unlikely
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -216,7 +240,23 @@ def main_text(source: str) -> str:
         while (a := page.parent[a]) > 0:
             around.add(a)
     around.add(0)
-    return "\n".join(text for e, text, _ in lines if inside[e] in around and any(a <= e <= b for a, b in chosen))
+    # boxes of nothing but links inside the text are menus, too
+    links = [0] * n
+    for e, _, linked in lines:
+        links[e] += linked > 0
+    whole, whole_linked = [0] * n, [0] * n
+    for e, text, linked in lines:
+        whole[e] += len(text)
+        whole_linked[e] += linked
+    for e in range(n - 1, 0, -1):
+        for total in (links, whole, whole_linked):
+            total[page.parent[e]] += total[e]
+    menu = [False] * n
+    for e in range(1, n):
+        box = page.tag[e] in _BOXES and e not in around and links[e] >= MENU and whole_linked[e] >= LINKED * whole[e]
+        menu[e] = box or menu[page.parent[e]]
+    return "\n".join(text for e, text, _ in lines
+                     if inside[e] in around and not menu[e] and any(a <= e <= b for a, b in chosen))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,6 +119,30 @@ def test_names_do_not_decide_alone(name):
     assert extract.main_text(page) == "\n".join(text)
 
 
+@pytest.mark.parametrize("name", """post-comments article-comments user-comments commentlist comment-thread comment-body responses discussion
+    related-posts related-articles relatedPosts more-stories cookie-policy cookie-message ad_300x250 google-ads adsbygoogle promo-content author-bio
+    comments-area ad-unit newsletter-box subscribe-form""".split())
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_parts_inside_the_text_go(name, tag):
+    text = [PARAGRAPH.strip() + f" Part {i}." for i in range(6)]
+    part = f"<div class='{name}'><p>{PARAGRAPH}</p><p>Another block of prose, as long as the others, that is no part of it.</p></div>"
+    page = f"<body><{tag} class=post>{''.join(f'<p>{t}</p>' for t in text)}{part}</{tag}></body>"
+    assert extract.main_text(page) == "\n".join(text)
+
+
+@pytest.mark.parametrize("name", ["tag-cookies category-ads", "has-comments", "ad-free", "no-related", "topic-discussion", "load", "roadside", "commentary", "biology"])
+def test_other_names_stay(name):
+    text = [PARAGRAPH.strip() + f" Part {i}." for i in range(6)]
+    page = f"<body><article><div class='{name}'>{''.join(f'<p>{t}</p>' for t in text)}</div><p>And one more.</p></article></body>"
+    assert extract.main_text(page) == "\n".join([*text, "And one more."])
+
+
+def test_boxes_of_links_go_and_linked_sentences_stay():
+    box = "<ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"<article><p>{PARAGRAPH}</p>{box}<p>Read <a href=/x>the source</a> first, <a href=/y>then this</a>.</p><p><a href=/z>A linked sentence.</a></p><ol><li>One <a href=/o>thing</a> and more</li><li>two</li></ol></article>"
+    assert extract.main_text(page) == "\n".join([PARAGRAPH.strip(), "Read the source first, then this.", "A linked sentence.", "One thing and more", "two"])
+
+
 def test_extraction(spark):
     want = {k: "\n".join(" ".join(b.split()) for b in blocks) for k, (_, blocks) in PAGES.items()}
     rows = [(i, k, h, "clash") for i, (k, (h, _)) in enumerate(PAGES.items())]
