@@ -13,7 +13,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.memory import given_back
+from strandloom.llm.memory import give_back, given_back
 from strandloom.llm.words import mix, text_blocks
 
 #: Buckets of hashed n-grams, and their sizes in bytes.
@@ -229,14 +229,16 @@ def identify(docs: DataFrame, held_out: Column, keep: tuple[str, ...] = ()) -> D
     each, an empty table none.
     """
     model = fit(training(docs, held_out))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids: languages x k x DIM floats
+    give_back()  # the driver's sample
+    parts = None if model is None else tuple(getattr(model, f.name) for f in fields(model))
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # centroids: languages x k x DIM floats
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col("doc_id"), held_out.alias("held_out"),
                        F.col("text").cast("string").alias("text"),
                        F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
 
     @given_back
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = None if shared.value is None else Model(*shared.value)
         for batch in batches:
             n = batch.num_rows
             score, best, far = np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)

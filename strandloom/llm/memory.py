@@ -14,6 +14,16 @@ from strandloom.llm import words
 Rows = Iterator[pa.RecordBatch]
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the machine."""
+    words.forget_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
+    if trim is not None:
+        trim(0)
+
+
 def given_back(run: Callable[[Rows], Rows]) -> Callable[[Rows], Rows]:
     """``run``, after which the worker returns its freed memory to the machine.
 
@@ -25,11 +35,6 @@ def given_back(run: Callable[[Rows], Rows]) -> Callable[[Rows], Rows]:
         try:
             yield from run(batches)
         finally:
-            words.forget_powers()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent outside glibc
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

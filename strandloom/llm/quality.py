@@ -1,10 +1,11 @@
 """Quality classification by co-training.
 
 Two views of a document are classified apart: its text (classes of neighbouring characters,
-hashed words, repetition) and its page metadata (source, language, stated length, layout of
-lines).  In each round both classifiers label a bounded pool of unlabelled documents, and what
-one is confident of becomes training data of the other.  Both are then calibrated on labelled
-rows kept apart, and the calibrated views are combined to score all documents.
+hashed words, repetition) and its page metadata (source, language, stated length).  In each round
+both classifiers label all documents, and what one is confident of becomes training
+data of the other: Spark sums the other's gradient over all of them, a table of fixed size, and
+the step is taken on the driver.  Both are then calibrated on labelled rows kept apart, and the
+calibrated views are combined to score all documents.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.memory import given_back
+from strandloom.llm.memory import give_back, given_back
 from strandloom.llm.words import block_words, text_blocks
-
-#: Bounds on the labelled rows the classifiers are fitted on and on the unlabelled pool.
-FIT_ROWS, POOL_ROWS = 8000, 6000
-ROUNDS, CONFIDENT = 3, 0.97
+from strandloom.session import saved
+
+#: Bound on the labelled rows that the classifiers are fitted on.
+FIT_ROWS = 8000
+#: Rounds of exchange, gradient steps in each, and from which probability a view labels for the other.
+ROUNDS, STEPS, CONFIDENT = 3, 3, 0.97
+#: What all pseudo-labels together count, as a share of the labelled rows.
+SHARE = 0.5
 #: Documents are rejected below this combined probability of good quality.
 KEEP = 0.5
 WORD_BUCKETS = 256
-_SOURCES, _LANGS, _LOGS = 64, 16, 20
+_SOURCES, _LANGS, _LENGTHS, _BOTH = 64, 16, 40, 128
 _CLASSES = 12
 _CLASS = np.full(256, 9, np.uint8)  # other ASCII
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 3
@@ -36,7 +41,7 @@ for _k, _marks in enumerate((b".,;:?", b"!", b"|", b"#$%&*@^~=+<>"), 6):
     _CLASS[list(_marks)] = _k if _k < 9 else 10
 _CLASS[list(b"'\"()-")] = 11
 TEXT_DIM = _CLASSES * _CLASSES + WORD_BUCKETS + 4
-META_DIM = _SOURCES + _LANGS + 3 * _LOGS
+META_DIM = _SOURCES + _LANGS + _LENGTHS + _BOTH
 _ROWS = 512
 
 
@@ -44,8 +49,8 @@ def _one_hot(out: np.ndarray, at: int, index: np.ndarray) -> None:
     out[np.arange(len(out)), at + index] = 1
 
 
-def _log_bucket(x: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.maximum(x, 0) + 1).astype(np.int64), _LOGS - 1)
+def _length_bucket(x: np.ndarray) -> np.ndarray:
+    return np.minimum((np.log2(np.maximum(x, 0) + 1) * 2).astype(np.int64), _LENGTHS - 1)
 
 
 def _name_bucket(column: pa.Array, size: int) -> np.ndarray:
@@ -75,13 +80,12 @@ def features(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
             distinct = np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=n)
             some = np.maximum(count, 1)
             text[:, -4:] = np.stack([again / some, distinct / some, np.minimum(size / some, 40) / 10, count == 0], axis=1)
-            lines = np.bincount(doc[kind == 5], minlength=n) + 1
             rows = slice(begin + at, begin + to)
+            length = _length_bucket(stated[rows])
             _one_hot(meta, 0, source[rows])
             _one_hot(meta, _SOURCES, lang[rows])
-            _one_hot(meta, _SOURCES + _LANGS, _log_bucket(stated[rows]))
-            _one_hot(meta, _SOURCES + _LANGS + _LOGS, _log_bucket(lines))
-            _one_hot(meta, _SOURCES + _LANGS + 2 * _LOGS, _log_bucket(count / lines * 4))
+            _one_hot(meta, _SOURCES + _LANGS, length)
+            _one_hot(meta, _SOURCES + _LANGS + _LENGTHS, (source[rows] * 37 + length) % _BOTH)
             yield begin + at, begin + to, text, meta
 
 
@@ -123,19 +127,63 @@ class Model:
         return np.stack([_sigmoid(np.c_[a, b] @ self.blend[:-1] + self.blend[-1]), _sigmoid(a), _sigmoid(b)], axis=1)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``y`` is 0, 1 or -1 for the pool; rows ``aside`` are labelled rows kept for the calibration."""
-    fitted, pool, views = (y >= 0) & ~aside, y < 0, (text, meta)
-    given: list[np.ndarray] = [np.full(len(y), -1), np.full(len(y), -1)]  # pseudo-labels that each view has been given
-    betas: list[np.ndarray] = [np.empty(0), np.empty(0)]
-    for _ in range(rounds + 1):
-        for v in (0, 1):
-            use = fitted | (given[v] >= 0)
-            betas[v] = logistic(views[v][use], np.where(fitted, y, given[v])[use], np.where(fitted, 1.0, 0.3)[use])
-        for v in (0, 1):
-            p = _sigmoid(logit(views[v], betas[v]))
-            given[1 - v] = np.where(pool & (p >= CONFIDENT), 1, np.where(pool & (p <= 1 - CONFIDENT), 0, -1))
-    check, one = aside & (y >= 0), np.ones(int((aside & (y >= 0)).sum()))
+def step(x: np.ndarray, y: np.ndarray, beta: np.ndarray, pulled: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """One step on the labelled rows and ``pulled``, the gradient that the pseudo-labels add.
+
+    The curvature of the labelled rows, scaled by what all rows count, stands for that of all.
+    """
+    p = _sigmoid(logit(x, beta))
+    x = np.c_[x, np.ones(len(x), x.dtype)].astype(np.float64)
+    penalty = np.full(x.shape[1], ridge)
+    penalty[-1] = 1e-6
+    w = np.maximum(p * (1 - p), 1e-4) * (1 + SHARE * pulled.any())
+    return beta + np.linalg.solve((x * w[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) + pulled - penalty * beta)
+
+
+def pulls(pool: DataFrame, givers: list[np.ndarray], betas: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view the mean gradient over all rows of ``pool`` that the other view labels.
+
+    ``givers`` are the classifiers that label, ``betas`` those that learn; rows are text and
+    metadata views.  Tasks add up their rows, Spark adds the tasks' sums place by place.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast((givers, betas))  # fixed size
+    sizes = [len(b) + 1 for b in betas]  # the last place counts rows
+
+    @given_back
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        givers, betas = shared.value
+        total = [np.zeros(n) for n in sizes]
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                views = [_unpacked(batch[c].slice(at, _ROWS)) for c in ("text", "meta")]
+                for v in (0, 1):
+                    given = _sigmoid(logit(views[1 - v], givers[1 - v]))
+                    sure = (given >= CONFIDENT) | (given <= 1 - CONFIDENT)
+                    x = views[v][sure].astype(np.float64)
+                    miss = (given[sure] >= CONFIDENT) - _sigmoid(logit(x, betas[v]))
+                    total[v][:-2] += x.T @ miss
+                    total[v][-2] += miss.sum()
+                    total[v][-1] += len(x)
+        flat = np.concatenate(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["place", "value"])
+
+    sums = np.zeros(sum(sizes))
+    for r in pool.mapInArrow(summed, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        sums[r["place"]] = r["value"]
+    out = [sums[:sizes[0]], sums[sizes[0]:]]
+    return [g[:-1] / max(1.0, g[-1]) for g in out]
+
+
+def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, pool: DataFrame | None, rounds: int = ROUNDS) -> Model:
+    """``text``, ``meta`` and ``y`` are labelled rows, those ``aside`` kept for the calibration; ``pool`` has the views of all documents."""
+    fitted, views = ~aside, (text, meta)
+    betas = [logistic(x[fitted], y[fitted], np.ones(int(fitted.sum()))) for x in views]
+    for _ in range(rounds if pool is not None else 0):
+        givers = list(betas)
+        for _ in range(STEPS):
+            both = pulls(pool, givers, betas)
+            betas = [step(views[v][fitted], y[fitted], betas[v], SHARE * fitted.sum() * both[v]) for v in (0, 1)]
+    check, one = aside, np.ones(int(aside.sum()))
     if len(set(y[check])) < 2:
         check, one = fitted, np.ones(int(fitted.sum()))
     logits = [logit(views[v][check], betas[v])[:, None].astype(np.float64) for v in (0, 1)]
@@ -144,6 +192,10 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray
     return Model(betas[0], betas[1], scales[0], scales[1], logistic(both, y[check], one, ridge=0.1))
 
 
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1).astype(np.float32)
+
+
 @given_back
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -155,28 +207,28 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["draw", "label", "text", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """The model, or None where the sampled labels do not hold both classes.
 
-    Labelled rows and pool are drawn by a hash of the id; a document labelled several times
-    counts with the majority.
+    Labelled rows are drawn by a hash of the id; a document labelled several times counts with
+    the majority.  All documents are the pool; true labels are no part of it.
     """
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     one = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
            .agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("label")))
-    n_labels, n_docs = one.count(), docs.count()
+    n_labels = one.count()
     chosen = one.where(draw < fit_rows / max(1, n_labels))  # about fit_rows rows at most
-    rows = (docs.join(F.broadcast(chosen), "doc_id", "left")
-            .withColumn("draw", draw)
-            .where(F.col("label").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) < (1 << 30) * min(1.0, pool_rows / max(1, n_docs)))))
-    sample = rows.select("draw", "label", "text", "source", "lang", "n_chars").mapInArrow(
-        _views, "draw double, label int, text binary, meta binary").orderBy("draw", "text").toPandas()
-    y = sample["label"].fillna(-1).to_numpy(np.int64)
-    aside = (sample["draw"].fillna(0).to_numpy() * 1e6).astype(np.int64) % 5 == 0
-    if len(set(y[(y >= 0) & ~aside])) < 2:
+    columns = ("label", "text", "source", "lang", "n_chars")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(draw.alias("draw"), *columns)
+    sample = rows.mapInArrow(_views, "draw double, label int, text binary, meta binary").orderBy("draw", "text").toPandas()
+    y = sample["label"].to_numpy(np.int64)
+    aside = (sample["draw"].to_numpy(np.float64) * 1e6).astype(np.int64) % 5 == 0
+    if len(set(y[~aside])) < 2:
         return None
     text, meta = (np.stack([np.frombuffer(v, np.float16) for v in sample[c]]).astype(np.float32) for c in ("text", "meta"))
-    return cotrain(text, meta, y, aside)
+    every = docs.select(F.lit(None).cast("double").alias("draw"), F.lit(None).cast("int").alias("label"), *columns[1:])
+    pool = saved(every.mapInArrow(_views, "draw double, label int, text binary, meta binary").select("text", "meta"))
+    return cotrain(text, meta, y, aside, pool)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -190,11 +242,14 @@ def classify(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) ->
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
                        F.col("n_chars").cast("long").alias("n_chars"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    shared = docs.sparkSession.sparkContext.broadcast(fit(base, labels))  # fixed size
+    model = fit(base, labels)
+    give_back()  # the driver's sample
+    parts = None if model is None else (model.text, model.meta, model.text_scale, model.meta_scale, model.blend)
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # fixed size
 
     @given_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = None if shared.value is None else Model(*shared.value)
         for batch in batches:
             out = np.full((batch.num_rows, 3), 0.5)
             if model is not None:

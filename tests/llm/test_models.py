@@ -80,14 +80,22 @@ def test_quality_takes_odd_rows(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_views_teach_each_other():
+def test_views_teach_each_other(spark):
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 2, 3000)
-    views = [truth[:, None] * 3 + rng.normal(size=(3000, 4)) for _ in range(2)]
-    y = np.where(np.arange(3000) < 60, truth, -1)
-    aside = (np.arange(3000) % 5 == 0) & (y >= 0)
-    score = quality.cotrain(*views, y, aside).score(*views)
+    views = [(truth[:, None] * 3 + rng.normal(size=(3000, 4))).astype(np.float32) for _ in range(2)]
+    pool = spark.createDataFrame([tuple(bytearray(v[i].astype(np.float16).tobytes()) for v in views) for i in range(3000)], "text binary, meta binary").repartition(3)
+    few, aside = np.arange(60), np.arange(60) % 5 == 0
+    score = quality.cotrain(*[v[few] for v in views], truth[few], aside, pool).score(*views)
     assert ((score[:, 0] > 0.5) == truth).mean() > 0.95
+    # the gradients are those of all rows at once
+    betas = [np.linspace(-1, 1, 5), np.linspace(1, -1, 5)]
+    for v, pull in enumerate(quality.pulls(pool, betas, betas)):
+        x, other = (views[k].astype(np.float16).astype(np.float64) for k in (v, 1 - v))
+        given = 1 / (1 + np.exp(-(other @ betas[1 - v][:-1] + betas[1 - v][-1])))
+        sure = (given >= quality.CONFIDENT) | (given <= 1 - quality.CONFIDENT)
+        miss = (given[sure] >= quality.CONFIDENT) - 1 / (1 + np.exp(-(x[sure] @ betas[v][:-1] + betas[v][-1])))
+        assert np.allclose(pull, np.c_[x[sure], np.ones(sure.sum())].T @ miss / sure.sum(), atol=1e-4)
 
 
 PARAGRAPH = "Rain came in from the west, slowly at first, and then, as the light went, it fell hard on the roofs of the town. "
