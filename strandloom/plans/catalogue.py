@@ -18,7 +18,7 @@ from strandloom.plans import graph as G
 from strandloom.plans import inference as N
 from strandloom.plans import library as L
 from strandloom.plans.derived import READS_SQL, event_alignments, table
-from strandloom.session import checkpoint
+from strandloom.session import checkpoint, spread_groups
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,13 +99,15 @@ def _(spark, sf):
     return E.hanging_anchors(reads_of(spark, sf), CFG).withColumn("anchor", F.col("anchor").cast("bigint"))
 
 
-@query("read_through_pairs", """SELECT qname, p % 5 = 3 AND abs(pos0 - pos1) <= 60 AND abs(end0 - end1) <= 60 AND rev0 <> rev1 AS read_through
-       FROM (SELECT *, pos0 + 1 AS q FROM pr) WHERE p % 5 = 3""", reads=True)
+# the derived clips, with clips at the other ends of both mates besides
+@query("read_through_pairs", """SELECT qname, p % 5 <> 4 AND rev0 <> rev1 AND abs(pos0 - pos1) <= 60 AND abs(end0 - end1) <= 60
+       AND CASE WHEN rev1 THEN cr0 + p % 3 ELSE p % 2 END > 0 AND CASE WHEN rev1 THEN p % 4 ELSE cl0 END > 0 AS read_through FROM pr""", reads=True)
 def _(spark, sf):
-    # derived mates are clipped on one side only, so the right-clipped mate is mirrored for the test
-    pairs = pairs_of(spark, sf).where("b is not null and cast(qname as bigint) % 5 = 3")
-    pairs = pairs.withColumn("b", F.col("b").withField("clip_l", F.lit(1)).withField("clip_r", F.lit(1)))
-    pairs = pairs.withColumn("a", F.col("a").withField("clip_l", F.lit(1)).withField("clip_r", F.lit(1)))
+    p = F.col("qname").cast("bigint")
+    n = lambda c: c.cast("int")
+    pairs = pairs_of(spark, sf).where("b is not null")
+    pairs = pairs.withColumn("a", F.col("a").withField("clip_r", n(F.col("a.clip_r") + p % 3)))
+    pairs = pairs.withColumn("b", F.col("b").withField("clip_l", n(p % 4)).withField("clip_r", n(p % 2)))
     return pairs.select("qname", E.is_read_through(CFG.with_options(read_through_slop=60)).alias("read_through"))
 
 
@@ -501,14 +503,14 @@ def _(spark, sf):
     return j.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.least("hi", "hi2") - F.greatest("lo", "lo2")).alias("bases"))
 
 
-# gaps: one per supplier and contig
-GAPS = """, gaps AS (SELECT DISTINCT 's' || (s_suppkey % 16) AS chrom, (s_suppkey * 1237) % 200000 AS lo, (s_suppkey * 1237) % 200000 + 300 AS hi FROM supplier) """
+# gaps: one per order, on the contig of its lines
+GAPS = """, gaps AS (SELECT 's' || (o_orderkey // 1000) AS chrom, (o_orderkey * 1237) % 200000 AS lo, (o_orderkey * 1237) % 200000 + 30 AS hi FROM orders) """
 
 
 def gaps_of(spark, sf):
-    lo = (F.col("s_suppkey") * 1237) % 200000
-    return table(spark, sf, "supplier").select(F.concat(F.lit("s"), (F.col("s_suppkey") % 16).cast("string")).alias("chrom"),
-                                               lo.alias("lo"), (lo + 300).alias("hi")).distinct()
+    lo = (F.col("o_orderkey") * 1237) % 200000
+    return table(spark, sf, "orders").select(F.concat(F.lit("s"), F.expr("o_orderkey div 1000").cast("string")).alias("chrom"),
+                                             lo.alias("lo"), (lo + 30).alias("hi"))
 
 
 @query("gap_anti_join", IV + GAPS + """SELECT DISTINCT chrom, lo, hi FROM iv WHERE hi > lo AND NOT EXISTS
@@ -767,28 +769,35 @@ def _(spark, sf):
                      F.array_join("mb.gaps", ",").alias("gaps"))
 
 
-@query("md_tokenize", CIG + """SELECT DISTINCT a, b, a || ' A ' || b || ' ^AC ' || '5 G' AS tokens, a || ',' || (a + b + 6) AS mismatches FROM c""")
+@query("md_tokenize", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, a || ' A ' || b || ' ^' || del || ' 5 G' AS tokens, a || ',' || (a + b + 6) AS mismatches
+    FROM (SELECT *, 1 + l_partkey % 97 AS a, 1 + l_suppkey % 89 AS b, substr('ACGTACGT', CAST(l_orderkey % 4 + 1 AS BIGINT), CAST(l_linenumber AS BIGINT)) AS del FROM lineitem)""")
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("a"), (F.col("l_partkey") % 30 + 1).alias("b")).distinct()
-    md = F.format_string("%dA%d^AC5G0", "a", "b")
-    return li.select("a", "b", F.array_join(A.md_tokens(md), " ").alias("tokens"), F.array_join(A.md_mismatch_offsets(md), ",").alias("mismatches"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (1 + F.col("l_partkey") % 97).alias("a"), (1 + F.col("l_suppkey") % 89).alias("b"),
+                                             F.expr("substr('ACGTACGT', cast(l_orderkey % 4 + 1 as int), l_linenumber)").alias("del"))
+    md = F.format_string("%dA%d^%s5G0", "a", "b", "del")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(A.md_tokens(md), " ").alias("tokens"),
+                     F.array_join(A.md_mismatch_offsets(md), ",").alias("mismatches"))
 
 
-@query("block_names", """SELECT DISTINCT k, name, k AS back FROM (SELECT o_orderkey % 400 AS k, substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', CAST(o_orderkey % 400 % 52 + 1 AS BIGINT), 1)
-    || CASE WHEN o_orderkey % 400 >= 52 THEN CAST(o_orderkey % 400 // 52 AS VARCHAR) ELSE '' END AS name FROM orders)""")
+def block_name_sql(k: str) -> str:
+    return (f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', CAST(({k}) % 52 + 1 AS BIGINT), 1) || "
+            f"CASE WHEN {k} >= 52 THEN CAST(({k}) // 52 AS VARCHAR) ELSE '' END")
+
+
+@query("block_names", f"SELECT o_orderkey AS k, {block_name_sql('o_orderkey')} AS name, o_orderkey AS back FROM orders")
 def _(spark, sf):
-    k = table(spark, sf, "orders").select((F.col("o_orderkey") % 400).alias("k")).distinct()
+    k = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
     k = k.withColumn("name", P.block_name(F.col("k")))
     return k.select("k", "name", P.block_index(F.col("name")).cast("bigint").alias("back"))
 
 
-@query("path_strings", """SELECT DISTINCT k, chr(CAST(65 + k AS INTEGER)) || chr(CAST(66 + k AS INTEGER)) || '''' || chr(CAST(67 + k AS INTEGER)) || '_' AS path, k * 2 || ',' || (k * 2 + 3) || ',' || (k * 2 + 4) || ',200,200' AS entries
-    FROM (SELECT o_orderkey % 20 AS k FROM orders)""")
+@query("path_strings", f"""SELECT k, {block_name_sql('k')} || {block_name_sql('k + 1')} || '''' || {block_name_sql('k + 2')} || '_' AS path,
+    k * 2 || ',' || (k * 2 + 3) || ',' || (k * 2 + 4) || ',2000000000,2000000000' AS entries FROM (SELECT o_orderkey AS k FROM orders)""")
 def _(spark, sf):
-    k = table(spark, sf, "orders").select((F.col("o_orderkey") % 20).alias("k")).distinct()
-    n = F.col("k").cast("int") * 2
-    path = F.array(n, n + 1, n + 3, n + 2, n + 4, n + 5, F.lit(200), F.lit(201))
-    return k.select("k", P.path_to_string(path, F.lit(0), F.lit(100)).alias("path"), F.array_join(P.path_to_block_path(path), ",").alias("entries"))
+    k = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    n, novel = F.col("k").cast("int") * 2, 2_000_000_000
+    path = F.array(n, n + 1, n + 3, n + 2, n + 4, n + 5, F.lit(novel), F.lit(novel + 1))
+    return k.select("k", P.path_to_string(path, F.lit(0), F.lit(novel // 2)).alias("path"), F.array_join(P.path_to_block_path(path), ",").alias("entries"))
 
 
 @query("read_adjacencies", """SELECT event_id, 2 * b + 1 AS s0, (2 * b + 1) || ',' || (2 * b + 2) || ',' || (2 * b + 3) || ',' || (2 * b + 6) AS adj, (2 * b + 1) || '-' || (2 * b + 2) || ',' || (2 * b + 3) || '-' || (2 * b + 6) AS steps
@@ -811,7 +820,7 @@ HAPS = {"DEL": [0, 1, 4, 5, 6, 7], "INV": [0, 1, 3, 2, 4, 5, 6, 7], "DUP:TANDEM"
     CASE o_orderkey % 4 WHEN 3 THEN 100 ELSE 100 + o_custkey % 50 END AS affected FROM orders""")
 def _(spark, sf):
     from strandloom.plans import classify as C
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    o = spread_groups(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     arr = lambda xs: F.array(*[F.lit(x) for x in xs])
     names = list(HAPS)
     path = F.when(F.col("o_orderkey") % 4 == 0, arr(HAPS[names[0]])).when(F.col("o_orderkey") % 4 == 1, arr(HAPS[names[1]])).when(
@@ -825,13 +834,14 @@ def _(spark, sf):
                     P.path_to_string(F.col("c.hap1.path"), F.lit(0), F.lit(99)).alias("rearrangement"), F.col("c.hap1.affected").alias("affected"))
 
 
-@query("complex_types", """SELECT DISTINCT k, CASE k WHEN 0 THEN 'inv.del' WHEN 1 THEN 'trans' WHEN 2 THEN 'ddup.del' WHEN 3 THEN 'inv.del' ELSE 'other' END AS complextype FROM (SELECT o_orderkey % 5 AS k FROM orders)""")
+# every form, from both sides, with and without a novel block
+@query("complex_types", """SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'other' ELSE ['inv.del', 'inv.2del', 'trans', 'trans.inv', 'ddup', 'invddup', 'ddup.del', 'invddup.del',
+    'invddup.inv', 'invddup.del.inv', 'dup.del', 'invdup', 'dup.dup', 'other'][o_orderkey % 14 + 1] END AS complextype FROM orders""")
 def _(spark, sf):
-    k = table(spark, sf, "orders").select((F.col("o_orderkey") % 5).alias("k")).distinct()
-    arr = lambda xs: F.array(*[F.lit(x) for x in xs])
-    path = (F.when(F.col("k") == 0, arr([0, 1, 3, 2, 6, 7])).when(F.col("k") == 1, arr([0, 1, 4, 5, 2, 3, 6, 7])).when(F.col("k") == 2, arr([0, 1, 2, 3, 4, 5, 2, 3, 8, 9]))
-            .when(F.col("k") == 3, arr([0, 1, 5, 4, 6, 7])).otherwise(arr([0, 1, 2, 3])))
-    return k.select("k", P.complex_type(path, F.lit(False)).alias("complextype"))
+    forms = [*P.COMPLEX_TYPES.values(), (0, 1, 2, 3)]
+    path = F.element_at(F.array(*[F.array(*[F.lit(x) for x in form]) for form in forms]), (F.col("o_orderkey") % 14 + 1).cast("int"))
+    seen = F.when(F.col("o_custkey") % 2 == 0, P.reverse_path(path)).otherwise(path)
+    return table(spark, sf, "orders").select("o_orderkey", P.complex_type(seen, F.col("o_custkey") % 5 == 0).alias("complextype"))
 
 
 # --- call tables ------------------------------------------------------------------------------------------------
