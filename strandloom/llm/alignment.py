@@ -37,7 +37,7 @@ FREQUENT = 1 << 18
 #: Bytes of text that are aligned at a time; a longer text is a block of its own.
 TOGETHER = 1 << 19
 #: Bytes of units remembered for each side in each Python worker.
-MEMO_BYTES = 24 << 20
+MEMO_BYTES = 48 << 20
 _ENTRY = 200  # bytes of a unit beside its letters and ids
 _HELD = 1 << 20  # id pairs that a task holds before it hands on their counts
 
@@ -141,11 +141,14 @@ class Side:
             return
         ids, start, joined = self.fresh(new)
         packed, raw = ids.astype("<u4").tobytes(), [u.encode() for u in new]
-        at = np.concatenate([[0], np.cumsum(self.length[ids])])[start].tolist()
-        same = joined == b"".join(raw)
-        for k, (unit, own, i, j) in enumerate(zip(new, raw, (4 * start[:-1]).tolist(), (4 * start[1:]).tolist(), strict=True)):
-            agrees = at[k + 1] - at[k] == len(own) if same else joined[at[k]:at[k + 1]] == own
-            self.memo[unit] = packed[i:j] if agrees else None
+        at = np.concatenate([[0], np.cumsum(self.length[ids])])[start]
+        first, last = (4 * start[:-1]).tolist(), (4 * start[1:]).tolist()
+        if joined == b"".join(raw) and np.array_equal(np.diff(at), list(map(len, raw))):
+            self.memo.update(zip(new, [packed[i:j] for i, j in zip(first, last, strict=True)], strict=True))
+        else:  # some units do not come back as they were
+            spans = at.tolist()
+            for k, (unit, own) in enumerate(zip(new, raw, strict=True)):
+                self.memo[unit] = packed[first[k]:last[k]] if joined[spans[k]:spans[k + 1]] == own else None
         self.held += len(packed) + sum(map(len, raw)) + len(new) * _ENTRY
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes | None]:
@@ -252,7 +255,8 @@ def aligned(tokens: Sequence[tuple[bytes, bytes]], a_length: np.ndarray, b_lengt
         start = np.concatenate([[0], np.cumsum([len(t[k]) // 4 for t in tokens])]).astype(np.int64)
         sides.append((ids, start, np.cumsum(length[ids])))
     (a, of_a, a_ends), (b, of_b, b_ends) = sides
-    bounds = np.intersect1d(a_ends, b_ends, assume_unique=True)  # texts end there, so no group holds two
+    met = np.minimum(np.searchsorted(b_ends, a_ends), max(len(b_ends) - 1, 0))
+    bounds = a_ends[b_ends[met] == a_ends] if len(b_ends) else a_ends  # texts end there, so no group holds two
     x, y = pairs(overlap_links(a_ends, b_ends))
     together = a_ends[x] == b_ends[y]
     links = np.concatenate([[0], np.cumsum(together)])

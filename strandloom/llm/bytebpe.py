@@ -13,6 +13,7 @@ pieces that merge on their own.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
@@ -34,6 +35,8 @@ MEMO_BYTES = 24 << 20
 _ENTRY = 104  # bytes of a dict entry beside its key and value
 #: Fixed: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed: the same for texts of Latin-1 characters, whose letters and numbers can be listed.
+_LATIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼½¾]+| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼½¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+"""
 _NONE = np.int64(1) << 40  # rank of a pair that no merge joins
 _loaded: dict[str, Merges] = {}
 
@@ -73,7 +76,7 @@ class Merges:
         for token in self.token:
             b = np.frombuffer(token, np.uint8)
             self.inside[b[:-1], b[1:]] = True
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.latin = regex.compile(PATTERN), re.compile(_LATIN)
         self.apart = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.counts: dict[str, int] = {}
         self.held = 0
@@ -138,15 +141,16 @@ class Merges:
 
     def split(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text in order, some at a time."""
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        pattern = self.latin if text.isascii() or max(text) <= "\xff" else self.pattern
+        if pattern is self.pattern and any(unicodedata.category(c) == "Cn" for c in set(text)):
             from tokenizers import pre_tokenizers  # of another Unicode version than the pattern's
 
             cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(text)
             yield [text[a:b] for _, (a, b) in cut]
         elif len(text) <= TOGETHER:
-            yield self.pattern.findall(text)
+            yield pattern.findall(text)
         else:
-            found = self.pattern.finditer(text)
+            found = pattern.finditer(text)
             while part := [m.group() for m in islice(found, TOGETHER)]:
                 yield part
 
