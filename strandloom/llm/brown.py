@@ -1,14 +1,17 @@
 """Language-model scores by Brown classes.
 
-Frequent words are units of their own; all others fall into units by their last character and
-length.  Exchange clustering moves units between classes while the likelihood of the class
-bigrams grows.  A word's probability is that of its class after the class before it, of its unit
-in the class, and, for a word that shares its unit, of the word in the unit; each factor is
-smoothed and sums to one.
+Exchange clustering moves units between classes while the likelihood of the class bigrams grows;
+units are the most frequent words, and what is left by last character and length.  Then every
+other known word is taken out of its shape and exchanged as well: Spark sums how often each word
+follows and precedes each class, and the word goes to the class in which that is most likely.
+
+A word's probability is that of its class after the class before it, and of the word in its
+class.  Words beyond the known ones share the place of their shape in a class, and have a
+probability in the shape; each factor is smoothed and sums to one.
 
 Counts cover all training documents.  The tables that reach the driver have a fixed bound: the
-KNOWN most frequent words, and the pair counts of UNITS units.  Words beyond them are counted
-and looked up by a join.
+KNOWN most frequent words with a class each, the pair counts of UNITS units, those of classes.  Words beyond
+them are counted and looked up by a join.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.memory import give_back, given_back
 from strandloom.llm.words import block_spans, span_hashes, text_blocks
 from strandloom.session import saved
 
@@ -55,6 +59,7 @@ def with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, n
 
 def vocabulary(training: DataFrame) -> DataFrame:
     """word (hash), shape and c, its count, of every word of the training texts."""
+    @given_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -116,13 +121,16 @@ class Lexicon:
         return np.where(known & (unit >= 0), unit, UNIT_WORDS + shapes)
 
 
-def pair_counts(training: DataFrame, lexicon) -> np.ndarray:
+def pair_counts(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """How often each unit follows each other one; a text follows an end."""
+    shared = training.sparkSession.sparkContext.broadcast(tuple(vars(lexicon).values()))
+
+    @given_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(UNITS * UNITS, np.int64)
+        counts, lexicon = np.zeros(UNITS * UNITS, np.int64), Lexicon(*shared.value)
         for batch in batches:
             for _, _, words, shapes, first in tokens(batch["text"]):
-                unit, _ = with_ends(lexicon.value.unit_of(words, shapes), first, END)
+                unit, _ = with_ends(lexicon.unit_of(words, shapes), first, END)
                 code = np.concatenate([[END], unit[:-1]]) * UNITS + unit
                 if len(code) > 200_000:
                     counts += np.bincount(code, minlength=UNITS * UNITS)
@@ -183,25 +191,117 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def transitions(m: np.ndarray) -> np.ndarray:
+    """Smoothed probabilities of classes after each class, from their pair counts."""
+    prior = (m.sum(axis=0) + 1) / (m.sum() + CLASSES)
+    return (m + PRIOR * prior) / (m.sum(axis=1, keepdims=True) + PRIOR)
+
+
+def contexts(training: DataFrame, lexicon: Lexicon, of: np.ndarray) -> DataFrame:
+    """word (its place in the lexicon), side and n: how often a word without a unit follows (side = a class)
+    and precedes (side = CLASSES + a class) each class."""
+    shared = training.sparkSession.sparkContext.broadcast((tuple(vars(lexicon).values()), of))
+
+    @given_back
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, of = Lexicon(*shared.value[0]), shared.value[1]
+        key, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for _, _, words, shapes, first in tokens(batch["text"]):
+                at, found = lexicon.look_up(words)
+                sought = found & (lexicon.units[at] < 0) if len(lexicon.units) else found
+                place, _ = with_ends(np.where(sought, at, -1), first, -1)
+                unit, _ = with_ends(lexicon.unit_of(words, shapes), first, END)
+                cls = of[unit]
+                here = np.flatnonzero(place >= 0)
+                code = place[here] * (2 * CLASSES)
+                before = np.where(here > 0, cls[here - 1], CLASSES - 1)
+                own, count = np.unique(np.concatenate([code + before, code + CLASSES + cls[here + 1]]), return_counts=True)
+                key, where = np.unique(np.concatenate([key, own]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, count]), len(key)).astype(np.int64)
+                if len(key) > _FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["code", "n"])
+                    key, n = key[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["code", "n"])
+
+    return (training.select("text").mapInArrow(partial, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+            .select(F.expr(f"code div {2 * CLASSES}").alias("word"), (F.col("code") % (2 * CLASSES)).cast("int").alias("side"), "n"))
+
+
+def best_class(n: np.ndarray, step: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class in which each row's context counts are most likely; never that of ends."""
+    total = n[:, :CLASSES].sum(axis=1, keepdims=True)
+    gain = n[:, :CLASSES] @ np.log(step) + n[:, CLASSES:] @ np.log(step).T - total * np.log(size + total)
+    gain[:, -1] = -np.inf
+    return gain.argmax(axis=1)
+
+
+def exchanged(training: DataFrame, lexicon: Lexicon, of: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The class of each known word: its unit's, or the best one for what stands around it."""
+    shared = training.sparkSession.sparkContext.broadcast((transitions(m), m.sum(axis=0)))
+
+    @given_back
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, size = shared.value
+        for batch in batches:
+            n = np.zeros((batch.num_rows, 2 * CLASSES))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(batch["around"].offsets.to_numpy()))
+            around = batch["around"].flatten()
+            n[row, around.field("side").to_numpy()] = around.field("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array(best_class(n, step, size).astype(np.int32))], names=["word", "class"])
+
+    around = contexts(training, lexicon, of).groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("around"))  # 2 * CLASSES at most
+    found = around.mapInArrow(choose, "word long, class int").toPandas()  # KNOWN rows at most
+    out = np.where(lexicon.units >= 0, of[np.maximum(lexicon.units, 0)], 0).astype(np.int16)
+    out[found["word"].to_numpy(np.int64)] = found["class"].to_numpy(np.int16)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     lexicon: Lexicon
-    of: np.ndarray  # class of each unit
+    classes: np.ndarray  # of each known word
+    of: np.ndarray  # class of each shape, then of the end
     step: np.ndarray  # log10 of class transitions
-    emit: np.ndarray  # log10 of units in their class
+    emit: np.ndarray  # log10 of each known word in its class
+    emit_shape: np.ndarray  # of shapes and the end in their classes
     shape_total: np.ndarray  # tokens + distinct words + 1 of each shape
 
+    def placed(self, words: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the lexicon, whether it is known, class and log10 in the class of each word."""
+        at, found = self.lexicon.look_up(words)
+        if not len(self.classes):
+            return at, found, self.of[shapes], self.emit_shape[shapes]
+        return at, found, np.where(found, self.classes[at], self.of[shapes]), np.where(found, self.emit[at], self.emit_shape[shapes])
+
+
+def class_counts(training: DataFrame, lexicon: Lexicon, classes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each class follows each other one, with a class for every known word."""
+    shared = training.sparkSession.sparkContext.broadcast((tuple(vars(lexicon).values()), classes, of))
+
+    @given_back
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, (classes, of) = Lexicon(*shared.value[0]), shared.value[1:]
+        counts = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for _, _, words, shapes, first in tokens(batch["text"]):
+                at, found = lexicon.look_up(words)
+                cls, _ = with_ends(np.where(found, classes[at], of[shapes]) if len(classes) else of[shapes], first, CLASSES - 1)
+                counts += np.bincount(np.concatenate([[CLASSES - 1], cls[:-1]]).astype(np.int64) * CLASSES + cls, minlength=CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["pair", "n"])
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in training.select("text").mapInArrow(partial, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(CLASSES, CLASSES)
 
-def _model(lexicon: Lexicon, pairs: np.ndarray, shape_total: np.ndarray) -> Model:
-    of = exchange(pairs)
-    member = np.eye(CLASSES)[of]
-    m = member.T @ pairs @ member
-    prior = (m.sum(axis=0) + 1) / (m.sum() + CLASSES)
-    step = (m + PRIOR * prior) / (m.sum(axis=1, keepdims=True) + PRIOR)
-    size = pairs.sum(axis=0)
-    in_class = np.bincount(of, size, CLASSES) + ADD * np.bincount(of, minlength=CLASSES)
-    emit = (size + ADD) / in_class[of]
-    return Model(lexicon, of, np.log10(step), np.log10(emit), shape_total)
+
+def model_of(lexicon: Lexicon, classes: np.ndarray, of: np.ndarray, m: np.ndarray, shape_size: np.ndarray, shape_total: np.ndarray) -> Model:
+    """``of``: classes of shapes and the end; ``m``: class pair counts; ``shape_size``: training tokens of words not known, by shape."""
+    size = np.append(shape_size, lexicon.docs)
+    in_class = (np.bincount(classes, lexicon.counts + ADD, CLASSES) if len(classes) else np.zeros(CLASSES)) + np.bincount(of, size + ADD, CLASSES)
+    emit = np.log10((lexicon.counts + ADD) / in_class[classes]) if len(classes) else np.empty(0)
+    return Model(lexicon, classes, of, np.log10(transitions(m)), emit, np.log10((size + ADD) / in_class[of]), shape_total)
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -226,36 +326,38 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     frequent = np.flatnonzero(counts >= unit_from)
     units[frequent] = np.arange(len(frequent))
     lexicon = Lexicon(known["word"].to_numpy(np.int64).view(np.uint64)[order], counts, units, all_n + n_docs, all_v + (n_docs > 0), n_docs)
-    shapes = words.where(F.col("c") < unit_from).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    shape_total = np.ones(SHAPES)
+    shapes = words.where(F.col("c") < known_from).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    shape_size, shape_total = np.zeros(SHAPES), np.ones(SHAPES)
     for r in shapes:
+        shape_size[r["shape"]] += r["c"]
         shape_total[r["shape"]] += r["c"] + r["v"]
-    context = docs.sparkSession.sparkContext
-    pairs = pair_counts(training, context.broadcast(lexicon))
-    shared = context.broadcast(_model(lexicon, pairs, shape_total))
+    pairs = pair_counts(training, lexicon)
+    of = exchange(pairs)
+    member = np.eye(CLASSES)[of]
+    classes = exchanged(training, lexicon, of, member.T @ pairs @ member)
+    of = of[UNIT_WORDS:]  # shapes and the end
+    model = model_of(lexicon, classes, of, class_counts(training, lexicon, classes, of), shape_size, shape_total)
+    give_back()  # the driver's tables
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(vars(lexicon).values()), *list(vars(model).values())[1:]))
     base = float(np.log10(lexicon.n + lexicon.v + 1))
 
+    @given_back
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = shared.value, set()
-        lex = model.lexicon
-        log_shape = np.log10(model.shape_total)
+        lex, seen = Lexicon(*shared.value[0]), set()
+        model = Model(lex, *shared.value[1:])
         log_end = np.log10(lex.docs + 1) - base
         for batch in batches:
             th, out = batch["th"].to_pylist(), []
             for at, to, hashes, shape, first in tokens(batch["text"]):
                 n = to - at
-                index, found = lex.look_up(hashes)
+                index, found, cls, emit = model.placed(hashes, shape)
                 count = lex.counts[index] * found if len(lex.counts) else np.zeros(len(hashes), np.int64)
-                unit = lex.unit_of(hashes, shape)
-                own = unit < UNIT_WORDS
                 row = np.repeat(np.arange(n), np.diff(first))
                 log_count = np.log10(count + 1.0)
                 plain = np.bincount(row, np.where(found, log_count - base, 0), n) + log_end
-                inside = np.where(found & ~own, log_count - log_shape[np.where(own, 0, shape)], 0)
-                units_, owner = with_ends(unit, first, END)
-                cls = model.of[units_]
-                steps = model.step[np.concatenate([[CLASSES - 1], cls[:-1]]), cls] + model.emit[units_]
-                total = np.bincount(owner, steps, n) + np.bincount(row, inside, n)
+                cls, owner = with_ends(cls.astype(np.int64), first, CLASSES - 1)
+                emit, _ = with_ends(emit, first, model.emit_shape[-1])
+                total = np.bincount(owner, model.step[np.concatenate([[CLASSES - 1], cls[:-1]]), cls] + emit, n)
                 n_known = np.bincount(row, found, n).astype(np.int64) + (lex.docs > 0)
                 # words that only the join knows, once for each text of a task
                 rare = np.flatnonzero(~found)

@@ -141,15 +141,79 @@ def test_words_beyond_the_known_ones_are_joined(docs, monkeypatch):
     assert [w[:4] for w in want] == [g[:4] for g in lexicon_limited]
 
 
-def test_probabilities_sum_to_one(spark):
-    texts = ["the cat sat on the mat.", "the dog sat, on a mat", "a cat, a dog and the rat."] * 4
-    rng = np.random.default_rng(0)
-    pairs = np.zeros((brown.UNITS, brown.UNITS))
-    pairs[np.ix_([0, 1, 2, 5, 900, brown.END], [0, 1, 2, 5, 900, brown.END])] = rng.integers(0, 9, (6, 6))
-    model = brown._model(brown.Lexicon(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 1, 1, 1), pairs, np.ones(127))
-    assert np.allclose((10 ** model.step).sum(axis=1), 1)
-    assert np.allclose(np.bincount(model.of, 10 ** model.emit), 1)
-    assert len(list(brown.tokens(pa.array(texts)))) == 1
+def plain_model(training, classes, shapes, known):
+    """log10 of a text by a class model that is written out: ``classes`` of known words and of shapes."""
+    count, ends = Counter(w for t in training for w in t), len(training)
+    size, total = Counter({s: 0 for s in range(brown.SHAPES)}), Counter({s: 1 for s in range(brown.SHAPES)})
+    for w, c in count.items():
+        if w not in known:
+            size[shapes[w]] += c
+            total[shapes[w]] += c + 1
+    cls = lambda w: classes[w] if w in known else classes[shapes[w]]
+    end, k = brown.CLASSES - 1, brown.CLASSES
+    follow, into = Counter(), Counter()
+    for t in training:
+        path = [end, *map(cls, t), end]
+        follow.update(zip(path, path[1:]))
+    for (_, b), n in follow.items():
+        into[b] += n
+    out_of, tokens = Counter(), sum(follow.values())
+    for (a, _), n in follow.items():
+        out_of[a] += n
+    inside = Counter({end: ends + brown.ADD})
+    for w in known:
+        inside[classes[w]] += count[w] + brown.ADD
+    for s in range(brown.SHAPES):
+        inside[classes[s]] += size[s] + brown.ADD
+
+    def log_p(t):
+        path, out = [end, *map(cls, t), end], 0.0
+        for a, b in zip(path, path[1:]):
+            out += math.log10((follow[a, b] + brown.PRIOR * (into[b] + 1) / (tokens + k)) / (out_of[a] + brown.PRIOR))
+        for w in t:
+            if w in known:
+                out += math.log10((count[w] + brown.ADD) / inside[classes[w]])
+            else:
+                out += math.log10((size[shapes[w]] + brown.ADD) / inside[classes[shapes[w]]]) + math.log10((count[w] + 1) / total[shapes[w]])
+        return out + math.log10((ends + brown.ADD) / inside[end])
+
+    return log_p
+
+
+@pytest.mark.parametrize("most", [1 << 18, 12])
+def test_scores_equal_a_plain_model(docs, corpus, monkeypatch, most):
+    monkeypatch.setattr(brown, "KNOWN", most)
+    monkeypatch.setattr(brown, "UNIT_WORDS", 5)
+    monkeypatch.setattr(brown, "UNITS", 5 + brown.SHAPES + 1)
+    monkeypatch.setattr(brown, "END", 5 + brown.SHAPES)
+    models = []
+    keep = brown.model_of
+    monkeypatch.setattr(brown, "model_of", lambda *a: models.append(keep(*a)) or models[-1])
+    rows = brown.score(docs, language.held_out_by(7, 2)).collect()
+    model = models[0]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    every = sorted({w for _, t in corpus for w in words(t)})
+    (_, _, hashes, shape, _), = brown.tokens(pa.array([" ".join(every)]))
+    place, found = model.lexicon.look_up(hashes)
+    known = {w for w, f in zip(every, found) if f}
+    assert len(known) <= most and (most > 12 or len(known) < len(every))
+    classes = {w: int(model.classes[p]) for w, p, f in zip(every, place, found) if f} | {s: int(model.of[s]) for s in range(brown.SHAPES)}
+    log_p = plain_model([words(t) for d, t in corpus if not held(d)], classes, dict(zip(every, shape.tolist())), known)
+    want = Counter((str(d), round(log_p(words(t)), 4)) for d, t in corpus)
+    got = Counter((str(r["doc_id"]), round(r["score"], 4)) for r in rows)
+    assert all(any(abs(g - w) < 1e-3 for e, w in want if e == d) for d, g in got) and sum(got.values()) == sum(want.values())
+    # words of a class, shapes and the end share its mass
+    mass = np.bincount(model.of, 10 ** model.emit_shape, brown.CLASSES) + np.bincount(model.classes, 10 ** model.emit, brown.CLASSES)
+    assert np.allclose(mass[mass > 0], 1) and np.allclose((10 ** model.step).sum(axis=1), 1)
+
+
+def test_words_go_to_the_class_of_their_contexts():
+    rng = np.random.default_rng(1)
+    step = brown.transitions(rng.integers(0, 50, (brown.CLASSES, brown.CLASSES)).astype(float))
+    size, truth = np.full(brown.CLASSES, 100.0), rng.integers(0, brown.CLASSES - 1, 30)
+    n = np.concatenate([rng.multinomial(3000, step[:, c] / step[:, c].sum()) for c in truth]).reshape(30, -1)
+    m = np.stack([rng.multinomial(3000, step[c]) for c in truth])
+    assert (brown.best_class(np.hstack([n, m]).astype(float), step, size) == truth).mean() > 0.9
 
 
 def test_exchange_only_raises_the_likelihood():
