@@ -33,6 +33,8 @@ SHAPES, UNITS, KNOWN = 127, 1024, 1 << 18
 END = UNITS - 1
 UNIT_WORDS = UNITS - SHAPES - 1
 CLASSES, ROUNDS = 64, 6
+#: How often a word must occur to have a class of its own contexts; rarer ones go by their shape.
+EVIDENCE = 8
 #: Weight of the class frequencies in a transition, and what is added to each count of a unit.
 PRIOR, ADD = 20.0, 0.5
 _FLUSH = 2_000_000
@@ -209,7 +211,7 @@ def contexts(training: DataFrame, lexicon: Lexicon, of: np.ndarray) -> DataFrame
         for batch in batches:
             for _, _, words, shapes, first in tokens(batch["text"]):
                 at, found = lexicon.look_up(words)
-                sought = found & (lexicon.units[at] < 0) if len(lexicon.units) else found
+                sought = found & (lexicon.units[at] < 0) & (lexicon.counts[at] >= EVIDENCE) if len(lexicon.units) else found
                 place, _ = with_ends(np.where(sought, at, -1), first, -1)
                 unit, _ = with_ends(lexicon.unit_of(words, shapes), first, END)
                 cls = of[unit]
@@ -252,27 +254,29 @@ def exchanged(training: DataFrame, lexicon: Lexicon, of: np.ndarray, m: np.ndarr
 
     around = contexts(training, lexicon, of).groupBy("word").agg(F.collect_list(F.struct("side", "n")).alias("around"))  # 2 * CLASSES at most
     found = around.mapInArrow(choose, "word long, class int").toPandas()  # KNOWN rows at most
-    out = np.where(lexicon.units >= 0, of[np.maximum(lexicon.units, 0)], 0).astype(np.int16)
+    out = np.where(lexicon.units >= 0, of[np.maximum(lexicon.units, 0)], -1).astype(np.int16)
     out[found["word"].to_numpy(np.int64)] = found["class"].to_numpy(np.int16)
+    out[lexicon.counts < EVIDENCE] = -1
     return out
 
 
 @dataclass(frozen=True)
 class Model:
     lexicon: Lexicon
-    classes: np.ndarray  # of each known word
+    classes: np.ndarray  # of each known word, -1 where it has too few contexts
     of: np.ndarray  # class of each shape, then of the end
     step: np.ndarray  # log10 of class transitions
     emit: np.ndarray  # log10 of each known word in its class
     emit_shape: np.ndarray  # of shapes and the end in their classes
-    shape_total: np.ndarray  # tokens + distinct words + 1 of each shape
+    shape_total: np.ndarray  # of each shape: tokens + distinct words without a class + 1
 
-    def placed(self, words: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place in the lexicon, whether it is known, class and log10 in the class of each word."""
+    def placed(self, words: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place in the lexicon, whether it is known, whether it has a class of its own, class and log10 in the class of each word."""
         at, found = self.lexicon.look_up(words)
         if not len(self.classes):
-            return at, found, self.of[shapes], self.emit_shape[shapes]
-        return at, found, np.where(found, self.classes[at], self.of[shapes]), np.where(found, self.emit[at], self.emit_shape[shapes])
+            return at, found, found, self.of[shapes], self.emit_shape[shapes]
+        own = found & (self.classes[at] >= 0)
+        return at, found, own, np.where(own, self.classes[at], self.of[shapes]), np.where(own, self.emit[at], self.emit_shape[shapes])
 
 
 def class_counts(training: DataFrame, lexicon: Lexicon, classes: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -286,7 +290,8 @@ def class_counts(training: DataFrame, lexicon: Lexicon, classes: np.ndarray, of:
         for batch in batches:
             for _, _, words, shapes, first in tokens(batch["text"]):
                 at, found = lexicon.look_up(words)
-                cls, _ = with_ends(np.where(found, classes[at], of[shapes]) if len(classes) else of[shapes], first, CLASSES - 1)
+                own = found & (classes[at] >= 0) if len(classes) else found
+                cls, _ = with_ends(np.where(own, classes[at], of[shapes]) if len(classes) else of[shapes], first, CLASSES - 1)
                 counts += np.bincount(np.concatenate([[CLASSES - 1], cls[:-1]]).astype(np.int64) * CLASSES + cls, minlength=CLASSES * CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["pair", "n"])
 
@@ -297,9 +302,10 @@ def class_counts(training: DataFrame, lexicon: Lexicon, classes: np.ndarray, of:
 
 
 def model_of(lexicon: Lexicon, classes: np.ndarray, of: np.ndarray, m: np.ndarray, shape_size: np.ndarray, shape_total: np.ndarray) -> Model:
-    """``of``: classes of shapes and the end; ``m``: class pair counts; ``shape_size``: training tokens of words not known, by shape."""
+    """``of``: classes of shapes and the end; ``m``: class pair counts; ``shape_size``: training tokens of words without a class, by shape."""
     size = np.append(shape_size, lexicon.docs)
-    in_class = (np.bincount(classes, lexicon.counts + ADD, CLASSES) if len(classes) else np.zeros(CLASSES)) + np.bincount(of, size + ADD, CLASSES)
+    own = classes >= 0
+    in_class = np.bincount(classes[own], lexicon.counts[own] + ADD, CLASSES) + np.bincount(of, size + ADD, CLASSES)
     emit = np.log10((lexicon.counts + ADD) / in_class[classes]) if len(classes) else np.empty(0)
     return Model(lexicon, classes, of, np.log10(transitions(m)), emit, np.log10((size + ADD) / in_class[of]), shape_total)
 
@@ -326,7 +332,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     frequent = np.flatnonzero(counts >= unit_from)
     units[frequent] = np.arange(len(frequent))
     lexicon = Lexicon(known["word"].to_numpy(np.int64).view(np.uint64)[order], counts, units, all_n + n_docs, all_v + (n_docs > 0), n_docs)
-    shapes = words.where(F.col("c") < known_from).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    # a handful of contexts says too little of a word's class
+    shapes = words.where(F.col("c") < max(known_from, EVIDENCE)).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     shape_size, shape_total = np.zeros(SHAPES), np.ones(SHAPES)
     for r in shapes:
         shape_size[r["shape"]] += r["c"]
@@ -345,17 +352,18 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, seen = Lexicon(*shared.value[0]), set()
         model = Model(lex, *shared.value[1:])
-        log_end = np.log10(lex.docs + 1) - base
+        log_shape, log_end = np.log10(model.shape_total), np.log10(lex.docs + 1) - base
         for batch in batches:
             th, out = batch["th"].to_pylist(), []
             for at, to, hashes, shape, first in tokens(batch["text"]):
                 n = to - at
-                index, found, cls, emit = model.placed(hashes, shape)
+                index, found, own, cls, emit = model.placed(hashes, shape)
                 count = lex.counts[index] * found if len(lex.counts) else np.zeros(len(hashes), np.int64)
                 row = np.repeat(np.arange(n), np.diff(first))
                 log_count = np.log10(count + 1.0)
                 plain = np.bincount(row, np.where(found, log_count - base, 0), n) + log_end
                 cls, owner = with_ends(cls.astype(np.int64), first, CLASSES - 1)
+                emit = np.where(found & ~own, emit + log_count - log_shape[shape], emit)
                 emit, _ = with_ends(emit, first, model.emit_shape[-1])
                 total = np.bincount(owner, model.step[np.concatenate([[CLASSES - 1], cls[:-1]]), cls] + emit, n)
                 n_known = np.bincount(row, found, n).astype(np.int64) + (lex.docs > 0)
