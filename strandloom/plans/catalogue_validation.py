@@ -89,3 +89,53 @@ def _(spark, sf):
     SELECT qname, '+' AS strand, k AS idx, CAST(q1 AS BIGINT) AS pos, deleted AS length FROM dl UNION ALL SELECT qname, '-', nd - 1 - k, CAST(total - q1 AS BIGINT), deleted FROM dl""")
 def _(spark, sf):
     return V.deletion_positions(pieces_of(spark, sf)).select("qname", "strand", "idx", *big("pos", "length"))
+
+
+# one indel in the middle of two segments of three
+SPLIT = SEGMENTS + """,
+  sn AS (SELECT qname, strand, cluster, seg, q0, q1, r0, r1 - CASE WHEN seg % 3 = 1 THEN 7 ELSE 0 END + CASE WHEN seg % 3 = 2 THEN 5 ELSE 0 END AS r1, q0 + len // 2 AS ipos,
+    CASE WHEN seg % 3 = 1 THEN 7 ELSE 0 END AS ins, CASE WHEN seg % 3 = 2 THEN 5 ELSE 0 END AS del, seg % 3 > 0 AS has FROM sc),
+  qp AS (SELECT qname, strand, cluster, q0 AS p FROM sn UNION SELECT qname, strand, cluster, q1 FROM sn),
+  rp AS (SELECT qname, strand, cluster, r0 AS p FROM sn UNION SELECT qname, strand, cluster, r1 FROM sn),
+  rn AS (SELECT *, 0 AS run, q0 AS a, CASE WHEN has THEN ipos ELSE q1 END AS b, r0 - q0 AS d FROM sn UNION ALL SELECT *, 1, ipos + ins, q1, r0 - q0 - ins + del FROM sn WHERE has),
+  ct AS (SELECT rn.qname, rn.strand, rn.cluster, rn.seg, run, p, d FROM rn JOIN qp USING (qname, strand, cluster) WHERE p > a AND p < b UNION
+    SELECT rn.qname, rn.strand, rn.cluster, rn.seg, run, p - d, d FROM rn JOIN rp USING (qname, strand, cluster) WHERE p > a + d AND p < b + d),
+  gs AS (SELECT sn.qname, sn.strand, sn.cluster, seg FROM sn JOIN qp USING (qname, strand, cluster) WHERE has AND p BETWEEN ipos AND ipos + ins AND p > q0 AND p < q1 UNION
+    SELECT sn.qname, sn.strand, sn.cluster, seg FROM sn JOIN rp USING (qname, strand, cluster) WHERE has AND p BETWEEN ipos + r0 - q0 AND ipos + r0 - q0 + del AND p > r0 AND p < r1),
+  mk AS (SELECT qname, strand, cluster, seg, run * 2 AS o, p AS lq, p + d AS lr, p AS rq, p + d AS rr FROM ct UNION ALL
+    SELECT sn.qname, sn.strand, sn.cluster, sn.seg, 1, ipos, ipos + r0 - q0, ipos + ins, ipos + r0 - q0 + del FROM sn JOIN gs USING (qname, strand, cluster, seg) UNION ALL
+    SELECT qname, strand, cluster, seg, 9, q1, r1, q1, r1 FROM sn),
+  sp AS (SELECT *, lag(rq) OVER w AS pq, lag(rr) OVER w AS pr, row_number() OVER w - 1 AS sub FROM mk WINDOW w AS (PARTITION BY qname, strand, cluster, seg ORDER BY o, lq)),
+  su AS (SELECT sp.qname, sp.strand, sp.cluster, sp.seg, sub, coalesce(pq, q0) AS q0, lq AS q1, coalesce(pr, r0) AS r0, lr AS r1, ipos, ins, del, has, gs.seg IS NOT NULL AS gone
+    FROM sp JOIN sn USING (qname, strand, cluster, seg) LEFT JOIN gs USING (qname, strand, cluster, seg))"""
+
+
+@query("split_segments", SPLIT + """ SELECT qname, strand, cluster, seg, sub, CAST(q0 AS BIGINT) AS q0, CAST(q1 AS BIGINT) AS q1, CAST(r0 AS BIGINT) AS r0, CAST(r1 AS BIGINT) AS r1,
+    CASE WHEN has AND NOT gone AND ipos BETWEEN q0 AND q1 - ins THEN 1 ELSE 0 END AS n_indels,
+    CASE WHEN has AND NOT gone AND ipos BETWEEN q0 AND q1 - ins THEN ins + del ELSE 0 END AS indel_bases FROM su WHERE q1 > q0 AND r1 > r0""")
+def _(spark, sf):
+    from strandloom.operators.interval import segment_boundaries
+    from strandloom.session import saved
+    kind = F.col("seg") % 3
+    inserted, deleted = F.when(kind == 1, 7).otherwise(0).cast("long"), F.when(kind == 2, 5).otherwise(0).cast("long")
+    rows = V.segment_clusters(segments_of(spark, sf), ["qname", "strand"], 250)
+    rows = saved(rows.withColumns({"inserted": inserted, "deleted": deleted, "at": F.expr("q0 + len div 2")}).withColumn("r1", F.col("r1") - F.col("inserted") + F.col("deleted")))
+    indels = rows.where("seg % 3 > 0").select(*PART, "seg", "at", "inserted", "deleted")
+    points = [segment_boundaries(rows, PART, f"{c}0", f"{c}1").withColumnRenamed("boundary", "point") for c in "qr"]
+    return V.split_segments(rows.select(*PART, "seg", "q0", "q1", "r0", "r1"), indels, *points, PART).select(
+        *PART, "seg", *big("sub"), "q0", "q1", "r0", "r1", *big("n_indels", "indel_bases"))
+
+
+@query("query_block_positions", PIECES + """, ps AS (SELECT qname, '+' AS strand, (p * 7 + s) % CAST(total AS BIGINT) AS pos FROM pt UNION SELECT qname, '-', (p * 11 + s) % CAST(total AS BIGINT) FROM pt),
+  bl AS (SELECT qname, '+' AS strand, idx, q1 - length AS q0, q1 FROM pt UNION ALL SELECT qname, '-', n_all - 1 - idx, total - q1, total - q1 + length FROM pt)
+  SELECT ps.qname, ps.strand, ps.pos, bl.idx, CAST(ps.pos - bl.q0 AS BIGINT) AS "offset", ps.pos AS back FROM ps JOIN bl ON bl.qname = ps.qname AND bl.strand = ps.strand AND ps.pos >= bl.q0 AND ps.pos < bl.q1""")
+def _(spark, sf):
+    from pyspark.sql import Window
+    pieces = pieces_of(spark, sf)
+    blocks = V.query_blocks(pieces)
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    total = F.sum(50 + F.col("p") % 400).over(Window.partitionBy("qname"))
+    pos = lambda strand, k: line.select("qname", F.lit(strand).alias("strand"), ((F.col("p") * k + F.col("s")) % total).alias("pos"))
+    found = V.block_positions(pos("+", 7).unionByName(pos("-", 11)).distinct(), blocks)
+    back = V.query_positions(found.select("qname", "strand", "idx", "offset", F.col("pos").alias("was")), blocks)
+    return back.select("qname", "strand", F.col("was").alias("pos"), "idx", "offset", F.col("pos").alias("back"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.operators import ordered as O
+from strandloom.operators.interval import point_join
 from strandloom.session import saved
 
 #: Fixed: alignment scores, and when a chain counts as reaching over a flank.
@@ -205,3 +206,86 @@ def flank_gain(first_q0: Column, first_r0: Column, last_q1: Column, last_r1: Col
     left = F.when((first_r0 <= FLANK_SLOP) & (left_flank - first_q0 >= FLANK_LEAST), first_q0).otherwise(0)
     right = F.when((contig_length - last_r1 <= FLANK_SLOP) & (right_flank - rest >= FLANK_LEAST), rest).otherwise(0)
     return left + right
+
+
+# --- splitting ------------------------------------------------------------------------------
+
+def match_runs(segments: DataFrame, indels: DataFrame, part: Sequence[str]) -> DataFrame:
+    """part, seg, run, q0, q1, r0, r1 of the stretches between a segment's indels, and the indel after each.
+
+    ``indels``: part, seg, at, inserted, deleted (query position, bases on one side).  The indel
+    after a run is in ``inserted`` and ``deleted``, null after the last one.
+    """
+    key = [*part, "seg"]
+    last = segments.select(*key, F.col("q1").alias("at"), F.lit(None).cast("long").alias("inserted"), F.lit(None).cast("long").alias("deleted"), F.lit(1).alias("end"))
+    steps = last.unionByName(indels.select(*key, "at", "inserted", "deleted", F.lit(0).alias("end")))
+    # a window runs inside one segment, whose indels are those of its CIGAR
+    order = Window.partitionBy(*key).orderBy("end", "at", "inserted")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    put = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    steps = steps.select(*key, "at", "inserted", "deleted", (F.row_number().over(order) - 1).alias("run"),
+                         F.lag(F.col("at") + F.col("inserted")).over(order).alias("q0"), (put("deleted") - put("inserted")).alias("shift"))
+    named = segments.select(*key, F.col("q0").alias("s_q0"), F.col("r0").alias("s_r0"))
+    runs = steps.join(named, key).withColumn("q0", F.coalesce("q0", "s_q0"))
+    ahead = F.col("s_r0") - F.col("s_q0") + F.col("shift")
+    return runs.select(*key, "run", "q0", F.col("at").alias("q1"), (F.col("q0") + ahead).alias("r0"), (F.col("at") + ahead).alias("r1"), "inserted", "deleted")
+
+
+def split_segments(segments: DataFrame, indels: DataFrame, query_points: DataFrame, ref_points: DataFrame, part: Sequence[str]) -> DataFrame:
+    """part, seg, sub, q0, q1, r0, r1, n_indels, indel_bases: segments cut at points strictly inside them.
+
+    ``query_points`` and ``ref_points`` have part and ``point``.  A point inside a run of matches cuts
+    there on both sides; one at or inside an indel cuts the segment at the indel, which is then in neither
+    part.  Parts without bases on one side are left out.
+    """
+    part = list(part)
+    key = [*part, "seg"]
+    runs = saved(match_runs(segments, indels, part))
+    bounds = segments.select(*key, F.col("q0").alias("s_q0"), F.col("q1").alias("s_q1"), F.col("r0").alias("s_r0"), F.col("r1").alias("s_r1"))
+    points = {"q": saved(query_points.select(*part, "point").distinct()), "r": saved(ref_points.select(*part, "point").distinct())}
+    cuts, hit = None, None
+    for side, grown in (("q", "inserted"), ("r", "deleted")):
+        inner = point_join(points[side], runs, part, "point", (f"{side}0", f"{side}1")).where(F.col("point") > F.col(f"{side}0"))
+        at = F.col("point") - F.col(f"{side}0")
+        found = inner.select(*key, "run", (F.col("q0") + at).alias("lq"), (F.col("r0") + at).alias("lr"))
+        cuts = found if cuts is None else cuts.unionByName(found)
+        gaps = runs.where(F.col("inserted").isNotNull()).select(*key, "run", F.col(f"{side}1").alias("g0"), (F.col(f"{side}1") + F.col(grown) + 1).alias("g1"))
+        near = point_join(points[side], gaps, part, "point", ("g0", "g1")).join(bounds, key)
+        near = near.where((F.col("point") > F.col(f"s_{side}0")) & (F.col("point") < F.col(f"s_{side}1"))).select(*key, "run")
+        hit = near if hit is None else hit.unionByName(near)
+    cuts = cuts.distinct().select(*key, "run", "lq", "lr", F.col("lq").alias("rq"), F.col("lr").alias("rr"), F.lit(True).alias("cut"),
+                                  F.lit(0).alias("n"), F.lit(0).cast("long").alias("bases"))
+    split = runs.where(F.col("inserted").isNotNull()).join(hit.distinct().withColumn("cut", F.lit(True)), [*key, "run"], "left").select(
+        *key, "run", F.col("q1").alias("lq"), F.col("r1").alias("lr"), (F.col("q1") + F.col("inserted")).alias("rq"), (F.col("r1") + F.col("deleted")).alias("rr"),
+        F.coalesce("cut", F.lit(False)).alias("cut"), F.when(F.col("cut"), 0).otherwise(1).alias("n"),
+        F.when(F.col("cut"), 0).otherwise(F.col("inserted") + F.col("deleted")).cast("long").alias("bases"))
+    ends = runs.where(F.col("inserted").isNull()).select(*key, "run", F.col("q1").alias("lq"), F.col("r1").alias("lr"), F.col("q1").alias("rq"), F.col("r1").alias("rr"),
+                                                         F.lit(True).alias("cut"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bases"))
+    # cuts of a run lie before what ends the run
+    order = Window.partitionBy(*key).orderBy("run", "lq", "rq")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    marks = cuts.unionByName(split).unionByName(ends).withColumns({"n_upto": F.sum("n").over(upto), "bases_upto": F.sum("bases").over(upto)}).where("cut")
+    marks = marks.withColumns({c: F.lag(v).over(order) for c, v in (("q0", "rq"), ("r0", "rr"), ("n_before", "n_upto"), ("bases_before", "bases_upto"))})
+    marks = marks.withColumn("sub", F.row_number().over(order) - 1).join(bounds, key)
+    return marks.select(*key, "sub", F.coalesce("q0", "s_q0").alias("q0"), F.col("lq").alias("q1"), F.coalesce("r0", "s_r0").alias("r0"), F.col("lr").alias("r1"),
+                        (F.col("n_upto") - F.coalesce("n_before", F.lit(0))).alias("n_indels"),
+                        (F.col("bases_upto") - F.coalesce("bases_before", F.lit(0))).alias("indel_bases")).where("q1 > q0 and r1 > r0")
+
+
+# --- coordinates ----------------------------------------------------------------------------
+
+def block_positions(positions: DataFrame, blocks: DataFrame, key: str = "qname") -> DataFrame:
+    """``positions`` (key, strand, pos, ...) with the block ``idx`` that holds each, and ``offset`` in it.
+
+    ``blocks`` are those of ``query_blocks``.  Both strands count along the read direction of the
+    strand, so ``offset`` of a reverse position counts from the block's other end.
+    """
+    named = blocks.select(key, "strand", "idx", F.col("q0").alias("b_q0"), F.col("q1").alias("b_q1"))
+    return point_join(positions, named, [key, "strand"], "pos", ("b_q0", "b_q1")).select(
+        *positions.columns, "idx", (F.col("pos") - F.col("b_q0")).alias("offset"))
+
+
+def query_positions(offsets: DataFrame, blocks: DataFrame, key: str = "qname") -> DataFrame:
+    """The way back: ``pos`` of (key, strand, idx, offset)."""
+    named = blocks.select(key, "strand", "idx", "q0")
+    return offsets.join(named, [key, "strand", "idx"]).select(*offsets.columns, (F.col("q0") + F.col("offset")).alias("pos"))
