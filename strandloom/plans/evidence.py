@@ -84,18 +84,14 @@ def with_splits(reads: DataFrame, cfg: CallConfig) -> DataFrame:
 
 
 def pair_numbers(reads: DataFrame, keys: list[str]) -> DataFrame:
-    """Running pair number inside each template name.
+    """Running pair number inside each of the names that more than two reads have.
 
-    Names seen at most twice are pair 0 without any ordering.  Names repeated more often (a
-    malformed header can give one name to a third of the file) are ordered by coordinate in
-    bounded bins, so no task holds all rows of a name.
+    A malformed header can give one name to a third of the file, so reads are ordered by
+    coordinate in bounded bins and no task holds all rows of a name.
     """
-    crowded = reads.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 2").select(*keys)
-    normal = reads.join(crowded, keys, "left_anti").withColumn("pair_no", F.lit(0).cast("bigint"))
-    busy = reads.join(crowded, keys, "left_semi")
     plain = [f.name for f in reads.schema.fields if f.dataType.typeName() not in ("map", "array")]
     # equal rows are folded with a count and unfolded again by rank
-    busy = busy.withColumn("_k", F.struct("pos", F.xxhash64(*plain).alias("h")))
+    busy = reads.withColumn("_k", F.struct("pos", F.xxhash64(*plain).alias("h")))
     others = [c for c in reads.columns if c not in keys]
     dense = busy.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_c"),
                                           *[F.first(c).alias(c) for c in others])
@@ -103,8 +99,7 @@ def pair_numbers(reads: DataFrame, keys: list[str]) -> DataFrame:
                      bin_expr=F.floor(F.col("_k.pos") / 4096))
     numbered = ranked.withColumn("_rank", F.explode(F.sequence(
         F.col("_before"), F.col("_before") + F.col("_c") - 1)))
-    numbered = numbered.withColumn("pair_no", F.floor(F.col("_rank") / 2))
-    return normal.unionByName(numbered.select(*normal.columns))
+    return numbered.select(*reads.columns, F.floor(F.col("_rank") / 2).alias("pair_no"))
 
 
 def mates(reads: DataFrame, keys: tuple[str, ...] = ("lib", "rname", "qname"),
@@ -112,7 +107,8 @@ def mates(reads: DataFrame, keys: tuple[str, ...] = ("lib", "rname", "qname"),
     """One row per template and contig: ``a`` (earlier read) and ``b`` (later read or NULL).
 
     Reads whose mate is unmapped or on another contig are unpaired from the start and skip
-    the shuffle.
+    the shuffle.  All others are grouped by name once; only names of more than two reads are
+    looked at again.
     """
     fields = fields or READ_FIELDS
     keys = list(keys)
@@ -121,12 +117,17 @@ def mates(reads: DataFrame, keys: tuple[str, ...] = ("lib", "rname", "qname"),
     mate_cols = ["mrname", "mpos"]
     solo = (reads.where(alone)
             .select(*keys, packed.alias("a"), F.lit(None).alias("b"), *mate_cols))
-    waiting = pair_numbers(reads.where(~alone), keys)
-    grouped = (waiting.select(*keys, "pair_no", *mate_cols, packed)
-               .groupBy(*keys, "pair_no")
-               .agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count(F.lit(1)).alias("_n"),
-                    F.min("mrname").alias("mrname"), F.min_by("mpos", "r").alias("mpos")))
-    joined = grouped.select(*keys, "a", F.when(F.col("_n") > 1, F.col("b")).alias("b"), *mate_cols)
+    waiting = reads.where(~alone)
+
+    def grouped(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count(F.lit(1)).alias("_n"),
+                                     F.min("mrname").alias("mrname"), F.min_by("mpos", "r").alias("mpos"))
+
+    names = grouped(waiting.select(*keys, *mate_cols, packed), *keys)
+    busy = pair_numbers(waiting.join(names.where("_n > 2").select(*keys), keys, "left_semi"), keys)
+    pairs = names.where("_n <= 2").unionByName(
+        grouped(busy.select(*keys, "pair_no", *mate_cols, packed), *keys, "pair_no").select(*names.columns))
+    joined = pairs.select(*keys, "a", F.when(F.col("_n") > 1, F.col("b")).alias("b"), *mate_cols)
     return joined.unionByName(solo.withColumn("b", F.lit(None).cast(joined.schema["b"].dataType)))
 
 
