@@ -139,3 +139,73 @@ def _(spark, sf):
     found = V.block_positions(pos("+", 7).unionByName(pos("-", 11)).distinct(), blocks)
     back = V.query_positions(found.select("qname", "strand", "idx", "offset", F.col("pos").alias("was")), blocks)
     return back.select("qname", "strand", F.col("was").alias("pos"), "idx", "offset", F.col("pos").alias("back"))
+
+
+# gaps anywhere along the query, some over all of its inner blocks
+GAP_ERRORS = PIECES + """, dl AS (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY q1) - 1 AS k FROM pt WHERE deleted > 0),
+  gp AS (SELECT DISTINCT qname, p * 100 + s AS g, CASE WHEN p % 2 = 0 THEN 'ref' ELSE 'query' END AS side, (p * 7) % CAST(total AS BIGINT) AS lo,
+    CASE WHEN p % 2 = 0 THEN (p * 7) % CAST(total AS BIGINT) ELSE (p * 7) % CAST(total AS BIGINT) + 1 + s * 9 END AS hi, 1 + s * 9 AS error FROM pt),
+  inr AS (SELECT qname, idx, q1 - length AS q0, q1, length, LEAST(length, 50) AS slop, idx = 1 AS fst, idx = n_all - 1 AS lst FROM pt WHERE NOT is_flank),
+  ed AS (SELECT qname, min(q0) AS a, max(q1) AS b FROM inr GROUP BY qname),
+  ev AS (SELECT qname, g, side, 0 AS piece, lo, hi, error FROM gp LEFT JOIN ed USING (qname) WHERE side = 'ref' OR a IS NULL OR (lo > a AND hi < b) UNION ALL
+    SELECT qname, g, side, 0, lo, LEAST(a, hi), LEAST(a, hi) - lo FROM gp JOIN ed USING (qname) WHERE side = 'query' AND lo <= a UNION ALL
+    SELECT qname, g, side, CASE WHEN lo <= a THEN 1 ELSE 0 END, GREATEST(b, lo), hi, hi - GREATEST(b, lo) FROM gp JOIN ed USING (qname) WHERE side = 'query' AND hi >= b),
+  tg AS (SELECT qname, 'block' AS target, idx, length AS cap, 'ref' AS side, CASE WHEN fst THEN q0 - slop ELSE q0 END AS x, CASE WHEN lst THEN q1 + slop ELSE q1 END AS y FROM inr UNION ALL
+    SELECT qname, 'block', idx, length, 'query', q0 - slop, q0 FROM inr WHERE fst UNION ALL SELECT qname, 'block', idx, length, 'query', q1, q1 + slop FROM inr WHERE lst UNION ALL
+    SELECT qname, 'deletion', k, deleted, sd, q1 - LEAST(deleted, 50), q1 + LEAST(deleted, 50) FROM dl, (SELECT unnest(['ref', 'query']) AS sd)),
+  al AS (SELECT ev.*, target, idx, error / cap AS share, row_number() OVER (PARTITION BY ev.qname, g, ev.side, piece ORDER BY error / cap DESC, target, idx) AS k
+    FROM ev JOIN tg ON tg.qname = ev.qname AND tg.side = ev.side AND GREATEST(lo - y, x - hi, 0) <= 1 WHERE error > 0)"""
+
+
+@query("gap_errors", GAP_ERRORS + """
+  SELECT qname, g, side, CAST(piece AS BIGINT) AS piece, target, idx, round(CAST(share AS DOUBLE), 9) AS share, CAST(error AS BIGINT) AS bases FROM al WHERE k = 1""")
+def _(spark, sf):
+    return errors_of(spark, sf, pieces_of(spark, sf)).select("qname", "g", "side", *big("piece"), "target", "idx", F.round("share", 9).alias("share"), "bases")
+
+
+def errors_of(spark, sf, pieces):
+    from pyspark.sql import Window
+    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    lo = (F.col("p") * 7) % F.sum(50 + F.col("p") % 400).over(Window.partitionBy("qname"))
+    size = 1 + F.col("s") * 9
+    gaps = line.select("qname", (F.col("p") * 100 + F.col("s")).alias("g"), F.when(F.col("p") % 2 == 0, "ref").otherwise("query").alias("side"), lo.alias("lo"),
+                       (lo + F.when(F.col("p") % 2 == 0, 0).otherwise(size)).alias("hi"), size.alias("error")).distinct()
+    forward = F.col("strand") == "+"
+    return V.gap_errors(gaps, V.query_blocks(pieces).where(forward), V.deletion_positions(pieces).where(forward), ["qname"], "g")
+
+
+SCORES = GAP_ERRORS + """,
+  ls AS (SELECT qname, target, idx, sum(share) AS lost FROM al WHERE k = 1 GROUP BY qname, target, idx),
+  bs AS (SELECT pt.qname, 'block' AS target, pt.idx, is_flank, (length - length % 3) / length AS gained FROM pt UNION ALL
+    SELECT qname, 'deletion', k, false, CASE WHEN q1 >= 60 + 50 AND total - 40 >= q1 + 50 THEN 1.0 ELSE 0.0 END FROM dl),
+  so AS (SELECT bs.qname, bs.target, bs.idx, is_flank, GREATEST(0.0, gained - coalesce(lost, 0.0)) AS score FROM bs LEFT JOIN ls ON ls.qname = bs.qname AND ls.target = bs.target AND ls.idx = bs.idx)"""
+
+
+def scores_of(spark, sf):
+    pieces = pieces_of(spark, sf)
+    forward = F.col("strand") == "+"
+    blocks, deletions = V.query_blocks(pieces).where(forward), V.deletion_positions(pieces).where(forward)
+    matches = pieces.select("qname", "idx", (F.col("length") - F.col("length") % 3).alias("matches"))
+    extents = pieces.groupBy("qname").agg(F.lit(60).alias("q_lo"), (F.sum("length") - 40).alias("q_hi"))
+    return V.block_scores(matches, errors_of(spark, sf, pieces), blocks, deletions, extents, ["qname"])
+
+
+@query("block_scores", SCORES + " SELECT qname, target, idx, is_flank, round(CAST(score AS DOUBLE), 9) AS score FROM so")
+def _(spark, sf):
+    return scores_of(spark, sf).select("qname", "target", "idx", "is_flank", F.round("score", 9).alias("score"))
+
+
+@query("query_scores", SCORES + " SELECT qname, round(CAST(min(score) AS DOUBLE), 9) AS worst, round(CAST(avg(score) AS DOUBLE), 9) AS average FROM so WHERE NOT is_flank GROUP BY qname")
+def _(spark, sf):
+    return V.query_scores(scores_of(spark, sf), ["qname"]).select("qname", F.round("worst", 9).alias("worst"), F.round("average", 9).alias("average"))
+
+
+@query("chain_gaps", CHAINS + """,
+  en AS (SELECT *, row_number() OVER (PARTITION BY qname, strand, cluster ORDER BY chain DESC, k) AS best FROM cs),
+  bt AS (SELECT qname, strand, cluster, 0 AS step, seg, parent FROM en WHERE best = 1 UNION ALL
+    SELECT b.qname, b.strand, b.cluster, b.step + 1, c.seg, c.parent FROM bt b JOIN cs c ON c.qname = b.qname AND c.strand = b.strand AND c.cluster = b.cluster AND c.seg = b.parent WHERE b.parent <> b.seg),
+  gp AS (SELECT bt.qname, bt.strand, bt.cluster, bt.seg, v.q0, v.r0, w.q1, w.r1 FROM bt JOIN sc v USING (qname, strand, seg) JOIN sc w ON w.qname = bt.qname AND w.strand = bt.strand AND w.seg = bt.parent WHERE bt.parent <> bt.seg)
+  SELECT qname, strand, cluster, seg, 'query' AS side, q1 AS lo, q0 AS hi, q0 - q1 AS error FROM gp WHERE q0 > q1 UNION ALL SELECT qname, strand, cluster, seg, 'ref', q1, q0, r0 - r1 FROM gp WHERE r0 > r1""")
+def _(spark, sf):
+    segments = V.segment_clusters(segments_of(spark, sf), ["qname", "strand"], 250)
+    return V.chain_gaps(V.best_chains(V.chain_scores(segments, PART), PART), PART).select(*PART, "seg", "side", "lo", "hi", "error")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.operators import ordered as O
-from strandloom.operators.interval import point_join
+from strandloom.operators.interval import interval_distance, point_join
 from strandloom.session import saved
 
 #: Fixed: alignment scores, and when a chain counts as reaching over a flank.
@@ -289,3 +289,91 @@ def query_positions(offsets: DataFrame, blocks: DataFrame, key: str = "qname") -
     """The way back: ``pos`` of (key, strand, idx, offset)."""
     named = blocks.select(key, "strand", "idx", "q0")
     return offsets.join(named, [key, "strand", "idx"]).select(*offsets.columns, (F.col("q0") + F.col("offset")).alias("pos"))
+
+
+# --- errors of blocks and deletions -------------------------------------------------------------
+
+#: Fixed: how far outside the inner blocks, and around a deletion, a gap still counts against them.
+MAX_SLOP = 50
+
+
+def gap_errors(gaps: DataFrame, blocks: DataFrame, deletions: DataFrame, part: Sequence[str], gap_id: str) -> DataFrame:
+    """part, gap_id, side, target, idx, share, bases: what each gap of a chain counts against.
+
+    ``gaps`` has part, gap_id, side ('query' or 'ref'), lo, hi (query positions) and error
+    (bases).  ``blocks`` (idx, q0, q1, is_flank) and ``deletions`` (idx, pos, length) are those
+    of the query on the same strand.  A gap counts against one inner block or one deletion: the one that it takes
+    the largest share of; of equal ones blocks come first, then the smaller idx.
+
+    A gap in the contig counts for any inner block it touches.  One in the query only counts outside the
+    inner blocks, where it is at most MAX_SLOP bases off: the part over them is cut off, and a gap
+    over all of them counts on both sides.
+    """
+    part = list(part)
+    inner = blocks.where("not is_flank").withColumn("length", F.col("q1") - F.col("q0"))
+    edge = inner.groupBy(*part).agg(F.min_by(F.struct("idx", "q0", "length"), "idx").alias("first"), F.max_by(F.struct("idx", "q1", "length"), "idx").alias("last"))
+    joined = gaps.join(edge, part, "left")
+    a, b = F.col("first.q0"), F.col("last.q1")
+    lo, hi = F.col("lo"), F.col("hi")
+    left = F.struct(lo.alias("lo"), F.least(a, hi).alias("hi"), (F.least(a, hi) - lo).alias("error"))
+    right = F.struct(F.greatest(b, lo).alias("lo"), hi.alias("hi"), (hi - F.greatest(b, lo)).alias("error"))
+    whole = F.struct(lo.alias("lo"), hi.alias("hi"), F.col("error"))
+    pieces = (F.when((F.col("side") == "ref") | a.isNull(), F.array(whole)).when((lo <= a) & (hi >= b), F.array(left, right))
+              .when(lo <= a, F.array(left)).when(hi >= b, F.array(right)).otherwise(F.array(whole)))
+    events = joined.select(*part, gap_id, "side", F.posexplode(pieces).alias("piece", "e")).select(*part, gap_id, "side", "piece", "e.*").where("error > 0")
+    # what each inner block is held against: its own bases, the outer two with their slop
+    slop = F.least("length", F.lit(MAX_SLOP))
+    spans = inner.join(edge, part).select(
+        *part, F.col("idx").alias("b_idx"), F.col("length").alias("of"), (F.col("idx") == F.col("first.idx")).alias("is_first"),
+        (F.col("idx") == F.col("last.idx")).alias("is_last"), "q0", "q1", slop.alias("slop"))
+    low = F.when(F.col("is_first"), F.col("q0") - F.col("slop")).otherwise(F.col("q0"))
+    high = F.when(F.col("is_last"), F.col("q1") + F.col("slop")).otherwise(F.col("q1"))
+    one = lambda s, x, y: F.struct(F.lit(s).alias("b_side"), x.alias("b_lo"), y.alias("b_hi"))
+    held = F.array_compact(F.array(one("ref", low, high), F.when(F.col("is_first"), one("query", low, F.col("q0"))), F.when(F.col("is_last"), one("query", F.col("q1"), high))))
+    held = spans.select(*part, "b_idx", "of", F.inline(held)).withColumn("target", F.lit("block"))
+    reach = F.least("length", F.lit(MAX_SLOP))
+    both = F.array(*[one(s, F.col("pos") - reach, F.col("pos") + reach) for s in ("query", "ref")])
+    around = deletions.select(*part, F.col("idx").alias("b_idx"), F.col("length").alias("of"), F.inline(both)).withColumn("target", F.lit("deletion"))
+    found = events.join(held.unionByName(around), part).where((F.col("side") == F.col("b_side")) & (interval_distance(F.col("lo"), F.col("hi"), F.col("b_lo"), F.col("b_hi")) <= 1))
+    share = F.col("error") / F.col("of")
+    best = found.groupBy(*part, gap_id, "side", "piece").agg(F.min_by(
+        F.struct("target", F.col("b_idx").alias("idx"), share.alias("share"), F.col("error").alias("bases")),
+        F.struct(-share, F.col("target"), F.col("b_idx"))).alias("m"))
+    return best.select(*part, gap_id, "side", "piece", "m.*")
+
+
+def chain_gaps(chains: DataFrame, part: Sequence[str]) -> DataFrame:
+    """part, seg, side, lo, hi, error: the gaps before each segment of a chain but its first, on both sides.
+
+    ``chains`` are those of ``best_chains``; both gaps lie where the query has one.
+    """
+    before = Window.partitionBy(*part).orderBy(F.col("step").desc())  # a chain's segments
+    rows = chains.select(*part, "seg", "q0", "r0", F.lag("q1").over(before).alias("p_q1"), F.lag("r1").over(before).alias("p_r1")).where("p_q1 is not null")
+    sides = F.array(F.struct(F.lit("query").alias("side"), (F.col("q0") - F.col("p_q1")).alias("error")),
+                    F.struct(F.lit("ref").alias("side"), (F.col("r0") - F.col("p_r1")).alias("error")))
+    return rows.select(*part, "seg", F.col("p_q1").alias("lo"), F.col("q0").alias("hi"), F.inline(sides)).where("error > 0")
+
+
+def block_scores(matches: DataFrame, errors: DataFrame, blocks: DataFrame, deletions: DataFrame, extents: DataFrame, part: Sequence[str]) -> DataFrame:
+    """part, target, idx, is_flank, score: how well a chain supports each block and each deletion of its query.
+
+    A block scores the share of its bases that match (``matches``: part, idx, matches) less the shares of
+    the gaps that count against it; a deletion scores 1 less such shares if the chain
+    (``extents``: part, q_lo, q_hi) reaches MAX_SLOP bases over it on both sides, else 0.  No
+    score is below 0; queries without an extent score 0 throughout.
+    """
+    part = list(part)
+    lost = errors.groupBy(*part, "target", "idx").agg(F.sum("share").alias("lost"))
+    hit = matches.groupBy(*part, "idx").agg(F.sum("matches").alias("matches"))
+    of_blocks = blocks.select(*part, "idx", "is_flank", (F.col("q1") - F.col("q0")).alias("length")).join(hit, [*part, "idx"], "left").select(
+        *part, F.lit("block").alias("target"), "idx", "is_flank", (F.coalesce("matches", F.lit(0)) / F.col("length")).alias("gained"))
+    over = (F.col("q_lo") <= F.col("pos") - MAX_SLOP) & (F.col("q_hi") >= F.col("pos") + MAX_SLOP)
+    of_deletions = deletions.join(extents, part, "left").select(
+        *part, F.lit("deletion").alias("target"), "idx", F.lit(False).alias("is_flank"), F.when(over, 1.0).otherwise(0.0).alias("gained"))
+    score = F.greatest(F.lit(0.0), F.col("gained") - F.coalesce("lost", F.lit(0.0)))
+    return of_blocks.unionByName(of_deletions).join(lost, [*part, "target", "idx"], "left").select(*part, "target", "idx", "is_flank", score.alias("score"))
+
+
+def query_scores(scores: DataFrame, part: Sequence[str]) -> DataFrame:
+    """part, worst, average: over the inner blocks and the deletions of each query."""
+    return scores.where("not is_flank").groupBy(*part).agg(F.min("score").alias("worst"), F.avg("score").alias("average"))
