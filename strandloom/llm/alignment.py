@@ -37,7 +37,7 @@ FREQUENT = 1 << 18
 #: Bytes of text that are aligned at a time; a longer text is a block of its own.
 TOGETHER = 1 << 19
 #: Bytes of units remembered for each side in each Python worker.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 32 << 20
 _ENTRY = 200  # bytes of a unit beside its letters and ids
 _HELD = 1 << 20  # id pairs that a task holds before it hands on their counts
 
@@ -122,6 +122,7 @@ class Side:
     def __init__(self, size: int):
         self.size, self.held = size, 0
         self.memo: dict[str, bytes | None] = {}
+        self.odd = False  # whether some unit has not come back as it was
         self.length = np.zeros(size, np.int64)  # bytes of each token
 
     def units(self, text: str) -> Iterator[list[str]]:
@@ -146,7 +147,7 @@ class Side:
         if joined == b"".join(raw) and np.array_equal(np.diff(at), list(map(len, raw))):
             self.memo.update(zip(new, [packed[i:j] for i, j in zip(first, last, strict=True)], strict=True))
         else:  # some units do not come back as they were
-            spans = at.tolist()
+            spans, self.odd = at.tolist(), True
             for k, (unit, own) in enumerate(zip(new, raw, strict=True)):
                 self.memo[unit] = packed[first[k]:last[k]] if joined[spans[k]:spans[k + 1]] == own else None
         self.held += len(packed) + sum(map(len, raw)) + len(new) * _ENTRY
@@ -162,7 +163,7 @@ class Side:
             self.remember([units for _, units in waiting])
             for row, units in waiting:
                 found = list(map(self.memo.__getitem__, units))
-                out[row].append(None if None in found else b"".join(found))
+                out[row].append(None if self.odd and None in found else b"".join(found))
             waiting, size = [], 0
 
         for row, text in enumerate(texts):
@@ -263,9 +264,9 @@ def aligned(tokens: Sequence[tuple[bytes, bytes]], a_length: np.ndarray, b_lengt
     of_overlap = np.searchsorted(x, of_a)
     ends = np.concatenate([[0], a_ends])[of_a]
     a_group, b_group = group_incidence(a_ends, bounds), group_incidence(b_ends, bounds)
-    # row sums of the product of the group incidences; its entries are as many as a group's sizes multiplied
-    ones = Csr(np.arange(len(b) + 1), np.zeros(len(b), np.int64), np.ones(len(b), np.int64), 1)
-    shared = np.concatenate([[0], np.cumsum(product(a_group, product(transposed(b_group), ones)).value)])
+    # row sums of the product of the group incidences: each row of A's points at one group, whose row of the
+    # transpose has as many entries as the group has tokens of B
+    shared = np.concatenate([[0], np.cumsum(np.bincount(b_group.column, minlength=b_group.width)[a_group.column])])
     return Aligned(a, b, of_a, of_b, a_group.column, b_group.column, np.searchsorted(bounds, ends, "right"),
                    x[together], y[together], links[of_overlap], of_overlap, shared[of_a])
 

@@ -47,6 +47,16 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Merges:
     """The merges of a vocabulary file as sorted arrays."""
 
@@ -141,7 +151,7 @@ class Merges:
 
     def split(self, text: str) -> Iterator[list[str]]:
         """The pre-tokens of a text in order, some at a time."""
-        pattern = self.latin if text.isascii() or max(text) <= "\xff" else self.pattern
+        pattern = self.latin if _is_latin(text) else self.pattern
         if pattern is self.pattern and any(unicodedata.category(c) == "Cn" for c in set(text)):
             from tokenizers import pre_tokenizers  # of another Unicode version than the pattern's
 
