@@ -207,7 +207,13 @@ def contexts(training: DataFrame, lexicon: Lexicon, of: np.ndarray) -> DataFrame
     @given_back
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, of = Lexicon(*shared.value[0]), shared.value[1]
-        key, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["code", "n"])
+
         for batch in batches:
             for _, _, words, shapes, first in tokens(batch["text"]):
                 at, found = lexicon.look_up(words)
@@ -218,13 +224,12 @@ def contexts(training: DataFrame, lexicon: Lexicon, of: np.ndarray) -> DataFrame
                 here = np.flatnonzero(place >= 0)
                 code = place[here] * (2 * CLASSES)
                 before = np.where(here > 0, cls[here - 1], CLASSES - 1)
-                own, count = np.unique(np.concatenate([code + before, code + CLASSES + cls[here + 1]]), return_counts=True)
-                key, where = np.unique(np.concatenate([key, own]), return_inverse=True)
-                n = np.bincount(where, np.concatenate([n, count]), len(key)).astype(np.int64)
-                if len(key) > _FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["code", "n"])
-                    key, n = key[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["code", "n"])
+                held += [code + before, code + CLASSES + cls[here + 1]]
+                size += 2 * len(here)
+                if size > _FLUSH:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
 
     return (training.select("text").mapInArrow(partial, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
             .select(F.expr(f"code div {2 * CLASSES}").alias("word"), (F.col("code") % (2 * CLASSES)).cast("int").alias("side"), "n"))
