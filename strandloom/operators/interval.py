@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.ordered import DEFAULT_WIDTH, island_spans, running
+from strandloom.operators.ordered import DEFAULT_WIDTH, running
 
 
 def overlaps(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
@@ -85,9 +87,8 @@ def band_join(left: DataFrame, right: DataFrame, part: list[str], a: str, b: str
     return _restore(lhs.join(rhs, cond), left, right, part)
 
 
-def sweep(sets: dict[str, DataFrame], part: list[str], lo: str, hi: str,
-          width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Elementary segments [pos, end) with the depth of every named set on them."""
+def _steps(sets: dict[str, DataFrame], part: list[str], lo: str, hi: str) -> DataFrame:
+    """One row per position where a set's depth changes, with ``_d_<name>``: by how much."""
     names = list(sets)
     events = None
     for name, df in sets.items():
@@ -99,30 +100,45 @@ def sweep(sets: dict[str, DataFrame], part: list[str], lo: str, hi: str,
                            *[(F.col("e.d") if n == name else F.lit(0)).cast("bigint").alias(f"_d_{n}")
                              for n in names])
         events = ends if events is None else events.unionByName(ends)
-    dense = events.groupBy(*part, "pos").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
-    dense = dense.withColumn("_pos", F.col("pos"))
+    return events.groupBy(*part, "pos").agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in names])
+
+
+def sweep(sets: dict[str, DataFrame], part: list[str], lo: str, hi: str,
+          width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Elementary segments [pos, end) with the depth of every named set on them."""
+    names = list(sets)
+    dense = _steps(sets, part, lo, hi).withColumn("_pos", F.col("pos"))
     outputs = {f"depth_{n}": ("sum", f"_d_{n}", True) for n in names}
     outputs["end"] = ("next", "_pos", False)
     return (running(dense, part, "pos", outputs, width).where(F.col("end").isNotNull())
             .select(*part, "pos", "end", *[f"depth_{n}" for n in names]))
 
 
-def _combine(left, right, part, lo, hi, keep: Column, width) -> DataFrame:
-    segments = sweep({"a": left, "b": right}, part, lo, hi, width).where(keep)
-    flat = segments.select(*part, F.col("pos").alias(lo), F.col("end").alias(hi))
-    return island_spans(flat, part, lo, hi, 0, width)
+def _combine(left, right, part, lo, hi, keep: Callable[[Column, Column], Column], width) -> DataFrame:
+    """Maximal stretches where the depths satisfy ``keep``, which is false where both are 0.
+
+    Only positions where it turns true or false are looked at again: they alternate, so a
+    stretch ends at the next one.
+    """
+    depths = running(_steps({"a": left, "b": right}, part, lo, hi), part, "pos",
+                     {"depth_a": ("sum", "_d_a", True), "depth_b": ("sum", "_d_b", True)}, width)
+    now = keep(F.col("depth_a"), F.col("depth_b"))
+    before = keep(F.col("depth_a") - F.col("_d_a"), F.col("depth_b") - F.col("_d_b"))
+    turns = depths.where(now != before).select(*part, F.col("pos").alias("_lo"), F.col("pos").alias("_at"), now.alias("_on"))
+    return (running(turns, part, "_lo", {"_hi": ("next", "_at", False)}, width).where("_on")
+            .select(*part, F.col("_lo").alias(lo), F.col("_hi").alias(hi)))
 
 
 def interval_union(left, right, part, lo="lo", hi="hi", width=DEFAULT_WIDTH) -> DataFrame:
-    return _combine(left, right, part, lo, hi, F.expr("depth_a > 0 or depth_b > 0"), width)
+    return _combine(left, right, part, lo, hi, lambda a, b: (a > 0) | (b > 0), width)
 
 
 def interval_intersect(left, right, part, lo="lo", hi="hi", width=DEFAULT_WIDTH) -> DataFrame:
-    return _combine(left, right, part, lo, hi, F.expr("depth_a > 0 and depth_b > 0"), width)
+    return _combine(left, right, part, lo, hi, lambda a, b: (a > 0) & (b > 0), width)
 
 
 def interval_except(left, right, part, lo="lo", hi="hi", width=DEFAULT_WIDTH) -> DataFrame:
-    return _combine(left, right, part, lo, hi, F.expr("depth_a > 0 and depth_b = 0"), width)
+    return _combine(left, right, part, lo, hi, lambda a, b: (a > 0) & (b == 0), width)
 
 
 def coverage(df: DataFrame, part: list[str], lo: str, hi: str,

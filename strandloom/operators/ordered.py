@@ -100,29 +100,48 @@ def numbered(rows: DataFrame, part: list[str], order: list[str], name: str) -> D
             .select(*rows.columns, (F.col("_first") + F.col("_k")).alias(name)))
 
 
+def _bin_islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column, width: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows with their start of an island as far as their bin shows, what earlier bins add, and the island from both.
+
+    Of the starts inside a bin those within ``distance`` of the farthest earlier ``hi`` are none,
+    and what follows them belongs to the island that the bin before ends with.
+    """
+    gap = F.lit(distance) if isinstance(distance, int) else distance
+    dense = df.groupBy(*part, lo).agg(F.max(hi).alias("_far")).withColumn("_bin", _bin(lo, width, None)).repartition(*part, "_bin")
+    within = Window.partitionBy(*part, "_bin").orderBy(lo)
+    seen = dense.withColumn("_prev", F.max("_far").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.when(F.col("_prev").isNull() | (F.col(lo) - F.col("_prev") > gap), F.col(lo))
+    seen = seen.withColumn("_start", F.last(begins, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*part).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    stands = F.col("_reach").isNull() | (F.col("_start") - F.col("_reach") > gap)
+    carry = seen.groupBy(*part, "_bin").agg(F.max("_far").alias("_most"), F.max("_start").alias("_start"))
+    carry = carry.withColumn("_reach", F.max("_most").over(before))
+    carry = carry.select(*part, "_bin", "_reach", F.last(F.when(stands, F.col("_start")), ignorenulls=True).over(before).alias("_open"))
+    return seen, carry, F.when(stands, F.col("_start")).otherwise(F.col("_open"))
+
+
 def islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column = 0,
             width: int = DEFAULT_WIDTH) -> DataFrame:
     """Gaps and islands over closed intervals.
 
     Returns one row per (part, lo): the largest ``hi`` starting there and ``island``, the
     smallest ``lo`` of its island.  A new island starts where ``lo`` exceeds the running
-    maximum of the earlier ``hi`` by more than ``distance``.
+    maximum of the earlier ``hi`` by more than ``distance``, a number or a column of ``part``.
     """
-    dense = df.groupBy(*part, lo).agg(F.max(hi).alias("_far"))
-    seen = running(dense, part, lo, {"_prev": ("max", "_far", False)}, width)
-    gap = F.lit(distance) if isinstance(distance, int) else distance
-    starts = seen.withColumn(
-        "_start", F.when(F.col("_prev").isNull() | (F.col(lo) - F.col("_prev") > gap), F.col(lo)))
-    out = running(starts, part, lo, {"island": ("last", "_start", True)}, width)
+    seen, carry, island = _bin_islands(df, part, lo, hi, distance, width)
+    out = seen.join(carry, [*part, "_bin"]).withColumn("island", island)
     return out.select(*part, lo, *([] if hi == lo else [F.col("_far").alias(hi)]), "island")
 
 
 def island_spans(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column = 0,
                  width: int = DEFAULT_WIDTH) -> DataFrame:
     """One row per island: ``lo`` and ``hi`` of the merged interval."""
-    return (islands(df, part, lo, hi, distance, width)
-            .groupBy(*part, "island").agg(F.max(hi).alias(hi))
-            .select(*part, F.col("island").alias(lo), hi))
+    seen, carry, island = _bin_islands(df, part, lo, hi, distance, width)
+    # a bin's islands first: only those that reach over its edges meet others
+    own = seen.groupBy(*part, "_bin", "_start").agg(F.max("_far").alias("_far"))
+    return (own.join(carry, [*part, "_bin"]).withColumn("_island", island)
+            .groupBy(*part, "_island").agg(F.max("_far").alias("_hi"))
+            .select(*part, F.col("_island").alias(lo), F.col("_hi").alias(hi)))
 
 
 def assign_islands(df: DataFrame, part: list[str], lo: str, hi: str,

@@ -176,3 +176,15 @@ def test_largest_cliques_of_a_large_component(spark):
     best = max(inside(x, y) for x, _ in near for _, y in near)
     found = largest_cliques(df.unionByName(dense), ["g"]).collect()
     assert found and all(inside(w.x, w.y) == best for w in found)
+
+
+def joins_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")
+
+
+def test_islands_and_sets_pass_over_the_rows_once(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 5, 9), ("a", 70, 80), ("a", 9, 71), ("b", 3, 4)], "p string, lo bigint, hi bigint")
+    spans = O.island_spans(df, ["p"], "lo", "hi", 0, 8)
+    assert joins_of(spans) == 1 and sorted(tuple(r) for r in spans.collect()) == [("a", 1, 80), ("b", 3, 4)]
+    union = I.interval_union(df.where("lo < 9"), df.where("lo >= 9"), ["p"], width=8)
+    assert joins_of(union) <= 3 and sorted(tuple(r) for r in union.collect()) == [("a", 1, 80), ("b", 3, 4)]
