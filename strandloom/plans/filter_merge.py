@@ -39,17 +39,19 @@ def chrom_key(chrom: Column) -> list[Column]:
     return [F.when(number.isNotNull(), 0).when(bare.rlike("^[a-zA-Z]"), 1).otherwise(2), number, bare]
 
 
-def type_set(svtype: Column, rearrangement: Column, ident: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv])
-    base = F.transform(F.split(svtype, ","), lambda t: F.try_element_at(names, t))
-    none = F.array().cast("array<string>")
-    novel = F.when(rearrangement.contains("_"), F.array(F.lit("insertions"))).otherwise(none)
-    compound = F.when(ident.rlike("_[12]$"), F.array(F.lit("compoundhet"))).otherwise(none)
-    return F.array_union(F.array_union(base, novel), compound)
+def allowed_types(svtype: Column, rearrangement: Column, ident: Column, excluded: list[str]) -> Column:
+    """Whether a call has known types only and none of the ``excluded`` (not empty); plain predicates, no array for each row."""
+    left = "|".join(code for code, name in TYPE_NAMES.items() if name not in excluded)
+    keep = svtype.rlike(f"^(?:{left})(?:,(?:{left}))*\\z") if left else F.lit(False)
+    if "insertions" in excluded:
+        keep = keep & ~F.coalesce(rearrangement.contains("_"), F.lit(False))
+    if "compoundhet" in excluded:
+        keep = keep & ~F.coalesce(ident.rlike("_[12]$"), F.lit(False))
+    return keep
 
 
 def _ints(col: str) -> Column:
-    return F.transform(F.split(col, ","), lambda x: x.cast("bigint"))
+    return F.split(col, ",").cast("array<bigint>")
 
 
 def filter_calls(calls: DataFrame, options: FilterOptions) -> DataFrame:
@@ -57,20 +59,22 @@ def filter_calls(calls: DataFrame, options: FilterOptions) -> DataFrame:
     sr, pe = _ints("sr_support"), _ints("pe_support")
     af = F.col("af").cast("double")
     keep = ((F.col("maxbp") - F.col("minbp") >= o.min_span) & (F.col("len_affected") >= o.min_size)
-            & (F.array_min(sr) >= o.min_sr_support) & (F.array_min(pe) >= o.min_pe_support)
             & (af >= o.min_allele_fraction) & (af <= o.max_allele_fraction))
+    if o.excluded:
+        keep = keep & allowed_types(F.col("svtype"), F.col("rearrangement"), F.col("id"), o.excluded)
+    # the lists are taken apart last, for rows that the cheap tests leave
+    keep = keep & (F.array_min(sr) >= o.min_sr_support) & (F.array_min(pe) >= o.min_pe_support)
     if o.max_sr_support is not None:
         keep = keep & (F.array_max(sr) <= o.max_sr_support)
     if o.max_pe_support is not None:
         keep = keep & (F.array_max(pe) <= o.max_pe_support)
-    if o.excluded:
-        bad = F.array(*[F.lit(x) for x in o.excluded])
-        keep = keep & ~F.arrays_overlap(type_set(F.col("svtype"), F.col("rearrangement"), F.col("id")), bad)
     return calls.where(keep)
 
 
 def sort_calls(calls: DataFrame) -> DataFrame:
-    return calls.orderBy(*chrom_key(F.col("chrom")), "minbp", "maxbp", "id")
+    # the keys as columns: a sort evaluates expressions anew in every comparison
+    keys = {f"_key{i}": k for i, k in enumerate(chrom_key(F.col("chrom")))}
+    return calls.withColumns(keys).orderBy(*keys, "minbp", "maxbp", "id").drop(*keys)
 
 
 def filter_merge(calls: DataFrame, options: FilterOptions) -> DataFrame:

@@ -147,3 +147,18 @@ def test_cigar_against_a_walk(spark):
 def test_parameters():
     assert parse_region("20:0-250000") == Region("20", 0, 250000) and parse_region("X") == Region("X")
     assert preset("high").min_edge_support == 3 and preset().symmetric_fractions == [0.5]
+
+
+def test_calls_are_sorted_and_filtered_without_work_per_comparison(spark):
+    rows = [("10", 5, "a", "DEL", "ABC"), ("2", 5, "b", "DEL,DUP", "ABC"), ("chrX", 1, "c_1", "DEL", "ABC"), ("_u", 1, "d", "DEL", None), ("2", 5, "a", "INV,DEL", "ABC"),
+            ("chr2", 4, "e", "DEL", "AB_C"), ("M", 9, "f", "odd", "ABC"), ("3", 9, None, "BND,BND", "ABC"), ("3", 1, "g", None, "ABC"), ("4", 1, "h", "DEL,odd", "ABC")]
+    calls = spark.createDataFrame(rows, "chrom string, minbp long, id string, svtype string, rearrangement string").selectExpr(
+        "*", "minbp + 10 AS maxbp", "100 AS len_affected", "'3,4' AS sr_support", "'2' AS pe_support", "0.5 AS af")
+    ordered = M.sort_calls(calls)
+    assert [(r["chrom"], r["id"]) for r in ordered.collect()] == [("chr2", "e"), ("2", "a"), ("2", "b"), ("3", "g"), ("3", None), ("4", "h"), ("10", "a"), ("M", "f"), ("chrX", "c_1"), ("_u", "d")]
+    sorts = [x for x in ordered._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in x]
+    assert sorts and not any("regexp" in x or "RLIKE" in x for x in sorts)
+    kept = lambda *names: {(r["chrom"], r["id"]) for r in M.filter_calls(calls, M.FilterOptions(exclude=names)).collect()}
+    assert kept("inversions") == {("10", "a"), ("2", "b"), ("chrX", "c_1"), ("_u", "d"), ("chr2", "e"), ("3", None)}
+    assert kept("insertions", "compoundhet") == {("10", "a"), ("2", "b"), ("2", "a"), ("_u", "d"), ("3", None)}
+    assert kept("simple", "complex") == set() and len(kept()) == 10
