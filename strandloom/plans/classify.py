@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from strandloom.config import CallConfig
 from strandloom.functions import rearrange as R
@@ -33,6 +37,15 @@ CALL = T.StructType([
     T.StructField("events", T.ArrayType(EVENT)), T.StructField("hap1", HAPLOTYPE), T.StructField("hap2", HAPLOTYPE)])
 
 
+def _each_once(fn: Callable, key: pa.Array, given: list[pa.Array], made: pa.DataType) -> pa.Array:
+    """``fn`` of each row of ``given``; rows of one ``key`` that are equal, not just in their hashes, are worked out once."""
+    _, first, code = np.unique(key.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+    if not all(c.take(pa.array(first[code])).equals(c) for c in given):
+        first = code = np.arange(len(key))
+    rows = zip(*[c.take(pa.array(first)).to_pylist() for c in given], strict=True)
+    return pa.array([fn(*r) for r in rows], made).take(pa.array(code))
+
+
 def describe_udf(cfg: CallConfig):
     flank = cfg.altered_flank_size
 
@@ -46,22 +59,22 @@ def describe_udf(cfg: CallConfig):
                     flank_novel=any(b["novel"] for b in fb), pieces=pieces, inserted=inserted,
                     left_flank=left, right_flank=right)
 
-    @F.pandas_udf(CALL)
-    def describe(path1: pd.Series, path2: pd.Series, blocks: pd.Series, n_genome: pd.Series,
-                 chrom: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q, bs, n, c in zip(path1, path2, blocks, n_genome, chrom):
-            p, q = [int(x) for x in p], [int(x) for x in q]
-            table = {int(b["idx"]): dict(b) for b in bs}
-            span = (table[p[0] // 2]["lo"], table[p[-1] // 2]["hi"])
-            simple, (sp, sq) = R.simplify(table, [p, q])
-            cuts, mid = R.midpoint_blocks(simple)
-            first = haplotype(p, sp, table, simple, mid)
-            second = first if p == q else haplotype(q, sq, table, simple, mid)
-            rows.append((simple, cuts, R.diploid_events(p, q, table, int(n), c, span), first, second))
-        return pd.DataFrame(rows, columns=CALL.names)
-
-    return describe
+    def row(path1, path2, blocks, n_genome, chrom):
+        table = {b["idx"]: b for b in blocks}
+        span = (table[path1[0] // 2]["lo"], table[path1[-1] // 2]["hi"])
+        simple, (sp, sq) = R.simplify(table, [path1, path2])
+        cuts, mid = R.midpoint_blocks(simple)
+        first = haplotype(path1, sp, table, simple, mid)
+        second = first if path1 == path2 else haplotype(path2, sq, table, simple, mid)
+        return dict(blocks=simple, cuts=cuts, events=R.diploid_events(path1, path2, table, n_genome, chrom, span), hap1=first, hap2=second)
+
+    made = to_arrow_type(CALL)
+
+    @F.arrow_udf(CALL)
+    def describe(key: pa.Array, path1: pa.Array, path2: pa.Array, blocks: pa.Array, n_genome: pa.Array, chrom: pa.Array) -> pa.Array:
+        return _each_once(row, key, [path1, path2, blocks, n_genome, chrom], made)
+
+    return lambda *columns: describe(F.xxhash64(*columns), *columns)
 
 
 def describe_calls(calls: DataFrame, blocks: DataFrame, cfg: CallConfig) -> DataFrame:

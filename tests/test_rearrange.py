@@ -118,3 +118,23 @@ def test_diploid_genotypes():
 def test_haplotype_pieces():
     st, ins, left, right = R.haplotype_pieces([0, 1, 4, 5], mk([(0, 5000), (5000, 5100), (5100, 9000)]), 1000)
     assert st == [[(4000, 5000, False, 100), (5100, 6100, False, 0)]] and ins == [] and left and right
+
+
+def test_equal_calls_are_described_once():
+    import pyarrow as pa
+
+    from strandloom.plans.classify import _each_once
+    seen = []
+
+    def fn(path, blocks):
+        seen.append(path)
+        return {"n": sum(path) + blocks[0]["lo"]}
+
+    paths, blocks = [[0, 1], [2, 3], [0, 1], [0, 1], [4]], [[{"lo": x}] for x in (1, 2, 1, 1, 3)]
+    made = pa.struct([("n", pa.int64())])
+    call = lambda keys: _each_once(fn, pa.array(keys), [pa.array(paths), pa.array(blocks)], made).to_pylist()
+    want = [{"n": n} for n in (2, 7, 2, 2, 7)]
+    assert call([9, 8, 9, 9, 7]) == want and len(seen) == 3
+    # different rows that share a hash
+    assert call([9, 9, 9, 9, 7]) == want and len(seen) == 3 + 5
+    assert _each_once(fn, pa.array([], pa.int64()), [pa.array([], pa.list_(pa.int64()))] * 2, made).to_pylist() == []
