@@ -114,15 +114,13 @@ SPLIT = SEGMENTS + """,
     CASE WHEN has AND NOT gone AND ipos BETWEEN q0 AND q1 - ins THEN 1 ELSE 0 END AS n_indels,
     CASE WHEN has AND NOT gone AND ipos BETWEEN q0 AND q1 - ins THEN ins + del ELSE 0 END AS indel_bases FROM su WHERE q1 > q0 AND r1 > r0""")
 def _(spark, sf):
-    from strandloom.operators.interval import segment_boundaries
     from strandloom.session import saved
     kind = F.col("seg") % 3
     inserted, deleted = F.when(kind == 1, 7).otherwise(0).cast("long"), F.when(kind == 2, 5).otherwise(0).cast("long")
     rows = V.segment_clusters(segments_of(spark, sf), ["qname", "strand"], 250)
     rows = saved(rows.withColumns({"inserted": inserted, "deleted": deleted, "at": F.expr("q0 + len div 2")}).withColumn("r1", F.col("r1") - F.col("inserted") + F.col("deleted")))
     indels = rows.where("seg % 3 > 0").select(*PART, "seg", "at", "inserted", "deleted")
-    points = [segment_boundaries(rows, PART, f"{c}0", f"{c}1").withColumnRenamed("boundary", "point") for c in "qr"]
-    return V.split_segments(rows.select(*PART, "seg", "q0", "q1", "r0", "r1"), indels, *points, PART).select(
+    return V.split_segments(rows.select(*PART, "seg", "q0", "q1", "r0", "r1"), indels, None, None, PART).select(
         *PART, "seg", *big("sub"), "q0", "q1", "r0", "r1", *big("n_indels", "indel_bases"))
 
 
