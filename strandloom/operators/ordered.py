@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from strandloom.session import saved
 
 DEFAULT_WIDTH = 1 << 16
+#: Parts of no more rows are swept whole.
+PART_ROWS = DEFAULT_WIDTH // 4
 
 _TOTAL = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -100,6 +102,23 @@ def numbered(rows: DataFrame, part: list[str], order: list[str], name: str) -> D
             .select(*rows.columns, (F.col("_first") + F.col("_k")).alias(name)))
 
 
+def parts_fit(df: DataFrame, part: list[str], most: int = PART_ROWS) -> bool:
+    """Whether no part has more than ``most`` rows, so that it may be one window partition."""
+    largest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
+    return (largest or 0) <= most
+
+
+def _part_islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column) -> DataFrame:
+    """``df`` with ``_island``, the smallest ``lo`` of each row's island; every part is one window partition."""
+    gap = F.lit(distance) if isinstance(distance, int) else distance
+    line = Window.partitionBy(*part).orderBy(lo)
+    seen = df.withColumn("_prev", F.max(hi).over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    # rows equal in lo may come in any order: those that begin an island name the same one
+    begins = F.when(F.col("_prev").isNull() | (F.col(lo) - F.col("_prev") > gap), F.col(lo))
+    seen = seen.withColumn("_begins", begins)
+    return seen.withColumn("_island", F.last("_begins", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("_prev", "_begins")
+
+
 def _bin_islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column, width: int) -> tuple[DataFrame, DataFrame, Column]:
     """Rows with their start of an island as far as their bin shows, what earlier bins add, and the island from both.
 
@@ -135,7 +154,14 @@ def islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Co
 
 def island_spans(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column = 0,
                  width: int = DEFAULT_WIDTH) -> DataFrame:
-    """One row per island: ``lo`` and ``hi`` of the merged interval."""
+    """One row per island: ``lo`` and ``hi`` of the merged interval.
+
+    Parts of no more rows than a quarter of a bin's positions are swept whole, after a single shuffle.
+    """
+    if parts_fit(df, part, width // 4):
+        return (_part_islands(df.select(*part, lo, F.col(hi).alias("_far")), part, lo, "_far", distance)
+                .groupBy(*part, "_island").agg(F.max("_far").alias("_hi"))
+                .select(*part, F.col("_island").alias(lo), F.col("_hi").alias(hi)))
     seen, carry, island = _bin_islands(df, part, lo, hi, distance, width)
     # a bin's islands first: only those that reach over its edges meet others
     own = seen.groupBy(*part, "_bin", "_start").agg(F.max("_far").alias("_far"))

@@ -18,7 +18,7 @@ from strandloom.plans import graph as G
 from strandloom.plans import inference as N
 from strandloom.plans import library as L
 from strandloom.plans.derived import READS_SQL, event_alignments, table
-from strandloom.session import checkpoint, spread_groups
+from strandloom.session import checkpoint, saved, spread_groups
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -570,7 +570,7 @@ BLOCKS = EVI + GAPS + ", h_in AS (SELECT DISTINCT chrom, lo, hi FROM bp WHERE lo
 def blocks_of(spark, sf):
     hulls = O.island_spans(evidence_of(spark, sf).where("lo > 0"), ["chrom"], "lo", "hi").select(
         "chrom", F.col("lo").alias("bp_lo"), F.col("hi").alias("bp_hi"))
-    hulls = checkpoint(hulls)
+    hulls = saved(hulls)
     regions = hulls.select("chrom").distinct().select("chrom", F.lit(0).cast("bigint").alias("lo"), F.lit(200100).cast("bigint").alias("hi"))
     return G.create_blocks(hulls, gaps_of(spark, sf), regions)
 

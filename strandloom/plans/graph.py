@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import CallConfig
 from strandloom.functions import align as A
 from strandloom.functions.paths import flip, node_adjacencies, node_sequence_to_path
 from strandloom.operators.interval import overlap_join, sweep
-from strandloom.operators.ordered import island_spans, running
+from strandloom.operators.ordered import PART_ROWS, island_spans, parts_fit, running
 from strandloom.plans.evidence import is_read_through
 from strandloom.session import checkpoint
 
@@ -17,14 +17,19 @@ BLOCK_COLUMNS = ["chrom", "idx", "lo", "hi", "seg", "left_lo", "left_hi", "right
                  "gap_left", "gap_right"]
 
 
-def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -> DataFrame:
+def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame, most: int = PART_ROWS) -> DataFrame:
     """Reference blocks between consecutive breakpoints, minus assembly gaps.
 
     ``breakpoints``: chrom, bp_lo, bp_hi (disjoint); ``gaps``: chrom, lo, hi; ``regions``:
     chrom, lo, hi (disjoint, any number on a contig; each has segments of its own).  A gap edge starts a new segment (``seg``); left/right columns hold the
     bordering breakpoint interval, or the gap edge as a point.  ``gap_left``/``gap_right`` are
     the distances to the neighbouring blocks.
+
+    Where no contig has more than ``most`` breakpoints, gaps and regions, each is swept whole after one shuffle.
     """
+    parts = breakpoints.select("chrom").unionByName(gaps.select("chrom")).unionByName(regions.select("chrom"))
+    if parts_fit(parts, ["chrom"], most):
+        return _blocks_by_contig(breakpoints, gaps, regions)
     reg = regions.select("chrom", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
     inside = (breakpoints.join(reg, "chrom").where((F.col("bp_lo") > F.col("r_lo"))
                                                    & (F.col("bp_hi") <= F.col("r_hi")))
@@ -66,6 +71,47 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -
         F.when(F.col("_nlo.r_lo") == F.col("r_lo"), F.col("_nlo.lo") - F.col("hi")).otherwise(0).cast("bigint").alias("gap_right"))
 
 
+def _blocks_by_contig(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -> DataFrame:
+    """``create_blocks`` with a contig's breakpoints, gaps and regions in one window partition."""
+    long = lambda c: F.col(c).cast("bigint")
+    # at a position breakpoints (0, also a region's end) come before regions (1) that start there
+    rows = breakpoints.select("chrom", F.lit(0).alias("kind"), long("bp_lo").alias("at"), long("bp_hi").alias("to"))
+    ends = F.array(F.struct(F.lit(1).alias("kind"), long("lo").alias("at"), long("hi").alias("to")),
+                   F.struct(F.lit(0).alias("kind"), long("hi").alias("at"), long("hi").alias("to")))
+    rows = rows.unionByName(regions.where("hi > lo").select("chrom", F.inline(ends)))
+    rows = rows.unionByName(gaps.where("hi > lo").select("chrom", F.lit(2).alias("kind"), long("lo").alias("at"), long("hi").alias("to")))
+    before = Window.partitionBy("chrom").orderBy("at", "kind", F.col("to").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    latest = lambda when, c: F.last(F.when(when, F.col(c)), ignorenulls=True).over(before)
+    rows = rows.withColumns({"r_lo": latest(F.col("kind") == 1, "at"), "r_hi": latest(F.col("kind") == 1, "to")})
+    rows = rows.withColumn("cuts", (F.col("kind") == 0) & F.coalesce(F.col("to") <= F.col("r_hi"), F.lit(False)))
+    rows = rows.withColumns({"p_lo": latest(F.col("cuts"), "at"), "p_hi": latest(F.col("cuts"), "to"), "p_r": latest(F.col("cuts"), "r_lo")})
+    same = F.coalesce(F.col("p_r") == F.col("r_lo"), F.lit(False))
+    first = F.when(same, F.col("p_hi")).otherwise(F.col("r_lo"))
+    event = lambda pos, b, g, p_lo, n_hi, r_lo: F.struct(pos.alias("pos"), F.lit(b).alias("b"), F.lit(g).alias("g"), p_lo.alias("p_lo"),
+                                                         n_hi.alias("n_hi"), r_lo.alias("r_lo"))
+    none, at, to = F.lit(None).cast("bigint"), F.col("at"), F.col("to")
+    whole = F.array(event(first, 1, 0, F.when(same, F.col("p_lo")).otherwise(F.col("r_lo")), none, F.col("r_lo")), event(at, -1, 0, none, to, none))
+    gap = F.array(event(at, 0, 1, none, none, none), event(to, 0, -1, none, none, none))
+    events = rows.select("chrom", F.inline(F.when(F.col("cuts") & (first < at), whole).when(F.col("kind") == 2, gap)))
+    steps = events.groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in ("b", "g")], *[F.max(c).alias(c) for c in ("p_lo", "n_hi", "r_lo")])
+    line = Window.partitionBy("chrom").orderBy("pos")
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select("chrom", F.col("pos").alias("lo"), "p_lo", F.lead("pos").over(line).alias("hi"), F.lead("n_hi").over(line).alias("n_hi"),
+                         F.last("r_lo", ignorenulls=True).over(upto).alias("r_lo"), F.sum("b").over(upto).alias("b"), F.sum("g").over(upto).alias("g"))
+    pieces = steps.where("hi is not null and b > 0 and g = 0").drop("b", "g").withColumns(
+        {"left_lo": F.coalesce("p_lo", "lo"), "cut_l": F.col("p_lo").isNull(), "cut_r": F.col("n_hi").isNull()})
+    line = Window.partitionBy("chrom").orderBy("lo")
+    last, near = lambda c: F.lag(c).over(line), lambda c: F.lead(c).over(line)
+    pieces = pieces.withColumns({"idx": F.row_number().over(line) - 1, "_hi": last("hi"), "_cut_r": last("cut_r"), "_r": last("r_lo"), "_nlo": near("lo"), "_nr": near("r_lo")})
+    brk = F.col("cut_l") | (F.col("_r") != F.col("r_lo")) | F.col("_cut_r") | (F.col("_hi") < F.col("left_lo"))
+    seg = F.sum(F.when(F.col("_hi").isNotNull() & brk, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    return pieces.select(
+        "chrom", F.col("idx").cast("int").alias("idx"), "lo", "hi", seg.cast("int").alias("seg"),
+        "left_lo", F.col("lo").alias("left_hi"), F.col("hi").alias("right_lo"), F.coalesce("n_hi", "hi").alias("right_hi"),
+        F.when(F.col("_r") == F.col("r_lo"), F.col("lo") - F.col("_hi")).otherwise(0).cast("bigint").alias("gap_left"),
+        F.when(F.col("_nr") == F.col("r_lo"), F.col("_nlo") - F.col("hi")).otherwise(0).cast("bigint").alias("gap_right"))
+
+
 # --- reads on blocks -------------------------------------------------------------------
 
 def _attach_blocks(pieces: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
