@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import CallConfig
 from strandloom.operators.interval import band_join, overlap_join
-from strandloom.operators.ordered import assign_islands, island_spans
+from strandloom.operators.ordered import PART_ROWS, assign_islands, island_spans, parts_fit
 from strandloom.session import checkpoint, saved
 
 
@@ -163,24 +163,66 @@ def union_evidence(clips: DataFrame, splits: DataFrame, pe: DataFrame) -> DataFr
     return c.unionByName(s).unionByName(p)
 
 
-def precedence_hulls(evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _touching(low: DataFrame, high: DataFrame) -> DataFrame:
+    """``low`` rows with ``bp_lo`` and ``bp_hi`` of each of the ``high`` hulls that they touch."""
+    closed = lambda df, lo, hi: df.withColumn("_lo", F.col(lo)).withColumn("_hi", F.col(hi) + 1)
+    return overlap_join(closed(low, "lo", "hi"), closed(high, "bp_lo", "bp_hi")
+                        .withColumnsRenamed({"_lo": "_blo", "_hi": "_bhi"}), ["chrom"],
+                        ("_lo", "_hi"), ("_blo", "_bhi")).select(*low.columns, "bp_lo", "bp_hi")
+
+
+def _in_contigs(evidence: DataFrame) -> DataFrame:
+    """``evidence`` with ``bp_lo``, where the hull of each row begins, by one sort of every contig.
+
+    A level-1 row that touches a level-2 hull has no hull of its own, so its ``bp_lo`` is null.
+    """
+    line = Window.partitionBy("chrom").orderBy("lo", F.col("level").desc())
+    before, upto = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
+    lo, hi, high, low = F.col("lo"), F.col("hi"), F.col("level") == 2, F.col("level") == 1
+    rows = evidence.where(high | low).withColumns({
+        "_reach": F.max(F.when(high, hi)).over(before),
+        "_next": F.expr("lead(if(level = 2, lo, null)) ignore nulls over (partition by chrom order by lo, level desc)")})
+    # beyond the reach of the rows before, a level-2 row starts another hull, which is touched if it starts in time
+    alone = low & ~(F.coalesce(F.col("_reach") >= lo, F.lit(False)) | F.coalesce(F.col("_next") <= hi, F.lit(False)))
+    rows = rows.withColumn("_alone", alone)
+    rows = rows.withColumn("_far", F.when(high, F.col("_reach")).otherwise(F.max(F.when(F.col("_alone"), hi)).over(before)))
+    rows = rows.withColumn("_begins", F.when((high | F.col("_alone")) & (F.col("_far").isNull() | (lo > F.col("_far"))), lo))
+    begun = lambda which: F.when(which, F.last(F.when(which, F.col("_begins")), ignorenulls=True).over(upto))
+    return rows.withColumn("bp_lo", F.coalesce(begun(high), begun(F.col("_alone")))).select(*evidence.columns, "bp_lo")
+
+
+def _contig_hulls(placed: DataFrame) -> DataFrame:
+    return placed.where("bp_lo is not null").groupBy("chrom", "level", "bp_lo").agg(F.max("hi").alias("bp_hi"))
+
+
+def _linked_in_contigs(evidence: DataFrame, has_low: bool = True) -> DataFrame:
+    """``evidence`` with ``bp_lo`` and ``bp_hi`` of the hulls it belongs to; ``has_low`` tells whether it has level-1 rows."""
+    placed = _in_contigs(evidence)
+    linked = placed.where("bp_lo is not null").withColumn("bp_hi", F.max("hi").over(Window.partitionBy("chrom", "level", "bp_lo")))
+    if not has_low:
+        return linked
+    high = _contig_hulls(_in_contigs(evidence.where("level = 2").select("chrom", "level", "lo", "hi"))).select("chrom", "bp_lo", "bp_hi")
+    return linked.unionByName(_touching(placed.where("level = 1 and bp_lo is null").drop("bp_lo"), high))
+
+
+def precedence_hulls(evidence: DataFrame, most: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """(hulls, links): merged intervals and the evidence interval -> hull mapping.
 
     Level-2 evidence (clips and splits) is merged on its own; a level-1 interval touching such
     hulls adds its support to each of them without widening it, and the remaining level-1
     intervals are merged among themselves.
+
+    Where no contig has more than ``most`` rows, each is sorted once as a whole.
     """
+    if parts_fit(evidence, ["chrom"], most):
+        rows = evidence.select("chrom", "level", "lo", "hi")
+        return _contig_hulls(_in_contigs(rows)).select("chrom", "bp_lo", "bp_hi"), _linked_in_contigs(rows).distinct()
     spans = evidence.groupBy("chrom", "level", "lo").agg(F.max("hi").alias("hi"))
     intervals = evidence.select("chrom", "level", "lo", "hi").distinct()
     high = checkpoint(island_spans(spans.where("level = 2"), ["chrom"], "lo", "hi").select(
         "chrom", F.col("lo").alias("bp_lo"), F.col("hi").alias("bp_hi")))
     low = intervals.where("level = 1")
-    closed = lambda df, lo, hi: df.withColumn("_lo", F.col(lo)).withColumn("_hi", F.col(hi) + 1)
-    links_low = overlap_join(closed(low, "lo", "hi"), closed(high, "bp_lo", "bp_hi")
-                             .withColumnsRenamed({"_lo": "_blo", "_hi": "_bhi"}), ["chrom"],
-                             ("_lo", "_hi"), ("_blo", "_bhi")).select(
-        "chrom", "level", "lo", "hi", "bp_lo", "bp_hi")
-    links_low = checkpoint(links_low)
+    links_low = checkpoint(_touching(low.select("chrom", "level", "lo", "hi"), high))
     left = checkpoint(low.join(links_low.select("chrom", "lo", "hi").distinct(), ["chrom", "lo", "hi"], "left_anti"))
     own = _own_hulls(left.select("chrom", "level", "lo", "hi"))
     links_high = _own_hulls(intervals.where("level = 2"))
@@ -197,15 +239,17 @@ def _own_hulls(intervals: DataFrame) -> DataFrame:
         "chrom", "level", "lo", "hi", F.col("island").alias("bp_lo"), "bp_hi")
 
 
-def merge_breakpoints(evidence: DataFrame, cfg: CallConfig) -> tuple[DataFrame, DataFrame]:
+def merge_breakpoints(evidence: DataFrame, cfg: CallConfig, most: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
     """(breakpoints, members) after merging and the minimum support filter.
 
     Members (split reads, discordant pairs) stay rows keyed by their breakpoint, so a
     breakpoint with any number of supporting reads never becomes one wide row.
     """
-    evidence = checkpoint(evidence)
-    _, links = precedence_hulls(evidence)
-    linked = evidence.join(links, ["chrom", "level", "lo", "hi"])
+    evidence = saved(evidence)
+    if parts_fit(evidence, ["chrom"], most):
+        linked = _linked_in_contigs(evidence, not evidence.where("level = 1").isEmpty())
+    else:
+        linked = evidence.join(precedence_hulls(evidence, most)[1], ["chrom", "level", "lo", "hi"])
     is_kind = lambda k: F.sum((F.col("kind") == k).cast("int"))
     bps = linked.groupBy("chrom", "bp_lo", "bp_hi").agg(
         F.sum("clip_left").alias("clip_left"), F.sum("clip_right").alias("clip_right"),

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.config import CallConfig
 from strandloom.operators import ordered as O
+from strandloom.plans import breakpoints as B
 from strandloom.plans import graph as G
 
 
@@ -48,3 +50,19 @@ def test_blocks_whole_or_in_bins(spark):
     assert whole.columns == bins.columns == G.BLOCK_COLUMNS and whole.dtypes == bins.dtypes
     assert rows_of(whole) == rows_of(bins) and whole.count() > 50
     assert shuffles(whole) == 1
+
+
+def test_hulls_by_contig_or_in_bins(spark):
+    rng = random.Random(9)
+    ev = [(c, lo := rng.randrange(0, 1500), lo + rng.choice([0, 1, 4, 30]), rng.choice([1, 2]), rng.choice(["clip", "split", "pe"]), rng.choice([None, "m", "n"]))
+          for c in "ab" for _ in range(90)] + [("a", 500, 1100, 1, "pe", "wide"), ("a", 1600, 1600, 3, "pe", "x"), ("c", 4, 9, 1, "pe", "y")]
+    df = spark.createDataFrame(ev, "chrom string, lo bigint, hi bigint, level int, kind string, member string").withColumns(
+        {"clip_left": F.col("lo") % 3, "clip_right": F.lit(1).cast("bigint"), "mtype": F.lit("Ins")})
+    whole, bins = B.precedence_hulls(df), B.precedence_hulls(df, most=0)
+    assert rows_of(whole[0]) == rows_of(bins[0]) and whole[0].count() > 20
+    columns = ["chrom", "level", "lo", "hi", "bp_lo", "bp_hi"]
+    assert rows_of(whole[1].select(columns)) == rows_of(bins[1].select(columns))
+    assert shuffles(whole[0]) == 1
+    for rows in (df, df.where("level = 2")):
+        for one, other in zip(B.merge_breakpoints(rows, CallConfig()), B.merge_breakpoints(rows, CallConfig(), most=0)):
+            assert rows_of(one.select(sorted(one.columns))) == rows_of(other.select(sorted(one.columns))) and one.count() > 5
