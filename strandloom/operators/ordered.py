@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import saved
+from strandloom.session import saved, tasks_for
 
 DEFAULT_WIDTH = 1 << 16
 #: Parts of no more rows are swept whole.
@@ -102,10 +102,10 @@ def numbered(rows: DataFrame, part: list[str], order: list[str], name: str) -> D
             .select(*rows.columns, (F.col("_first") + F.col("_k")).alias(name)))
 
 
-def parts_fit(df: DataFrame, part: list[str], most: int = PART_ROWS) -> bool:
-    """Whether no part has more than ``most`` rows, so that it may be one window partition."""
-    largest = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
-    return (largest or 0) <= most
+def part_tasks(df: DataFrame, part: list[str], most: int = PART_ROWS) -> int:
+    """Among how many tasks to deal the parts as whole window partitions; 0 if one has more than ``most`` rows."""
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"), F.sum("_rows")).first()
+    return 0 if (sizes[0] or 0) > most else tasks_for(sizes[1] or 0)
 
 
 def _part_islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column) -> DataFrame:
@@ -158,8 +158,9 @@ def island_spans(df: DataFrame, part: list[str], lo: str, hi: str, distance: int
 
     Parts of no more rows than a quarter of a bin's positions are swept whole, after a single shuffle.
     """
-    if parts_fit(df, part, width // 4):
-        return (_part_islands(df.select(*part, lo, F.col(hi).alias("_far")), part, lo, "_far", distance)
+    tasks = part_tasks(df, part, width // 4)
+    if tasks:
+        return (_part_islands(df.select(*part, lo, F.col(hi).alias("_far")).repartition(tasks, *part), part, lo, "_far", distance)
                 .groupBy(*part, "_island").agg(F.max("_far").alias("_hi"))
                 .select(*part, F.col("_island").alias(lo), F.col("_hi").alias(hi)))
     seen, carry, island = _bin_islands(df, part, lo, hi, distance, width)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.config import CallConfig
 from strandloom.operators.interval import band_join, overlap_join
-from strandloom.operators.ordered import PART_ROWS, assign_islands, island_spans, parts_fit
+from strandloom.operators.ordered import PART_ROWS, assign_islands, island_spans, part_tasks
 from strandloom.session import checkpoint, saved
 
 
@@ -214,8 +214,9 @@ def precedence_hulls(evidence: DataFrame, most: int = PART_ROWS) -> tuple[DataFr
 
     Where no contig has more than ``most`` rows, each is sorted once as a whole.
     """
-    if parts_fit(evidence, ["chrom"], most):
-        rows = evidence.select("chrom", "level", "lo", "hi")
+    tasks = part_tasks(evidence, ["chrom"], most)
+    if tasks:
+        rows = evidence.select("chrom", "level", "lo", "hi").repartition(tasks, "chrom")
         return _contig_hulls(_in_contigs(rows)).select("chrom", "bp_lo", "bp_hi"), _linked_in_contigs(rows).distinct()
     spans = evidence.groupBy("chrom", "level", "lo").agg(F.max("hi").alias("hi"))
     intervals = evidence.select("chrom", "level", "lo", "hi").distinct()
@@ -246,8 +247,9 @@ def merge_breakpoints(evidence: DataFrame, cfg: CallConfig, most: int = PART_ROW
     breakpoint with any number of supporting reads never becomes one wide row.
     """
     evidence = saved(evidence)
-    if parts_fit(evidence, ["chrom"], most):
-        linked = _linked_in_contigs(evidence, not evidence.where("level = 1").isEmpty())
+    tasks = part_tasks(evidence, ["chrom"], most)
+    if tasks:
+        linked = _linked_in_contigs(evidence.repartition(tasks, "chrom"), not evidence.where("level = 1").isEmpty())
     else:
         linked = evidence.join(precedence_hulls(evidence, most)[1], ["chrom", "level", "lo", "hi"])
     is_kind = lambda k: F.sum((F.col("kind") == k).cast("int"))

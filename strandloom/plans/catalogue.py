@@ -18,7 +18,7 @@ from strandloom.plans import graph as G
 from strandloom.plans import inference as N
 from strandloom.plans import library as L
 from strandloom.plans.derived import READS_SQL, event_alignments, table
-from strandloom.session import checkpoint, saved, spread_groups
+from strandloom.session import checkpoint, saved, spread_groups, spread_rows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -688,9 +688,10 @@ LIK = """WITH lk AS (SELECT l_suppkey AS sub, l_linenumber % 4 AS path_id, l_par
 
 
 def likelihood_of(spark, sf):
-    lik = table(spark, sf, "lineitem").groupBy(
-        F.col("l_suppkey").alias("sub"), (F.col("l_linenumber") % 4).alias("path_id"), F.col("l_partkey").alias("sig")).agg(
-        F.max(F.col("l_tax") + 0.01).alias("l")).withColumn("cnt", 1 + F.col("sig") % 3)
+    # dealt by signature: few lines share one, so little could be combined ahead of the shuffle
+    lines = spread_rows(table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("sub"), (F.col("l_linenumber") % 4).alias("path_id"), F.col("l_partkey").alias("sig"), "l_tax"), "sub", "sig")
+    lik = lines.groupBy("sub", "path_id", "sig").agg(F.max(F.col("l_tax") + 0.01).alias("l")).withColumn("cnt", 1 + F.col("sig") % 3)
     paths = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("path_id"))
     constants = paths.withColumn("lib", F.lit("lib1")).withColumn("nc", 100.0 + 10 * F.col("path_id") + F.col("sub") % 5)
     counts = lik.select("sub", "sig", "cnt").distinct().groupBy("sub").agg(F.sum("cnt").alias("n")).withColumn("lib", F.lit("lib1"))

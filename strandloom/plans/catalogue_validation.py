@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.plans import validation as V
 from strandloom.plans.catalogue import big, query
 from strandloom.plans.derived import table
+from strandloom.session import spread_rows
 
 PART = ["qname", "strand", "cluster"]
 
@@ -74,7 +75,7 @@ PIECES = """WITH pc AS (SELECT l_orderkey AS qname, l_partkey AS p, l_suppkey AS
 def pieces_of(spark, sf):
     from pyspark.sql import Window
     line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = table(spark, sf, "lineitem").withColumn("idx", (F.row_number().over(line) - 1).cast("long"))
+    rows = spread_rows(table(spark, sf, "lineitem"), "l_orderkey").withColumn("idx", (F.row_number().over(line) - 1).cast("long"))
     return rows.select(F.col("l_orderkey").alias("qname"), "idx", (50 + F.col("l_partkey") % 400).alias("length"), (F.col("idx") == 0).alias("is_flank"),
                        F.when(F.col("l_suppkey") % 3 == 0, 1 + F.col("l_partkey") % 60).otherwise(0).alias("deleted"))
 
@@ -131,7 +132,7 @@ def _(spark, sf):
     from pyspark.sql import Window
     pieces = pieces_of(spark, sf)
     blocks = V.query_blocks(pieces)
-    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    line = spread_rows(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")), "qname")
     total = F.sum(50 + F.col("p") % 400).over(Window.partitionBy("qname"))
     pos = lambda strand, k: line.select("qname", F.lit(strand).alias("strand"), ((F.col("p") * k + F.col("s")) % total).alias("pos"))
     found = V.block_positions(pos("+", 7).unionByName(pos("-", 11)).distinct(), blocks)
@@ -163,7 +164,7 @@ def _(spark, sf):
 
 def errors_of(spark, sf, pieces):
     from pyspark.sql import Window
-    line = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    line = spread_rows(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qname"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")), "qname")
     lo = (F.col("p") * 7) % F.sum(50 + F.col("p") % 400).over(Window.partitionBy("qname"))
     size = 1 + F.col("s") * 9
     gaps = line.select("qname", (F.col("p") * 100 + F.col("s")).alias("g"), F.when(F.col("p") % 2 == 0, "ref").otherwise("query").alias("side"), lo.alias("lo"),

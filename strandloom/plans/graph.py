@@ -9,7 +9,7 @@ from strandloom.config import CallConfig
 from strandloom.functions import align as A
 from strandloom.functions.paths import flip, node_adjacencies, node_sequence_to_path
 from strandloom.operators.interval import overlap_join, sweep
-from strandloom.operators.ordered import PART_ROWS, island_spans, parts_fit, running
+from strandloom.operators.ordered import PART_ROWS, island_spans, part_tasks, running
 from strandloom.plans.evidence import is_read_through
 from strandloom.session import checkpoint
 
@@ -28,8 +28,9 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame, m
     Where no contig has more than ``most`` breakpoints, gaps and regions, each is swept whole after one shuffle.
     """
     parts = breakpoints.select("chrom").unionByName(gaps.select("chrom")).unionByName(regions.select("chrom"))
-    if parts_fit(parts, ["chrom"], most):
-        return _blocks_by_contig(breakpoints, gaps, regions)
+    tasks = part_tasks(parts, ["chrom"], most)
+    if tasks:
+        return _blocks_by_contig(breakpoints, gaps, regions, tasks)
     reg = regions.select("chrom", F.col("lo").alias("r_lo"), F.col("hi").alias("r_hi"))
     inside = (breakpoints.join(reg, "chrom").where((F.col("bp_lo") > F.col("r_lo"))
                                                    & (F.col("bp_hi") <= F.col("r_hi")))
@@ -71,7 +72,7 @@ def create_blocks(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame, m
         F.when(F.col("_nlo.r_lo") == F.col("r_lo"), F.col("_nlo.lo") - F.col("hi")).otherwise(0).cast("bigint").alias("gap_right"))
 
 
-def _blocks_by_contig(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame) -> DataFrame:
+def _blocks_by_contig(breakpoints: DataFrame, gaps: DataFrame, regions: DataFrame, tasks: int) -> DataFrame:
     """``create_blocks`` with a contig's breakpoints, gaps and regions in one window partition."""
     long = lambda c: F.col(c).cast("bigint")
     # at a position breakpoints (0, also a region's end) come before regions (1) that start there
@@ -79,7 +80,7 @@ def _blocks_by_contig(breakpoints: DataFrame, gaps: DataFrame, regions: DataFram
     ends = F.array(F.struct(F.lit(1).alias("kind"), long("lo").alias("at"), long("hi").alias("to")),
                    F.struct(F.lit(0).alias("kind"), long("hi").alias("at"), long("hi").alias("to")))
     rows = rows.unionByName(regions.where("hi > lo").select("chrom", F.inline(ends)))
-    rows = rows.unionByName(gaps.where("hi > lo").select("chrom", F.lit(2).alias("kind"), long("lo").alias("at"), long("hi").alias("to")))
+    rows = rows.unionByName(gaps.where("hi > lo").select("chrom", F.lit(2).alias("kind"), long("lo").alias("at"), long("hi").alias("to"))).repartition(tasks, "chrom")
     before = Window.partitionBy("chrom").orderBy("at", "kind", F.col("to").desc()).rowsBetween(Window.unboundedPreceding, -1)
     latest = lambda when, c: F.last(F.when(when, F.col(c)), ignorenulls=True).over(before)
     rows = rows.withColumns({"r_lo": latest(F.col("kind") == 1, "at"), "r_hi": latest(F.col("kind") == 1, "to")})

@@ -45,6 +45,20 @@ def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows that one task sorts for windows.
+TASK_ROWS = 250_000
+
+
+def tasks_for(rows: int) -> int:
+    """Partitions of so many rows; a count given to ``repartition`` is kept, so that a task's memory does not grow with the table."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into as many partitions as the rows ask for."""
+    return df.repartition(tasks_for(df.count()), *keys)
+
+
 def local_session(name: str = "strandloom", cores: str = "*", shuffle: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(name)
