@@ -14,7 +14,8 @@ from strandloom.plans import graph as G
 def shuffles(df):
     """Shuffles of the plan, counted without those that are read again."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition")
 
 
 def rows_of(df):
