@@ -108,7 +108,7 @@ def part_tasks(df: DataFrame, part: list[str], most: int = PART_ROWS) -> int:
     return 0 if (sizes[0] or 0) > most else tasks_for(sizes[1] or 0)
 
 
-def _part_islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column) -> DataFrame:
+def part_islands(df: DataFrame, part: list[str], lo: str, hi: str, distance: int | Column) -> DataFrame:
     """``df`` with ``_island``, the smallest ``lo`` of each row's island; every part is one window partition."""
     gap = F.lit(distance) if isinstance(distance, int) else distance
     line = Window.partitionBy(*part).orderBy(lo)
@@ -160,7 +160,7 @@ def island_spans(df: DataFrame, part: list[str], lo: str, hi: str, distance: int
     """
     tasks = part_tasks(df, part, width // 4)
     if tasks:
-        return (_part_islands(df.select(*part, lo, F.col(hi).alias("_far")).repartition(tasks, *part), part, lo, "_far", distance)
+        return (part_islands(df.select(*part, lo, F.col(hi).alias("_far")).repartition(tasks, *part), part, lo, "_far", distance)
                 .groupBy(*part, "_island").agg(F.max("_far").alias("_hi"))
                 .select(*part, F.col("_island").alias(lo), F.col("_hi").alias(hi)))
     seen, carry, island = _bin_islands(df, part, lo, hi, distance, width)

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.config import CallConfig
 from strandloom.operators.interval import band_join, overlap_join
-from strandloom.operators.ordered import PART_ROWS, assign_islands, island_spans, part_tasks
-from strandloom.session import checkpoint, saved
+from strandloom.operators.ordered import PART_ROWS, assign_islands, island_spans, part_islands, part_tasks
+from strandloom.session import TASK_ROWS, checkpoint, saved
 
 
-def softclip_clusters(clips: DataFrame, cfg: CallConfig) -> DataFrame:
+def softclip_clusters(clips: DataFrame, cfg: CallConfig, most: int = PART_ROWS) -> DataFrame:
     """Soft clips of one orientation merged over nearby positions and all libraries.
 
     The first aggregation leaves one row per position, so a position holding any share of all
-    clips is combined map-side and never regrouped row by row.
+    clips is combined map-side and never regrouped row by row.  It is written out, as islands read it
+    more than once.  Where no contig has more than ``most`` positions, each is swept as a whole.
     """
     part = ["chrom", "is_right"]
-    by_pos = clips.groupBy(*part, "pos").agg(
+    by_pos = saved(clips.groupBy(*part, "pos").agg(
         F.count(F.lit(1)).alias("n"), F.sum("mapq").alias("mapq"),
         F.max("bases_clipped").alias("clip"), F.max("bases_mapped").alias("mapped"),
         F.sum(F.col("is_reverse").cast("int")).alias("minus"),
-        F.collect_set("lib").alias("libs"))
-    grouped = assign_islands(by_pos, part, "pos", "pos", cfg.max_softclip_merge_distance)
+        F.collect_set("lib").alias("libs")))
+    tasks = part_tasks(by_pos, part, most)
+    if tasks:
+        grouped = part_islands(by_pos.repartition(tasks, *part), part, "pos", "pos", cfg.max_softclip_merge_distance)
+        grouped = grouped.withColumnRenamed("_island", "island")
+    else:
+        grouped = assign_islands(by_pos, part, "pos", "pos", cfg.max_softclip_merge_distance)
     best = F.max_by(F.struct("pos", "n", "mapq"), F.struct(F.col("n"), -F.col("pos")))
     merged = grouped.groupBy(*part, "island").agg(
         best.alias("_b"), F.sum("n").alias("num_reads"), F.sum("minus").alias("num_minus"),
@@ -56,28 +64,49 @@ def microhomology_candidates(clusters: DataFrame, cfg: CallConfig) -> DataFrame:
 MATCH_WIDTH = 4096
 
 
-def _first_free(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Takes a bin's pairs in order while both ends are free; ``taken`` holds the right ends lost to the bin before."""
-    pdf = pdf.sort_values(["_l", "_r"])
-    used, last, kept = set(pdf["_taken"].iloc[0]), None, []
-    for left, right in zip(pdf["_l"].to_list(), pdf["_r"].to_list()):
-        free = left != last and right not in used
-        if free:
-            last = left
-            used.add(right)
-        kept.append(free)
-    return pdf[kept].drop(columns="_taken")
-
+def _first_free(bins: list[str], left: str, right: str, columns: list[str]) -> Callable:
+    """Takes sorted pairs in order while both ends are free, each bin for itself.
 
-def greedy_matching(pairs: DataFrame, part: list[str], left: str, right: str, width: int = MATCH_WIDTH) -> DataFrame:
+    A bin starts with the right ends in ``_taken`` lost.  Only those that a later left end can still meet are held.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used, room, last, pick = None, set(), 0, None, None
+        for batch in batches:
+            kept = []
+            lost = batch.column("_taken") if "_taken" in batch.schema.names else None
+            for i, (*key, a, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in [*bins, left, right]])):
+                if key != current:
+                    current, used, room, last, pick = key, set(lost[i].as_py() if lost is not None else ()), 1024, None, None
+                if a != last:
+                    last, pick = a, None
+                    if len(used) > room:
+                        used = {x for x in used if x >= a}
+                        room = 1024 + 2 * len(used)
+                if pick is None and b not in used:
+                    pick = b
+                    used.add(b)
+                kept.append(b == pick)
+            yield batch.select(columns).filter(pa.array(kept, pa.bool_()))
+    return scan
+
+
+def greedy_matching(pairs: DataFrame, part: list[str], left: str, right: str, width: int = MATCH_WIDTH,
+                    most: int = TASK_ROWS) -> DataFrame:
     """One-to-one matching that takes pairs in (left, right) order, with right >= left.
 
-    The pairs of ``width`` left positions are a bin, and all bins are matched at the same time,
+    Where no part has more than ``most`` pairs, each is sorted and scanned as a whole, many in a task call.
+
+    Else the pairs of ``width`` left positions are a bin, and all bins are matched at the same time,
     first as if no right end were lost to the bin before.  Bins for which that turns out wrong are
     matched again with what the bin before took, until nothing changes.  A bin is right as soon
     as the one before it is; in most data the second round already settles all.  Rounds never exceed the
     number of bins that one chain of conflicts runs through.
     """
+    pairs = saved(pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()))
+    tasks = part_tasks(pairs, part, most)
+    if tasks:
+        line = pairs.repartition(tasks, *part).sortWithinPartitions(*part, left, right)
+        return line.mapInArrow(_first_free(part, left, right, pairs.columns), pairs.schema)
     keys = pairs.select(*part, F.col(left).cast("long").alias("_l"), F.col(right).cast("long").alias("_r")).distinct()
     longest = keys.agg(F.max(F.col("_r") - F.col("_l"))).first()[0]
     width = max(width, 1 + (longest or 0))  # so that a bin only bears on the next one
@@ -85,10 +114,6 @@ def greedy_matching(pairs: DataFrame, part: list[str], left: str, right: str, wi
     bins = [*part, "_bin"]
     none = F.array().cast("array<bigint>")
     schema = keys.withColumn("_round", F.lit(0)).select(*bins, "_l", "_r", "_round").schema
-    columns = schema.names
-
-    def matched(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _first_free(pdf)[columns]
 
     def same(prefix: str) -> list[Column]:
         return [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in bins]
@@ -99,7 +124,8 @@ def greedy_matching(pairs: DataFrame, part: list[str], left: str, right: str, wi
     while True:
         named = todo.select(*[F.col(c).alias(f"t_{c}") for c in bins], "_taken", "_round")
         fresh = saved(keys.join(named, same("t_")).select(*bins, "_l", "_r", "_taken", "_round")
-                      .groupBy(*bins).applyInPandas(matched, schema))
+                      .repartition(*bins).sortWithinPartitions(*bins, "_l", "_r")
+                      .mapInArrow(_first_free(bins, "_l", "_r", schema.names), schema))
         rows = fresh if rows is None else saved(_without(rows, todo, bins).unionByName(fresh))
         lost = rows.where(F.col("_r") >= (F.col("_bin") + 1) * width).groupBy(*bins).agg(F.array_sort(F.collect_list("_r")).alias("_lost"))
         lost = lost.select(*[F.col(c).alias(f"o_{c}") for c in part], (F.col("_bin") + 1).alias("o__bin"), "_lost")

@@ -366,12 +366,14 @@ CLIPS = """, cb AS (SELECT lib, chrom, p, mapq, rev, cl > 0 AS is_left, CASE WHE
 
 @query("softclip_evidence", CLIPS + " SELECT lib, chrom, is_right, pos, clipped AS bases_clipped, mapq, rev AS is_reverse FROM sc0", reads=True)
 def softclip_evidence(spark, sf):
-    clips = E.softclip_evidence(reads_of(spark, sf), CFG)
+    clips = clips_of(spark, sf)
     return clips.select("lib", "chrom", "is_right", "pos", *big("bases_clipped", "mapq"), "is_reverse")
 
 
 def clips_of(spark, sf):
-    return E.softclip_evidence(reads_of(spark, sf), CFG)
+    # written out as in reads_of, but only clipped reads are split, and only what evidence needs is kept
+    reads = E.with_geometry(event_alignments(spark, sf).where(A.usable())).where(E.may_clip(CFG))
+    return E.softclip_evidence(saved(E.with_splits(reads, CFG).select(*E.CLIP_FIELDS)), CFG)
 
 
 @query("softclip_clusters", CLIPS + """, ps AS (SELECT chrom, is_right, pos, count(*) AS n, sum(mapq) AS mq, max(clipped) AS clip FROM sc0 GROUP BY chrom, is_right, pos),
@@ -407,7 +409,7 @@ def _(spark, sf):
       list_filter(ls.rs, lambda x: NOT list_contains(gm.used, x))[1] AS pick FROM gm JOIN ls ON ls.chrom = gm.chrom AND ls.k = gm.k + 1))
   SELECT pc.* FROM pc JOIN gm ON gm.chrom = pc.chrom AND gm.l_pos = pc.l_pos AND gm.r_pos = pc.r_pos""", reads=True, recursive=True)
 def _(spark, sf):
-    clusters = checkpoint(B.softclip_clusters(clips_of(spark, sf), CFG.with_options(min_softclip_support=1)))
+    clusters = saved(B.softclip_clusters(clips_of(spark, sf), CFG.with_options(min_softclip_support=1)))
     return B.greedy_matching(B.microhomology_candidates(clusters, CFG), ["chrom"], "l_pos", "r_pos")
 
 

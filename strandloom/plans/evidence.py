@@ -222,6 +222,15 @@ def split_evidence(pairs: DataFrame) -> DataFrame:
             .select("lib", "chrom", "qname", "e.split_id", "e.mapq", "e.mate_id", "e.mate_mapq", "e.s.*"))
 
 
+#: What clip evidence needs of a read.
+CLIP_FIELDS = ["lib", "rname", "pos", "end", "mapq", "flag", "qlen", "clip_l", "clip_r", "qual", "split"]
+
+
+def may_clip(cfg: CallConfig) -> Column:
+    """Reads that clip evidence can come from, as far as is known before they are split."""
+    return (F.col("mapq") >= cfg.min_mapq_softclip) & ((F.col("clip_l") > 0) | (F.col("clip_r") > 0))
+
+
 def softclip_evidence(reads: DataFrame, cfg: CallConfig) -> DataFrame:
     """One row per clipped side with enough good-quality bases on reads without a split."""
     sides = []
@@ -234,8 +243,7 @@ def softclip_evidence(reads: DataFrame, cfg: CallConfig) -> DataFrame:
             F.lit(right).alias("is_right"), F.col("end" if right else "pos").alias("pos"),
             n.alias("bases_clipped"),
             F.when(n >= cfg.min_clipped_bases, A.median_quality(F.col("qual"), start, n)).alias("quality")))
-    return (reads.where((F.col("mapq") >= cfg.min_mapq_softclip) & F.col("split").isNull()
-                        & ((F.col("clip_l") > 0) | (F.col("clip_r") > 0)))
+    return (reads.where(may_clip(cfg) & F.col("split").isNull())
             .withColumn("c", F.explode(F.array(*sides)))
             .where((F.col("c.bases_clipped") >= cfg.min_clipped_bases)
                    & (F.col("c.quality") >= cfg.min_clipped_qual))

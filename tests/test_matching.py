@@ -45,6 +45,39 @@ def test_nothing_to_match(spark):
     assert B.greedy_matching(spark.createDataFrame([], "c string, a long, b long"), ["c"], "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("width", [5, 40, 4096])
+def test_parts_scanned_whole_or_in_bins(spark, width):
+    """Repeated pairs share the verdict of their pair; a pair without an end is none."""
+    rng = random.Random(width)
+    rows = [(c, a, None if rng.random() < 0.02 else a + rng.randrange(9), k % 7) for k in range(900)
+            for c, a in [(rng.choice(["x", "y", None]), rng.randrange(250))]] + [("z", None, 4, 0)]
+    df = spark.createDataFrame(rows, "c string, a int, b int, k long")
+    whole, bins = B.greedy_matching(df, ["c"], "a", "b"), B.greedy_matching(df, ["c"], "a", "b", width, most=0)
+    assert whole.schema == bins.schema == df.schema
+    got = sorted(map(repr, whole.collect()))
+    assert got == sorted(map(repr, bins.collect()))
+    chosen = {(c, *x) for c in ("x", "y", None) for x in scanned([(a, b) for d, a, b, _ in rows if d == c and b is not None])}
+    assert got == sorted(map(repr, df.where("b is not null and a is not null").rdd.filter(lambda r: (r["c"], r["a"], r["b"]) in chosen).collect()))
+
+
+def test_a_chain_over_bins(spark):
+    df = spark.range(2_000).selectExpr("'c' AS c", "2 * id AS a", "explode(array(2 * id + 1, 2 * id + 3)) AS b").unionByName(
+        spark.createDataFrame([("c", -1, 1)], "c string, a long, b long"))
+    rows = [(r["a"], r["b"]) for r in df.collect()]
+    assert sorted((r["a"], r["b"]) for r in B.greedy_matching(df, ["c"], "a", "b", 1000, most=0).collect()) == scanned(rows)
+
+
+def test_parts_that_fit_need_one_shuffle_and_no_rounds(spark, monkeypatch):
+    """Pairs are written once, whatever the chains, and no group is handed to Python by itself."""
+    written, keep = [], B.saved
+    monkeypatch.setattr(B, "saved", lambda df: written.append(df) or keep(df))
+    df = spark.range(500).selectExpr("cast(id % 50 AS string) AS c", "2 * id AS a", "explode(array(2 * id + 1, 2 * id + 101)) AS b")
+    out = B.greedy_matching(df, ["c"], "a", "b", 40)
+    assert out.count() == 500 and len(written) == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "FlatMapGroupsInPandas" not in plan
+
+
 def plain_walks(edges, start, end, n_genome, most):
     """Walks by depth first, larger sides first."""
     near = {}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandloom.config import CallConfig
 from strandloom.operators import ordered as O
 from strandloom.plans import breakpoints as B
+from strandloom.plans import catalogue as C
+from strandloom.plans import evidence as E
 from strandloom.plans import graph as G
 
 
@@ -67,3 +69,23 @@ def test_hulls_by_contig_or_in_bins(spark):
     for rows in (df, df.where("level = 2")):
         for one, other in zip(B.merge_breakpoints(rows, CallConfig()), B.merge_breakpoints(rows, CallConfig(), most=0)):
             assert rows_of(one.select(sorted(one.columns))) == rows_of(other.select(sorted(one.columns))) and one.count() > 5
+
+
+def test_clip_clusters_by_contig_or_in_bins(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["l1", "l2"]), rng.choice("ab"), rng.random() < 0.5, rng.randrange(900), rng.randrange(5, 40), 60 + rng.randrange(40),
+             rng.randrange(60), rng.random() < 0.5) for _ in range(500)]
+    clips = spark.createDataFrame(rows, "lib string, chrom string, is_right boolean, pos bigint, bases_clipped int, bases_mapped int, mapq int, is_reverse boolean")
+    whole, bins = B.softclip_clusters(clips, CallConfig()), B.softclip_clusters(clips, CallConfig(), most=0)
+    assert whole.dtypes == bins.dtypes and rows_of(whole) == rows_of(bins) and whole.count() > 20
+    assert shuffles(whole) == 1
+
+
+def test_only_clipped_reads_are_written(spark, monkeypatch):
+    written, keep = [], C.saved
+    monkeypatch.setattr(C, "saved", lambda df: written.append(keep(df)) or written[-1])
+    monkeypatch.setattr(C, "checkpoint", lambda df: written.append(keep(df)) or written[-1])
+    sf = "/root/testdata/sf0.001"
+    clips = C.clips_of(spark, sf)
+    assert len(written) == 1 and written[0].where("clip_l = 0 and clip_r = 0").isEmpty() and set(written[0].columns) == set(E.CLIP_FIELDS)
+    assert rows_of(clips) == rows_of(E.softclip_evidence(C.reads_of(spark, sf), CallConfig())) and clips.count() > 20
