@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import saved, tasks_for
+from strandloom.session import saved, shuffles_dropped, tasks_for
 
 DEFAULT_WIDTH = 1 << 16
 #: Parts of no more rows are swept whole.
@@ -104,7 +104,8 @@ def numbered(rows: DataFrame, part: list[str], order: list[str], name: str) -> D
 
 def part_tasks(df: DataFrame, part: list[str], most: int = PART_ROWS) -> int:
     """Among how many tasks to deal the parts as whole window partitions; 0 if one has more than ``most`` rows."""
-    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"), F.sum("_rows")).first()
+    with shuffles_dropped(df.sparkSession):
+        sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows"), F.sum("_rows")).first()
     return 0 if (sizes[0] or 0) > most else tasks_for(sizes[1] or 0)
 
 

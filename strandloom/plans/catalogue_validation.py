@@ -22,11 +22,12 @@ SEGMENTS = """WITH RECURSIVE li AS (SELECT l_orderkey // 8 AS qname, CASE WHEN l
 
 def segments_of(spark, sf):
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    li = table(spark, sf, "lineitem").select(
+    # dealt by haplotype and strand: few lines share a place, so little could be combined ahead of the shuffle
+    li = spread_rows(table(spark, sf, "lineitem").select(
         F.expr("l_orderkey div 8").alias("qname"), F.when(part % 3 == 0, "-").otherwise("+").alias("strand"), ((part * 13) % 5000).alias("q0"),
         F.when(part % 7 == 0, (supp * 331) % 9000).otherwise((part * 13) % 5000 + (supp * 37) % 90).alias("r0"),
         (30 + F.col("l_quantity").cast("long") * 8).alias("len"), (F.col("l_linenumber") % 4).cast("long").alias("mm"),
-        (supp % 2).alias("ni"), ((supp % 2) * (1 + part % 5)).alias("nb"))
+        (supp % 2).alias("ni"), ((supp % 2) * (1 + part % 5)).alias("nb")), "qname", "strand")
     score = V.segment_score(F.col("len") - F.col("mm") - F.col("nb"), F.col("mm"), F.col("ni"), F.col("nb"))
     sg = li.withColumn("score", score).groupBy("qname", "strand", "q0", "r0").agg(F.max("len").alias("len"), F.max("score").alias("score"))
     return sg.withColumns({"seg": F.col("q0") * 10000 + F.col("r0"), "q1": F.col("q0") + F.col("len"), "r1": F.col("r0") + F.col("len")})
