@@ -18,6 +18,7 @@ All similarities are cosines in double precision.  Equal vectors are one node wi
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,8 +69,10 @@ def nodes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def unit(column: list[bytes], dim: int) -> np.ndarray:
     """Unit vectors of packed ones; single-precision bytes hold values that are exact in them."""
     out = np.empty((len(column), dim))
-    for i, raw in enumerate(column):
-        out[i] = np.frombuffer(raw, np.float64 if len(raw) == 8 * dim else np.float32)
+    double = np.fromiter(map(len, column), np.int64, len(column)) == 8 * dim
+    for mine, kind in ((double, np.float64), (~double, np.float32)):
+        if mine.any():
+            out[mine] = np.frombuffer(b"".join(column if mine.all() else itertools.compress(column, mine)), kind).reshape(-1, dim)
     out /= np.abs(out).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
@@ -81,8 +84,8 @@ def _links(a, b, similarity) -> pa.RecordBatch:
 _LINK = "a long, b long, s double"
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows with equal keys of a sorted partition, one table for each."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A sorted partition in tables of whole runs of rows with equal keys, and the bounds of their runs."""
     rest = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -91,12 +94,31 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             continue
         columns = [table[k].to_numpy() for k in keys]
         cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-        bounds = [0, *cut.tolist(), table.num_rows]
-        for a, b in zip(bounds[:-2], bounds[1:-1]):
-            yield table.slice(a, b - a)
-        rest = table.slice(bounds[-2])
+        bounds = np.concatenate([[0], cut])
+        if len(cut):
+            yield table.slice(0, bounds[-1]), bounds
+        rest = table.slice(bounds[-1])
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, np.array([0, rest.num_rows])
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows with equal keys of a sorted partition, one table for each."""
+    for table, bounds in whole_runs(batches, keys):
+        for a, b in itertools.pairwise(bounds.tolist()):
+            yield table.slice(a, b - a)
+
+
+def compared(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The similarities inside the groups of a partition sorted by center, groups of one size at once, and columns ``names`` of their members."""
+    for table, bounds in whole_runs(batches, ["center"]):
+        columns = [table[c].to_numpy() for c in names]
+        raw, starts, sizes = table["v"].to_pylist(), bounds[:-1], np.diff(bounds)
+        dims = table["dim"].to_numpy()[starts]  # vectors of a group have one length
+        for dim, size in np.unique(np.stack([dims, sizes]), axis=1).T.tolist():
+            at = starts[(dims == dim) & (sizes == size)][:, None] + np.arange(size)
+            x = unit([raw[i] for i in at.ravel().tolist()], dim).reshape(*at.shape, dim)
+            yield x @ x.transpose(0, 2, 1), *[c[at] for c in columns]
 
 
 def started(nodes: DataFrame, seed: int, orders: int, reach: int) -> DataFrame:
@@ -166,22 +188,22 @@ def descended(nodes: DataFrame, lists: DataFrame, length: int) -> DataFrame:
     holding = nodes.select(F.col("node").alias("member"), "v", "dim").join(ends.withColumnRenamed("node", "member"), "member", "left")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["center"]):
-            ids, end = group["member"].to_numpy(), np.nan_to_num(group["end"].to_numpy(), nan=-2.0)
-            x = unit(group["v"].to_pylist(), group["dim"][0].as_py())
-            s = x @ x.T
-            i, j = np.nonzero(np.triu((s > end[:, None]) | (s > end[None, :]), 1))
+        for s, ids, end in compared(batches, "member", "end"):
+            end, size = np.nan_to_num(end, nan=-2.0), ids.shape[1]
+            i, j = np.triu_indices(size, 1)
+            near = s[:, i, j]
+            g, k = np.nonzero((near > end[:, i]) | (near > end[:, j]))
             # full lists have no room for a link: each member with the first one that it is linked with
-            linked = s >= THRESHOLD
-            np.fill_diagonal(linked, True)
-            first, old = np.where(linked, np.arange(len(ids)), len(ids)).min(axis=1), None
+            some = np.flatnonzero((near >= THRESHOLD).any(axis=1))
+            linked = (s[some] >= THRESHOLD) | np.eye(size, dtype=bool)
+            first, old = np.where(linked, np.arange(size), size).min(axis=2, initial=size), None
             while old is None or (first != old).any():
-                old, first = first, np.where(linked, first, len(ids)).min(axis=1)
-            more = np.flatnonzero(first != np.arange(len(ids)))
+                old, first = first, np.where(linked, first[:, None, :], size).min(axis=2, initial=size)
+            h, more = np.nonzero(first != np.arange(size))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([ids[i], ids[more]])), pa.array(np.concatenate([ids[j], ids[first[more]]])),
-                 pa.array(np.concatenate([s[i, j], np.zeros(len(more))]), mask=np.arange(len(i) + len(more)) >= len(i)),
-                 pa.array(np.concatenate([s[i, j] >= THRESHOLD, np.ones(len(more), bool)]))], names=["a", "b", "s", "linked"])
+                [pa.array(np.concatenate([ids[g, i[k]], ids[some[h], more]])), pa.array(np.concatenate([ids[g, j[k]], ids[some[h], first[h, more]]])),
+                 pa.array(np.concatenate([near[g, k], np.zeros(len(more))]), mask=np.arange(len(g) + len(more)) >= len(g)),
+                 pa.array(np.concatenate([near[g, k] >= THRESHOLD, np.ones(len(more), bool)]))], names=["a", "b", "s", "linked"])
 
     met = (shown.join(holding, "member").repartition(width, "center").sortWithinPartitions("center")
            .select("center", "member", "v", "dim", "end").mapInArrow(meet, f"{_LINK}, linked boolean"))
@@ -241,16 +263,14 @@ def crossed(nodes: DataFrame, lists: DataFrame, component: DataFrame, seed: int,
             entries.withColumn("back", namer).where(F.col("back") <= length).select(F.col("other").alias("center"), F.col("node").alias("member")))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, ["center"]):
-            ids, comp, end = group["member"].to_numpy(), group["component"].to_numpy(), np.nan_to_num(group["end"].to_numpy(), nan=-2.0)
-            x = unit(group["v"].to_pylist(), group["dim"][0].as_py())
-            s = x @ x.T
-            i, j = np.nonzero((comp[:, None] != comp[None, :]) & (s > end[:, None]))
-            order = np.lexsort((-s[i, j], comp[j], i))  # the nearest of each other component
-            i, j = i[order], j[order]
-            best = np.ones(len(i), bool)
-            best[1:] = (i[1:] != i[:-1]) | (comp[j[1:]] != comp[j[:-1]])
-            yield _links(ids[i[best]], ids[j[best]], s[i[best], j[best]])
+        for s, ids, comp, end in compared(batches, "member", "component", "end"):
+            g, i, j = np.nonzero((comp[:, :, None] != comp[:, None, :]) & (s > np.nan_to_num(end, nan=-2.0)[:, :, None]))
+            found, theirs = s[g, i, j], comp[g, j]
+            order = np.lexsort((-found, theirs, i, g))  # the nearest of each other component
+            g, i, j, found, theirs = (x[order] for x in (g, i, j, found, theirs))
+            best = np.ones(len(g), bool)
+            best[1:] = (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (theirs[1:] != theirs[:-1])
+            yield _links(ids[g, i][best], ids[g, j][best], found[best])
 
     near = saved(named(inside).unionByName(of.select(F.col("node").alias("center"), F.col("node").alias("member"))))
     outer = saved(_outer(started(ours.drop("component"), seed, ORDERS, REACH).unionByName(started(few, seed, ORDERS, REACH)), of, length))
