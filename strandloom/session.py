@@ -43,7 +43,8 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned in here
 
 
 def saved(df: DataFrame) -> DataFrame:
